@@ -101,9 +101,15 @@ def event_modules(spark: SparkSession, sf_dir: str) -> DataFrame:
     line = (
         F.when(F.col("event_type") == "click", F.concat(F.lit("import { m"), k, F.lit(" } from '"), target, F.lit("';")))
         .when(F.col("event_type") == "view", F.concat(F.lit("import type { T"), k, F.lit(" } from '"), target, F.lit("';")))
-        .when(F.col("event_type") == "purchase", F.concat(F.lit("const lazy"), k, F.lit(" = () => import('"), target, F.lit("');")))
+        .when(F.col("event_type") == "purchase", F.concat(F.lit("const lazy"), k, F.lit(" = () => import('"), target, F.lit("'); if (!lazy"), k, F.lit(") throw new Error('gone');")))
         .when(F.col("event_type") == "error", F.concat(F.lit("try { run"), k, F.lit("(); } catch (e) {}")))
-        .otherwise(F.concat(F.lit("export function step"), k, F.lit("(el) { el.innerHTML = JSON.parse(body); } // TODO check as any")))
+        .otherwise(
+            F.concat(
+                F.when(F.pmod(F.col("k"), F.lit(2)) == 0, F.concat(F.lit("// step "), k, F.lit("\n"))).otherwise(""),
+                F.lit("export function step"), k,
+                F.lit("(el) { el.innerHTML = JSON.parse(body); return null; } // TODO check as any"),
+            )
+        )
     )
     rows = facts.select("user_id", "event_type", "k", line.alias("line"))
     ordered = F.array_sort(F.collect_list(F.struct("event_type", "k", "line")))
