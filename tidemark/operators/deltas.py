@@ -109,7 +109,8 @@ def score_badge(scans: DataFrame) -> DataFrame:
         F.max(F.when(F.col("rank") == 1, F.col("scan_ts"))).alias("_now"),
         F.max(F.when(F.col("rank") == 2, F.col("scan_ts"))).alias("_then"),
     )
-    days = F.floor((F.unix_millis("_now") - F.unix_millis("_then")) / 86_400_000)
+    millis = lambda c: F.unix_millis(F.col(c).cast("timestamp"))
+    days = F.floor((millis("_now") - millis("_then")) / 86_400_000)
     delta = F.col("current") - F.col("previous")
     arrow = F.when(delta > 0, "↑").when(delta < 0, "↓").otherwise("=")
     return pair.where(F.col("previous").isNotNull()).select(

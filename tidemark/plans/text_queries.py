@@ -592,11 +592,12 @@ def stale_references(spark, sf_dir):
 
 @named(
     "directory_clusters",
-    """WITH d AS (SELECT source AS project, lang AS dir, doc_id, text FROM documents)
-    SELECT project, dir, count(*) AS files, count(DISTINCT text) > 0 AS hashed FROM d GROUP BY ALL""",
+    with_views(FILES) + """, d AS (SELECT project, string_split(path, '/')[1] AS dir, sha256(path || chr(0) || content) AS h FROM files)
+    SELECT project, dir, count(*) AS files, substr(sha1(bit_xor(CAST('0x' || substr(h, 1, 15) AS BIGINT)) || '|' || sum(CAST('0x' || substr(h, 16, 15) AS HUGEINT))), 1, 16) AS hash
+    FROM d GROUP BY ALL""",
 )
 def directory_clusters(spark, sf_dir):
-    return M.clusters(document_files(spark, sf_dir)).select("project", "dir", "files", (F.length("hash") == 16).alias("hashed"))
+    return M.clusters(document_files(spark, sf_dir))
 
 
 @named(
