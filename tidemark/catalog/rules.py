@@ -2,8 +2,9 @@
 
 Every pattern, message and severity below is a fixed value: findings must agree
 with the engine being matched, so they are stated literally, pack by pack.
-``needles`` are substrings any matching line must contain; they let Spark skip
-the regex on almost every line.
+``needles`` are substrings one of which any matching line must contain (in lower
+case where the pattern ignores case); they let Spark skip the regex on almost every
+line.
 """
 
 from __future__ import annotations
@@ -68,30 +69,30 @@ SECURITY = Pack(
         _security("CWE-94", "error", r"new\s+Function\s*\(", "Injection: new Function() is equivalent to eval()", "", ("Function",)),
         _security("CWE-78", "warning", r"\b(?:child_process|cp)\.exec(?:Sync)?\s*\(|(?:^|\s)execSync\s*\(", "Command injection risk: prefer execFile with argument array", "", ("exec",)),
         _security("CWE-89", "error", r"(?:query|prepare|execute)\s*\(\s*`[^`]*\$\{", "SQL injection: use parameterized queries instead of template literals", "", ("${",)),
-        _security("CWE-330", "error", r"Math\.random\s*\(\).*(?:token|secret|key|password|nonce|salt)", "Weak randomness: use crypto.randomUUID() or crypto.getRandomValues()", "i"),
+        _security("CWE-330", "error", r"Math\.random\s*\(\).*(?:token|secret|key|password|nonce|salt)", "Weak randomness: use crypto.randomUUID() or crypto.getRandomValues()", "i", ("math.random",)),
         _security("CWE-328", "warning", r"\b(?:md5|sha1|SHA1|MD5)\b", "Weak hash: MD5/SHA1 are broken — use SHA-256+", "", ("md5", "sha1", "SHA1", "MD5")),
         _security("CWE-1321", "warning", r"Object\.assign\s*\(\s*\{\s*\}\s*,\s*(?:req|request|body|params|query)", "Prototype pollution risk: validate/sanitize before Object.assign", "", ("Object.assign",)),
         _security("CWE-1321", "warning", r"\{\s*\.\.\.(?:req|request|body|params|query)\.", "Prototype pollution: spreading unvalidated user input", "", ("...",)),
         _security("CWE-22", "warning", r"(?:readFile|writeFile|access|stat)(?:Sync)?\s*\([^)]*(?:req|request|body|params|query)", "Path traversal: validate file paths from user input", "", ("readFile", "writeFile", "access", "stat")),
         _security("CWE-918", "warning", r"fetch\s*\(\s*(?:req|request|body|params|query)\.(?:url|href|target)", "SSRF: validate URLs before fetching user-supplied targets", "", ("fetch",)),
         _security("CWE-598", "warning", r"""(?:password|secret|api_?token)=[^&\s'"]{8,}""", "Sensitive data in URL query string", "i", ("=",)),
-        _security("CWE-922", "warning", r"""localStorage\.setItem\s*\(\s*['"][^'"]*(?:token|secret|password|apiKey|api_key|auth|session)[^'"]*['"]""", "Storing auth/secret data in localStorage — vulnerable to XSS. Consider HttpOnly cookies", "i"),
-        _security("CWE-922", "warning", r"localStorage\.setItem\s*\([^,]+,\s*(?:token|secret|password|apiKey|accessToken|refreshToken|jwt)\b", "Storing token/secret variable in localStorage — vulnerable to XSS", "i"),
+        _security("CWE-922", "warning", r"""localStorage\.setItem\s*\(\s*['"][^'"]*(?:token|secret|password|apiKey|api_key|auth|session)[^'"]*['"]""", "Storing auth/secret data in localStorage — vulnerable to XSS. Consider HttpOnly cookies", "i", ("localstorage",)),
+        _security("CWE-922", "warning", r"localStorage\.setItem\s*\([^,]+,\s*(?:token|secret|password|apiKey|accessToken|refreshToken|jwt)\b", "Storing token/secret variable in localStorage — vulnerable to XSS", "i", ("localstorage",)),
         _security("CWE-922", "warning", r"localStorage\.setItem\s*\([^,]+,\s*JSON\.stringify\s*\(\s*(?:\{[^}]*(?:token|secret|password|auth)[^}]*\}|[a-zA-Z]*(?:[Uu]ser|[Aa]uth|[Ss]ession))", "Storing object with auth data in localStorage — token accessible to XSS", "", ("localStorage",)),
-        _security("CWE-922", "error", r"localStorage\.setItem\s*\([^)]*(?:private_?key|access_?token|refresh_?token|jwt)", "Secret/key in localStorage — accessible to any XSS attack. Use HttpOnly cookies", "i"),
-        _security("CWE-922", "warning", r"""sessionStorage\.setItem\s*\(\s*['"][^'"]*(?:token|secret|password|apiKey|api_key|auth|session|jwt)[^'"]*['"]""", "Storing auth/secret data in sessionStorage — vulnerable to XSS. Use HttpOnly cookies", "i"),
+        _security("CWE-922", "error", r"localStorage\.setItem\s*\([^)]*(?:private_?key|access_?token|refresh_?token|jwt)", "Secret/key in localStorage — accessible to any XSS attack. Use HttpOnly cookies", "i", ("localstorage",)),
+        _security("CWE-922", "warning", r"""sessionStorage\.setItem\s*\(\s*['"][^'"]*(?:token|secret|password|apiKey|api_key|auth|session|jwt)[^'"]*['"]""", "Storing auth/secret data in sessionStorage — vulnerable to XSS. Use HttpOnly cookies", "i", ("sessionstorage",)),
         _security("CWE-798", "error", r"(?:postgres|mysql|mongodb|redis|amqp)://[^:]+:[^@]+@", "Connection string with embedded credentials — use environment variables", "", ("://",)),
-        _security("CWE-798", "warning", r"""(?:password|passwd|secret)\s*[:=]\s*["'][^'"]{4,}["']""", "Hardcoded password/secret in code — use environment variables or a secret manager", "i"),
-        _security("CWE-798", "error", r"""(?:Authorization|x-api-key|api-key)["']\s*[:=,]\s*["'`](?:Bearer\s+)?(?:sk-|key-|token-)""", "API key hardcoded in request header — move to server-side proxy", "i"),
+        _security("CWE-798", "warning", r"""(?:password|passwd|secret)\s*[:=]\s*["'][^'"]{4,}["']""", "Hardcoded password/secret in code — use environment variables or a secret manager", "i", ("password", "passwd", "secret")),
+        _security("CWE-798", "error", r"""(?:Authorization|x-api-key|api-key)["']\s*[:=,]\s*["'`](?:Bearer\s+)?(?:sk-|key-|token-)""", "API key hardcoded in request header — move to server-side proxy", "i", ("authorization", "api-key")),
         _security("CWE-922", "info", r"(?:put|add)\s*\(\s*\{[^}]*(?:token|secret|password|apiKey|jwt)[^}]*\}", "Storing auth data in IndexedDB — same XSS risk as localStorage", "i", ("{",)),
-        _security("CWE-346", "warning", r"""addEventListener\s*\(\s*["']message["'][^)]*\)\s*(?:=>|\{)(?:(?!origin)[\s\S]){0,200}(?:token|secret|password|auth)""", "Message handler accesses auth data without origin validation — cross-origin credential leak", "i"),
+        _security("CWE-346", "warning", r"""addEventListener\s*\(\s*["']message["'][^)]*\)\s*(?:=>|\{)(?:(?!origin)[\s\S]){0,200}(?:token|secret|password|auth)""", "Message handler accesses auth data without origin validation — cross-origin credential leak", "i", ("addeventlistener",)),
         _security("CWE-1004", "warning", r"document\.cookie\s*=(?!.*[Hh]ttp[Oo]nly)", "Setting cookie via document.cookie (not HttpOnly) — accessible to XSS", "", ("document.cookie",)),
         _security("CWE-614", "info", r"""(?:Set-Cookie|setCookie)['"]\s*[,:].*(?!.*[Ss]ecure)""", "Cookie may be missing Secure flag — can be sent over HTTP", "", ("Set-Cookie", "setCookie")),
         _security("CWE-346", "warning", r"""Access-Control-Allow-Origin["']\s*[:=,]\s*["']\*""", "CORS allows all origins (*) — restrict to specific domains, especially with credentials", "", ("Access-Control-Allow-Origin",)),
         _security("CWE-346", "warning", r"""["']Access-Control-Allow-Origin["']\s*,\s*["']\*""", "Permissive CORS: Access-Control-Allow-Origin set to * — allows any site to read responses", "", ("Access-Control-Allow-Origin",)),
         _security("CWE-319", "warning", r"""fetch\s*\(\s*["'`]http://(?!localhost|127\.0\.0\.1|0\.0\.0\.0)""", "Fetching over plain HTTP — use HTTPS to prevent man-in-the-middle attacks", "", ("http://",)),
         _security("CWE-601", "warning", r"(?:res\.redirect|location\.href|window\.location)\s*(?:=|\()\s*(?:req\.(?:query|params|body)|searchParams\.get)", "Unvalidated redirect from user input — validate against an allowlist of URLs", "", ("redirect", "location")),
-        _security("CWE-489", "info", r"(?:debug|devtools|verbose)\s*[:=]\s*true", "Debug/devtools mode enabled — ensure this is disabled in production builds", "i"),
+        _security("CWE-489", "info", r"(?:debug|devtools|verbose)\s*[:=]\s*true", "Debug/devtools mode enabled — ensure this is disabled in production builds", "i", ("debug", "devtools", "verbose")),
         _security("CWE-525", "warning", r"""new Response\([^)]*\{[^}]*["']Set-Cookie["']""", "Set-Cookie without Cache-Control: no-store", "", ("Set-Cookie",)),
     ),
     (COMMENT_LINE, METADATA_LINE, STRING_ONLY_LINE, RETURN_STRING, RULE_COMPARISON, CHECK_COMPARISON),
@@ -105,7 +106,7 @@ SECRET_PATTERNS = (
         r"|\btoken=(?:abc|abcdef)[a-z0-9]{8,28}\b"
         r"|\bsk-(?:round-trip|owner-only|test|fixture|dummy|fake|sample|x\d)[a-z0-9_-]{3,32}\b)",
         "i",
-        (),
+        ("authorization:", "token=", "sk-"),
     ),
     ("AWS Access Key", r"AKIA[0-9A-Z]{16}", "", ("AKIA",)),
     ("AWS Secret Key", r"""(?:aws_secret|AWS_SECRET)[^=\n]{0,64}=\s*['"][A-Za-z0-9/+=]{40}['"]""", "", ("aws_secret", "AWS_SECRET")),
@@ -276,7 +277,7 @@ ACCESSIBILITY = Pack(
     "accessibility",
     (
         Rule("accessibility", "click-events", "warning", "Click handler on non-interactive element without role + keyboard handler", r"^(?=.*(?:onClick=|@click|v-on:click|on:click)).*<(?:div|span|p|li|section|article|header|footer)\b", exclude=r"^(?=.*role=).*(?:onKeyDown|onKeyUp|onKeyPress|tabIndex|@keydown|on:keydown)", needles=("lick",)),
-        Rule("accessibility", "invalid-aria-attr", "error", "Suspicious ARIA attribute spelling", r"\baria-lable=|\barialabel=|\bariaLabel=|\barial-label=", "i"),
+        Rule("accessibility", "invalid-aria-attr", "error", "Suspicious ARIA attribute spelling", r"\baria-lable=|\barialabel=|\bariaLabel=|\barial-label=", "i", needles=("aria",)),
         Rule("accessibility", "aria-hidden-focus", "error", "Focusable or interactive element is hidden from assistive technology", r"""^(?=.*aria-hidden=["']true["']).*(?:tabIndex=\{?0|tabindex=["']0|onClick=|@click|on:click|href=)""", needles=("aria-hidden",)),
         Rule("accessibility", "no-autofocus", "warning", "autoFocus can disorient screen reader users", r"\bauto[Ff]ocus\b", needles=("auto",)),
         Rule("accessibility", "tabindex", "warning", "Positive tabIndex disrupts natural tab order — use 0 or -1", r"""tabIndex=\{[1-9]|tabindex=["'][1-9]""", needles=("tab",)),

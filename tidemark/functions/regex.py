@@ -13,7 +13,43 @@ _SPACES = r"\t\n\x0B\f\r \u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000
 _ASCII_BOUNDARY = r"(?:(?<=[A-Za-z0-9_])(?![A-Za-z0-9_])|(?<![A-Za-z0-9_])(?=[A-Za-z0-9_]))"
 
 
-def _translate(pattern: str, boundary: str, end: str) -> str:
+_WORD = "[A-Za-z0-9_]"
+
+
+def _word_atom(text: str) -> bool:
+    """Does this piece of pattern begin with something that can only be a word character?"""
+    return bool(re.match(r"[A-Za-z0-9_]|\\[wd]|\[[A-Za-z0-9_-]+\]", text))
+
+
+def _opens_with_word(rest: str) -> bool:
+    """True when whatever follows must start with a word character (flat groups included)."""
+    group = re.match(r"\((?:\?:)?([^()\[\]]*)\)(?![?*{])", rest)
+    if group:
+        return all(_word_atom(part) for part in group.group(1).split("|"))
+    atom = re.match(r"(?:[A-Za-z0-9_]|\\[wd]|\[[A-Za-z0-9_-]+\])([?*{]?)", rest)
+    return bool(atom) and atom.group(1) not in ("?", "*")
+
+
+def _closes_with_word(before: str) -> bool:
+    """True when whatever precedes must end with a word character."""
+    group = re.search(r"(?<!\\)\((?:\?:)?([^()\[\]]*)\)\Z", before)
+    if group:
+        return all(re.search(r"(?<!\\)[A-Za-z0-9_]\Z|\\[wd]\+?\Z", part) for part in group.group(1).split("|"))
+    if re.search(r"\\[A-Za-z]\Z", before):
+        return bool(re.search(r"\\[wd]\Z", before))
+    return bool(re.search(r"[A-Za-z0-9_]\Z|\\[wd](?:\+|\{[1-9][0-9,]*\})\Z|\[[A-Za-z0-9_-]+\](?:\+|\{[1-9][0-9,]*\})?\Z", before))
+
+
+def _boundary(before: str, rest: str) -> str:
+    """The cheapest ASCII form of a word boundary at this place."""
+    if _opens_with_word(rest):
+        return f"(?<!{_WORD})"
+    if _closes_with_word(before):
+        return f"(?!{_WORD})"
+    return _ASCII_BOUNDARY
+
+
+def _translate(pattern: str, end: str, ascii_boundary: bool) -> str:
     out: list[str] = []
     in_class = False
     i = 0
@@ -25,8 +61,8 @@ def _translate(pattern: str, boundary: str, end: str) -> str:
                 out.append(_SPACES if in_class else f"[{_SPACES}]")
             elif nxt == "S" and not in_class:
                 out.append(f"[^{_SPACES}]")
-            elif nxt == "b" and not in_class:
-                out.append(boundary)
+            elif nxt == "b" and not in_class and ascii_boundary:
+                out.append(_boundary(pattern[:i], pattern[i + 2 :]))
             else:
                 out.append(pattern[i : i + 2])
             i += 2
@@ -54,7 +90,7 @@ def _translate(pattern: str, boundary: str, end: str) -> str:
 
 def java(pattern: str, flags: str = "") -> str:
     """Pattern text for ``rlike`` / ``regexp_*``. Flags: i, m, s."""
-    body = _translate(pattern, _ASCII_BOUNDARY, "" if "m" in flags else r"\z")
+    body = _translate(pattern, "" if "m" in flags else r"\z", True)
     return (f"(?{flags})" if flags else "") + body
 
 
@@ -64,4 +100,4 @@ def python(pattern: str, flags: str = "") -> re.Pattern:
     value |= re.IGNORECASE if "i" in flags else 0
     value |= re.MULTILINE if "m" in flags else 0
     value |= re.DOTALL if "s" in flags else 0
-    return re.compile(_translate(pattern, r"\b", "" if "m" in flags else r"\Z"), value)
+    return re.compile(_translate(pattern, "" if "m" in flags else r"\Z", False), value)

@@ -164,68 +164,75 @@ def complexity_findings(functions_: DataFrame) -> DataFrame:
     )
 
 
-_MIX = np.uint64(0x9E3779B97F4A7C15)
+_MULTIPLIERS = (
+    (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)),
+    (np.uint64(0x94D049BB133111EB), np.uint64(0xD6E8FEB86659FD93)),
+)
 
 
-def _window_hashes(tokens: list[str], width: int) -> np.ndarray:
-    """A 64-bit hash of every run of ``width`` tokens (doubling, so log2(width) passes)."""
-    if len(tokens) < width:
-        return np.empty(0, dtype=np.uint64)
-    seen: dict[str, int] = {}
-    codes = np.empty(len(tokens), dtype=np.uint64)
-    for i, token in enumerate(tokens):
-        value = seen.get(token)
-        if value is None:
-            value = seen[token] = int.from_bytes(hashlib.blake2b(token.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
-        codes[i] = value
+def _window_hashes(codes: np.ndarray, width: int, multipliers: tuple) -> np.ndarray:
+    """A 64-bit hash of every run of ``width`` codes (doubling, so log2(width) passes)."""
+    left_by, right_by = multipliers
 
     def join(a: np.ndarray, b: np.ndarray, salt: int) -> np.ndarray:
-        x = (a ^ (a >> np.uint64(29))) * _MIX + b * np.uint64(0xBF58476D1CE4E5B9) + np.uint64(salt)
+        x = (a ^ (a >> np.uint64(29))) * left_by + b * right_by + np.uint64(salt)
         return x ^ (x >> np.uint64(32))
 
-    total, covered, power, size = None, 0, codes, 1
+    total, covered, power, size, left = None, 0, codes, 1, width
     with np.errstate(over="ignore"):
-        left = width
         while left:
             if left & 1:
                 if total is None:
                     total, covered = power, size
                 else:
-                    n = len(tokens) - covered - size + 1
+                    n = len(codes) - covered - size + 1
                     total = join(total[:n], power[covered : covered + n], covered + size)
                     covered += size
             left >>= 1
             if left:
-                n = len(tokens) - 2 * size + 1
+                n = len(codes) - 2 * size + 1
                 power = join(power[:n], power[size : size + n], 2 * size)
                 size *= 2
-    return total[: len(tokens) - width + 1]
+    return total[: len(codes) - width + 1]
+
+
+def window_arrays(source: str, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash and second hash of every window of ``width`` tokens, and the line of every token."""
+    tokens = tokenise(blank_imports(source))
+    if len(tokens) < width:
+        return np.empty(0, np.int64), np.empty(0, np.int32), np.empty(0, np.int32)
+    known: dict[str, int] = {}
+    codes = np.empty(len(tokens), dtype=np.uint64)
+    for i, (token, _) in enumerate(tokens):
+        code = known.get(token)
+        if code is None:
+            digest = hashlib.blake2b(token.encode("utf-8", "surrogatepass"), digest_size=8).digest()
+            code = known[token] = int.from_bytes(digest, "little")
+        codes[i] = code
+    first, second = (_window_hashes(codes, width, m) for m in _MULTIPLIERS)
+    lines = np.fromiter((line for _, line in tokens), dtype=np.int32, count=len(tokens))
+    return first.view(np.int64), (second >> np.uint64(32)).astype(np.uint32).view(np.int32), lines
 
 
 def token_windows(files: DataFrame, width: int) -> DataFrame:
-    """One row per token position: hash of the window and the lines it covers."""
+    """One row per token position: 96 bits of window hash and the lines the window covers.
 
-    def per_batch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for files_ in batches:
-            for project, path, text in zip(files_["project"], files_["path"], files_["content"]):
-                tokens = tokenise(blank_imports(text or ""))
-                hashes = _window_hashes([t for t, _ in tokens], width)
-                if not len(hashes):
-                    continue
-                lines = np.array([n for _, n in tokens], dtype=np.int32)
-                yield pd.DataFrame(
-                    {
-                        "project": project,
-                        "path": path,
-                        "pos": np.arange(len(hashes), dtype=np.int64),
-                        "line": lines[: len(hashes)],
-                        "end_line": lines[width - 1 :],
-                        "hash": hashes.view(np.int64),
-                    }
-                )
-
-    schema = "project string, path string, pos bigint, line int, end_line int, hash bigint"
-    return files.select("project", "path", "content").mapInPandas(per_batch, schema)
+    Python returns three arrays per file; the rows are made from them on the JVM side.
+    """
+
+    @F.pandas_udf("struct<hash:array<bigint>,tag:array<int>,line:array<int>,end_line:array<int>>")
+    def windows(texts: pd.Series) -> pd.DataFrame:
+        rows = []
+        for text in texts:
+            hashes, tags, lines = window_arrays(text or "", width)
+            rows.append((hashes, tags, lines[: len(hashes)], lines[width - 1 :]))
+        return pd.DataFrame(rows, columns=["hash", "tag", "line", "end_line"])
+
+    hashed = files.select("project", "path", windows("content").alias("_w"))
+    zipped = F.arrays_zip("_w.hash", "_w.tag", "_w.line", "_w.end_line")
+    return hashed.select("project", "path", F.posexplode(zipped).alias("pos", "_r")).select(
+        "project", "path", "pos", "_r.hash", "_r.tag", "_r.line", "_r.end_line"
+    )
 
 
 def clones(files: DataFrame, min_tokens: int = 50) -> DataFrame:
@@ -238,14 +245,14 @@ def clones(files: DataFrame, min_tokens: int = 50) -> DataFrame:
     equal tokens and is not linked.
     """
     windows = token_windows(files, min_tokens)
-    place = F.struct("path", "pos", "line")
+    key = ["project", "hash", "tag"]
     first = (
-        windows.groupBy("project", "hash")
-        .agg(F.min(place).alias("origin"), F.count(F.lit(1)).alias("copies"))
+        windows.groupBy(*key)
+        .agg(F.min(F.struct("path", "pos", "line")).alias("origin"), F.count(F.lit(1)).alias("copies"))
         .where(F.col("copies") > 1)
-        .select("project", "hash", F.col("origin.path").alias("origin_path"), F.col("origin.pos").alias("origin_pos"), F.col("origin.line").alias("origin_line"))
+        .select(*key, F.col("origin.path").alias("origin_path"), F.col("origin.pos").alias("origin_pos"), F.col("origin.line").alias("origin_line"))
     )
-    linked = windows.join(first, ["project", "hash"]).where(
+    linked = windows.join(first, key).where(
         (F.col("path") != F.col("origin_path")) | (F.col("pos") >= F.col("origin_pos") + min_tokens)
     )
     diagonal = linked.withColumn("shift", F.col("pos") - F.col("origin_pos"))

@@ -35,9 +35,10 @@ def skip_lines(lines: DataFrame, patterns: Sequence[str]) -> DataFrame:
 def _fires(rule: Rule, line: Column, path: Column) -> Column:
     hit = line.rlike(java(rule.pattern, rule.flags))
     if rule.needles:
-        cheap = line.contains(rule.needles[0])
+        text = F.lower(line) if "i" in rule.flags else line
+        cheap = text.contains(rule.needles[0])
         for needle in rule.needles[1:]:
-            cheap = cheap | line.contains(needle)
+            cheap = cheap | text.contains(needle)
         hit = cheap & hit
     if rule.paths:
         hit = path.rlike(java(rule.paths)) & hit

@@ -15,6 +15,7 @@ from tidemark.operators import rules as E
 from tidemark.operators import textmetrics as M
 from tidemark.plans.registry import named
 from tidemark.plans.views import FACTS, LINES, MODULES, TESTS, quoted, with_views
+from tidemark.session import spread
 from tidemark.sources import policy as L
 from tidemark.sources.corpus import event_modules, event_number, event_tests, policy_files, table
 
@@ -57,7 +58,7 @@ def storage_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(F.col("event_type") == "purchase", F.concat(F.lit("const db = 'postgres://app:pw"), user, F.lit("@host/db'")))
         .otherwise(F.concat(F.lit("document.cookie = 'a="), user, F.lit("'")))
     )
-    return table(spark, sf_dir, "events").select(
+    return spread(table(spark, sf_dir, "events").select("user_id", "event_type", "event_id")).select(
         F.concat(F.lit("u"), user).alias("project"), F.concat("event_type", F.lit(".ts")).alias("path"), F.col("event_id").alias("line_no"), text.alias("line")
     )
 

@@ -164,7 +164,7 @@ def snapshot_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def parsed_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Snapshot texts read with the fixed schema; texts that are not whole JSON are dropped."""
     whole = snapshot_texts(spark, sf_dir).where(F.get_json_object("body", "$.checks").isNotNull())
-    return whole.select(F.from_json("body", H.SNAPSHOT).alias("s")).where(F.col("s.project").isNotNull()).select("s.*")
+    return whole.select(F.inline(F.array(F.from_json("body", H.SNAPSHOT)))).where(F.col("project").isNotNull())
 
 
 @named(

@@ -24,9 +24,10 @@ def stream_of(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The table as a stream, be it one file or a folder.
 
     A plain path must be a folder; a pattern (here one that matches just the name) may be a file.
+    The size of a micro-batch is limited, and with it what one key can bring to a task at once.
     """
     schema = spark.read.parquet(f"{sf_dir}/{name}.parquet").schema
-    return spark.readStream.schema(schema).parquet(f"{sf_dir}/{name}.parque[t]")
+    return spark.readStream.schema(schema).option("maxBytesPerTrigger", str(512 << 20)).parquet(f"{sf_dir}/{name}.parque[t]")
 
 
 def run_to_end(stream: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.catalog.tables import MAX_SOURCE_BYTES
 from tidemark.functions import scoring as S
+from tidemark.session import spread
 
 
 def read_corpus(spark: SparkSession, path: str, root: str, max_bytes: int | None = MAX_SOURCE_BYTES) -> DataFrame:
@@ -42,7 +43,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def document_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``documents`` seen as text files: the source is the project, the language a directory."""
-    docs = table(spark, sf_dir, "documents")
+    docs = spread(table(spark, sf_dir, "documents").select("source", "lang", "doc_id", "text"))
     return docs.select(
         F.col("source").alias("project"),
         F.concat_ws("/", "lang", F.concat(F.col("doc_id").cast("string"), F.lit(".txt"))).alias("path"),
@@ -52,7 +53,7 @@ def document_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def page_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``pages`` seen as HTML files of a static site: the host is the project."""
-    pages = table(spark, sf_dir, "pages")
+    pages = spread(table(spark, sf_dir, "pages"))
     return pages.select(
         F.regexp_extract("url", r"^https?://([^/?#]+)", 1).alias("project"),
         F.concat(F.col("page_id").cast("string"), F.lit(".html")).alias("path"),

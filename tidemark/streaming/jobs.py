@@ -85,24 +85,28 @@ class LiveFindings(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
         batch = pd.concat(list(rows))
-        out = []
+        last = self.seen.get()[0] if self.seen.exists() else None
+        stored = {} if last is None else {k[0]: v[0] for k, v in self.counts.iterator()}
+        before, out = stored, []
         for scan_id, scan in batch.groupby("scan_id", sort=True):
-            first = not self.seen.exists()
-            if not first and scan_id <= self.seen.get()[0]:
+            if last is not None and scan_id <= last:
                 continue
             now = scan["fingerprint"].dropna().value_counts().to_dict()
-            before = {} if first else {k[0]: v[0] for k, v in self.counts.iterator()}
-            if not first:
+            if last is not None:
                 for fingerprint in sorted(now.keys() | before.keys()):
                     gap = now.get(fingerprint, 0) - before.get(fingerprint, 0)
                     if gap:
                         kind = "introduced" if gap > 0 else "fixed"
                         out.append((key[0], key[1], int(scan_id), fingerprint, kind, abs(int(gap))))
-            for fingerprint in before.keys() - now.keys():
-                self.counts.removeKey((fingerprint,))
-            for fingerprint, n in now.items():
+            before, last = now, int(scan_id)
+        # Only what differs from the stored snapshot is written back, once per batch.
+        for fingerprint in stored.keys() - before.keys():
+            self.counts.removeKey((fingerprint,))
+        for fingerprint, n in before.items():
+            if stored.get(fingerprint) != n:
                 self.counts.updateValue((fingerprint,), (int(n),))
-            self.seen.update((int(scan_id),))
+        if last is not None:
+            self.seen.update((int(last),))
         yield pd.DataFrame(out, columns=["project", "check", "scan_id", "fingerprint", "kind", "copies"])
 
     def close(self) -> None:
