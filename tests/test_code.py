@@ -57,10 +57,16 @@ def test_clones_cover_brute_force(spark, files):
 def test_findings_have_stable_subjects(spark, files):
     table = files({"a.ts": BLOCK, "b.ts": BLOCK})
     moved = files({"a.ts": "// one\n" + BLOCK, "b.ts": BLOCK.replace("  ", "    ")})
-    subjects = [{r["subject"] for r in C.clone_findings(C.clones(t), t).collect()} for t in (table, moved)]
+    subjects = [{r["subject"] for r in C.clone_findings(C.clones(t)).collect()} for t in (table, moved)]
     assert len(subjects[0]) == 1 and subjects[0] == subjects[1]
 
 
+def test_duplication_score(spark, files):
+    table = files({"a.ts": BLOCK, "b.ts": BLOCK, ("q", "c.ts"): "x"})
+    scores = {r["project"]: (r["copied"], r["score"]) for r in C.duplication_scores(table, C.clones(table)).collect()}
+    assert scores == {"p": (8, 50), "q": (0, 100)}
+
+
 def test_tokens():
     tokens = C.tokenise("const x = 1; // c\n/* b\n */ f(`a ${b} c`, 'it''s')")
     assert [t for t, _ in tokens] == ["const", "x", "=", "1", ";", "f", "(", "`a ${b} c`", ",", "'it'", "'s'", ")"]

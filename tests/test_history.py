@@ -143,7 +143,7 @@ def test_previous_row_of_a_hot_key(spark):
     table = hot(spark).cache()
     table.createOrReplaceTempView("hot_rows")
     plain = spark.sql("select *, lag(v) over (partition by key order by at) p from hot_rows")
-    got = previous_row(table, ["key"], ["at"], F.col("v"), F.floor(F.col("at") / 100), "p")
+    got = previous_row(table, ["key"], ["at"], F.col("v"), [F.floor(F.col("at") / 10), F.floor(F.col("at") / 500)], "p")
     assert sorted(got.collect(), key=str) == sorted(plain.select(*got.columns).collect(), key=str)
 
 

@@ -15,8 +15,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.functions import scoring as S
 from tidemark.functions.regex import java
-from tidemark.operators.fingerprints import snippet_digest
 from tidemark.operators.skew import numbered_runs
 
 # A comment, a string literal (one token each), a word, or a single sign.
@@ -38,6 +38,7 @@ _FUNCTION_STARTS = tuple(
     )
 )
 _NOT_FUNCTIONS = {"if", "for", "while", "switch", "catch", "with", "return", "await", "typeof", "new", "super"}
+_LITERAL = re.compile(r"\"(?:[^\"\\]|\\.)*\"|'(?:[^'\\]|\\.)*'|`(?:[^`\\]|\\.)*`")
 _BRANCH = re.compile(r"\b(?:if|else if|else|switch|for|while|do|catch)\b|&&|\|\|")
 _TERNARY = re.compile(r"\?.*:")
 MAX_FUNCTION_LINES = 60
@@ -104,27 +105,37 @@ def mask_html(files: DataFrame) -> DataFrame:
     return files.withColumn("content", content)
 
 
+def _starts(line: str) -> str | None:
+    """Name of the function a line begins, if any."""
+    found = next((m for m in (p.match(line) for p in _FUNCTION_STARTS) if m), None)
+    return found.group(1) if found and found.group(1) not in _NOT_FUNCTIONS else None
+
+
 def functions_of(source: str) -> list[tuple[str, int, int, int]]:
-    """(name, start line, lines, complexity) of the functions found."""
+    """(name, start line, lines, complexity) of the functions found.
+
+    Works on arrays over the lines of the file: ``level`` is the running brace depth
+    after each line. A function ends on the first later line whose level is back to
+    what it was before the function began.
+    """
     lines = source.split("\n")
-    out = []
-    start, name, depth = None, "", 0
-    for i, line in enumerate(lines):
-        if start is None:
-            stripped = line.strip()
-            match = next((m for m in (p.match(stripped) for p in _FUNCTION_STARTS) if m), None)
-            if match and match.group(1) not in _NOT_FUNCTIONS:
-                start, name, depth = i, match.group(1) or "anonymous", 0
-        if start is None:
+    stripped = [line.strip() for line in lines]
+    plain = [_LITERAL.sub("", re.sub(r"//.*$", "", line)) for line in lines]
+    level = np.cumsum([p.count("{") - p.count("}") for p in plain])
+    points = np.cumsum([bool(_BRANCH.search(s)) + (bool(_TERNARY.search(s)) and not s.startswith("//")) for s in stripped])
+    out: list[tuple[str, int, int, int]] = []
+    free_from = 0  # nested functions belong to the one around them
+    for start, line in enumerate(stripped):
+        name = _starts(line) if start >= free_from else None
+        if name is None:
             continue
-        bare = re.sub(r"\"(?:[^\"\\]|\\.)*\"|'(?:[^'\\]|\\.)*'|`(?:[^`\\]|\\.)*`", "", re.sub(r"//.*$", "", line))
-        depth += bare.count("{") - bare.count("}")
-        if depth <= 0 and i > start:
-            body = [part.strip() for part in lines[start : i + 1]]
-            points = sum(bool(_BRANCH.search(b)) for b in body)
-            points += sum(bool(_TERNARY.search(b)) and not b.startswith("//") for b in body)
-            out.append((name, start + 1, i - start + 1, points))
-            start = None
+        base, scored = (level[start - 1], points[start - 1]) if start else (0, 0)
+        back = np.flatnonzero(level[start + 1 :] <= base)
+        if not len(back):
+            break  # never closed: nothing after it can be told apart
+        end = start + 1 + int(back[0])
+        out.append((name, start + 1, end - start + 1, int(points[end] - scored)))
+        free_from = end + 1
     return out
 
 
@@ -257,30 +268,47 @@ def clones(files: DataFrame, min_tokens: int = 50) -> DataFrame:
     )
     diagonal = linked.withColumn("shift", F.col("pos") - F.col("origin_pos"))
     keys = ["project", "path", "origin_path", "shift"]
-    runs = numbered_runs(diagonal, keys, "pos", first=["line", "origin_line"], last=["end_line"])
+    diagonal = diagonal.withColumn("last_hash", F.col("hash"))
+    runs = numbered_runs(diagonal, keys, "pos", first=["line", "origin_line", "hash"], last=["end_line", "last_hash"])
+    digest = F.sha1(F.concat_ws("|", *[F.col(c).cast("string") for c in ("hash", "last_hash", "size")]))
     return runs.select(
-        "project", "path", "origin_path",
+        "project", "path", "origin_path", F.substring(digest, 1, 12).alias("digest"),
         F.col("line").alias("start_line"), "end_line", "origin_line",
         (F.col("size") + min_tokens - 1).alias("tokens"),
         (F.col("end_line") - F.col("line") + 1).alias("lines"),
     )
 
 
-def clone_findings(clones_: DataFrame, files: DataFrame) -> DataFrame:
-    """Findings whose subject is the sorted pair of paths and a digest of the text."""
-    bodies = files.select("project", "path", F.split("content", "\n").alias("_lines"))
-    located = clones_.join(bodies, ["project", "path"])
-    text = F.array_join(F.slice("_lines", F.col("start_line"), F.col("lines")), "\n")
+def clone_findings(clones_: DataFrame) -> DataFrame:
+    """Findings whose subject is the sorted pair of paths and the digest of the copied tokens.
+
+    The digest comes from the window hashes at both ends of the run, so white space,
+    comments and moved lines leave it alone and no text has to be fetched again.
+    """
     pair = F.array_join(F.array_sort(F.array("path", "origin_path")), "|")
-    return located.select(
+    return clones_.select(
         "project", "path", F.col("start_line").alias("line_no"),
         F.lit("duplication").alias("check"), F.lit("duplicate-code").alias("rule"), F.lit("warning").alias("severity"),
         F.concat(F.lit("Duplicate ("), F.col("lines").cast("string"), F.lit(" lines) of "), "origin_path").alias("message"),
-        F.concat_ws("|", pair, snippet_digest(text)).alias("subject"),
+        F.concat_ws("|", pair, "digest").alias("subject"),
         F.lit(0).alias("seq"),
     )
 
 
+def duplication_scores(files: DataFrame, clones_: DataFrame) -> DataFrame:
+    """100 minus the share of lines that lie in a clone, each line counted once.
+
+    Our own definition: the matched engine's formula is not public.
+    """
+    total = files.groupBy("project").agg(F.sum(F.size(F.split("content", "\n"))).alias("lines"))
+    covered = (
+        clones_.select("project", "path", F.explode(F.sequence("start_line", "end_line")).alias("line")).distinct()
+        .groupBy("project").agg(F.count(F.lit(1)).alias("copied"))
+    )
+    both = total.join(covered, "project", "left").withColumn("copied", F.coalesce("copied", F.lit(0)))
+    return both.withColumn("score", S.round_half_up(S.clamp(100 - F.col("copied") / F.col("lines") * 100)))
+
+
 def duplicate_files(files: DataFrame) -> DataFrame:
     """Groups of files with the same text: size and first path."""
     return (

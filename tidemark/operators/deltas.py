@@ -130,9 +130,10 @@ def first_latest(scans: DataFrame) -> DataFrame:
     return ends.withColumn("delta", F.col("latest") - F.col("first"))
 
 
-def regressions(scans: DataFrame, drop: int, bucket: Column) -> DataFrame:
+def regressions(scans: DataFrame, drop: int) -> DataFrame:
     """Scans that lost at least ``drop`` points against the check's previous scan."""
-    stepped = previous_row(scans, ["project", "check"], ["scan_ts", "scan_id"], F.col("score"), bucket, "previous")
+    buckets = [F.date_trunc("minute", F.col("scan_ts")), F.date_trunc("day", F.col("scan_ts"))]
+    stepped = previous_row(scans, ["project", "check"], ["scan_ts", "scan_id"], F.col("score"), buckets, "previous")
     return stepped.where(F.col("previous") - F.col("score") >= drop).withColumn("lost", F.col("previous") - F.col("score"))
 
 

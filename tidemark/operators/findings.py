@@ -47,7 +47,7 @@ def drop_ignored(findings: DataFrame, ignores: DataFrame) -> DataFrame:
     gathered into an array so that findings see a plain equi-join.
     """
     per_check = ignores.groupBy("check").agg(F.collect_set("pattern").alias("_patterns"))
-    joined = findings.join(F.broadcast(per_check), "check", "left")
+    joined = findings.join(per_check, "check", "left")
     hit = F.exists("_patterns", lambda p: matches_glob(F.col("path"), p))
     return joined.where(F.col("path").isNull() | ~F.coalesce(hit, F.lit(False))).select(*findings.columns)
 

@@ -99,8 +99,10 @@ def generic_names(lines: DataFrame) -> DataFrame:
     )
 
 
-def ambiguous_abbreviations(files: DataFrame, column: Column | None = None) -> DataFrame:
+def ambiguous_abbreviations(
+    files: DataFrame, column: Column | None = None, words: Sequence[str] = AMBIGUOUS_ABBREVIATIONS
+) -> DataFrame:
     """Abbreviations in file names that could mean several things."""
     name = column if column is not None else stem(F.col("path"))
-    parts = F.filter(F.split(F.lower(name), "[-_./]"), lambda s: s.isin(*AMBIGUOUS_ABBREVIATIONS))
+    parts = F.filter(F.split(F.lower(name), "[-_./]"), lambda s: s.isin(*words))
     return files.select("project", "path", F.explode(parts).alias("abbreviation"))

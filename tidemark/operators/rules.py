@@ -268,7 +268,7 @@ def scan_concerns(files: DataFrame, groups: Mapping[str, Sequence[str]] = CONCER
 
 def require_present(projects: DataFrame, files: DataFrame, required: DataFrame) -> DataFrame:
     """Required files a project lacks. ``required``: kind, path, required, description."""
-    wanted = projects.join(F.broadcast(required), "kind")
+    wanted = projects.join(required, "kind")
     return wanted.join(files.select("project", "path").distinct(), ["project", "path"], "left_anti").select(
         "project",
         F.col("path").alias("missing"),

@@ -33,23 +33,33 @@ def top_n_per_key(
 
 
 def previous_row(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], value: Column, bucket: Column, out: str
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], value: Column, buckets: Sequence[Column], out: str
 ) -> DataFrame:
     """``lag(value)`` per key in ``order``, worked out bucket by bucket.
 
-    ``bucket`` must grow with ``order`` (a truncated timestamp, say) and the keys
-    must not be null. Inside a bucket a window looks back one row; the first row of
-    a bucket takes the last value of the nearest earlier bucket, found on one row
-    per key and bucket. Window and join share the partitioning by key and bucket.
+    ``buckets`` are nested, finest first (minute, day), grow with ``order`` and must
+    not be null, nor must the keys. Inside a finest bucket a window looks back one
+    row; its first row takes the last value of the nearest earlier bucket, which is
+    found the same way among the bucket ends, one level coarser. No window ever
+    holds more than one finest bucket, or the buckets of one coarser one.
     """
-    keys = list(keys)
-    tagged = df.withColumn("_bucket", bucket).withColumn("_value", F.struct(value.alias("v")))
-    inside = Window.partitionBy(*keys, "_bucket").orderBy(*order)
-    lagged = tagged.withColumn("_prev", F.lag("_value").over(inside))
-    ends = tagged.groupBy(*keys, "_bucket").agg(F.max_by("_value", F.struct(*order)).alias("_end"))
-    before = ends.withColumn("_before", F.lag("_end").over(Window.partitionBy(*keys).orderBy("_bucket"))).drop("_end")
-    joined = lagged.join(before, [*keys, "_bucket"], "left")
-    return joined.select(*df.columns, F.coalesce("_prev", "_before").getField("v").alias(out))
+    keys, order = list(keys), list(order)
+    levels = [f"_bucket{i}" for i in range(len(buckets))]
+    tagged = df.select(*df.columns, *[b.alias(n) for b, n in zip(buckets, levels)], F.struct(value.alias("v")).alias("_value"))
+    return _previous(tagged, keys, order, levels).select(*df.columns, F.col("_prev.v").alias(out))
+
+
+def _previous(df: DataFrame, keys: list[str], order: list[str], levels: list[str]) -> DataFrame:
+    """Adds ``_prev``, the ``_value`` of the row before."""
+    inside = Window.partitionBy(*keys, *levels).orderBy(*order)
+    lagged = df.withColumn("_prev", F.lag("_value").over(inside))
+    if not levels:
+        return lagged
+    finest, coarser = levels[0], levels[1:]
+    ends = df.groupBy(*keys, *levels).agg(F.max_by("_value", F.struct(*order)).alias("_value"))
+    before = _previous(ends, keys, [finest], coarser).select(*keys, *levels, F.col("_prev").alias("_before"))
+    joined = lagged.join(before, [*keys, *levels], "left")
+    return joined.withColumn("_prev", F.coalesce("_prev", "_before")).drop("_before")
 
 
 def numbered_runs(

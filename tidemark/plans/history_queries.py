@@ -270,7 +270,7 @@ def score_changes(spark, sf_dir):
     SELECT project, "check", scan_id, score, previous, previous - score AS lost FROM l WHERE previous - score >= 30""",
 )
 def regressions(spark, sf_dir):
-    lost = D.regressions(event_scans(spark, sf_dir), 30, F.to_date("scan_ts"))
+    lost = D.regressions(event_scans(spark, sf_dir), 30)
     return lost.select("project", "check", "scan_id", "score", "previous", "lost")
 
 

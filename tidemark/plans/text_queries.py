@@ -306,19 +306,12 @@ def redacted_logs(spark, sf_dir):
     )
 
 
-@named(
-    "redacted_conversations",
-    "SELECT conv_id, count(*) AS turns, sha1(string_agg(text, chr(10) ORDER BY turn)) AS digest FROM conversations GROUP BY conv_id",
-)
+@named("redacted_conversations", "SELECT conv_id, turn, role, sha1(text) AS digest FROM conversations")
 def redacted_conversations(spark, sf_dir):
     """Every string of nested rows redacted; conversation text holds no credential, so it comes back unchanged."""
     turns = table(spark, sf_dir, "conversations")
     nested = turns.select("conv_id", "turn", F.struct("role", F.array("text").alias("texts")).alias("message"))
-    clean = R.redact_deep(nested)
-    ordered = F.array_sort(F.collect_list(F.struct("turn", F.col("message.texts")[0].alias("t"))))
-    return clean.groupBy("conv_id").agg(
-        F.count(F.lit(1)).alias("turns"), F.sha1(F.array_join(F.transform(ordered, lambda s: s["t"]), "\n")).alias("digest")
-    )
+    return R.redact_deep(nested).select("conv_id", "turn", "message.role", F.sha1(F.col("message.texts")[0]).alias("digest"))
 
 
 # --- identity and comparison ---------------------------------------------------------
@@ -573,21 +566,19 @@ def todo_ages(spark, sf_dir):
 
 @named(
     "stale_references",
-    """WITH files AS (SELECT source AS project, text AS content FROM documents),
-    known AS (SELECT DISTINCT project, unnest(regexp_extract_all(content, '[0-9A-Za-z_]+')) AS name FROM files),
-    docs AS (SELECT d.source AS project, b.item_id, unnest(list_distinct(regexp_extract_all(b.text, '\\b[a-z][0-9A-Za-z_]{4,}\\b'))) AS name FROM benchmark b CROSS JOIN (SELECT DISTINCT source FROM documents) d)
-    SELECT project, item_id || '.md' AS path, name FROM docs WHERE NOT EXISTS (SELECT 1 FROM known k WHERE k.project = docs.project AND k.name = docs.name)""",
+    """WITH known AS (SELECT DISTINCT source, unnest(regexp_extract_all(text, '[0-9A-Za-z_]+')) AS name FROM documents WHERE lang <> 'es'),
+    docs AS (SELECT source, doc_id, unnest(list_distinct(regexp_extract_all(text, '\\b[a-z][0-9A-Za-z_]{4,}\\b'))) AS name FROM documents WHERE lang = 'es')
+    SELECT source AS project, doc_id || '.md' AS path, name FROM docs WHERE NOT EXISTS (SELECT 1 FROM known k WHERE k.source = docs.source AND k.name = docs.name)
+      AND name NOT IN ('false', 'undefined', 'string', 'number', 'boolean')""",
 )
 def stale_references(spark, sf_dir):
-    """Words of the benchmark passages, quoted as in a manual, that no document of a source contains."""
-    sources = table(spark, sf_dir, "documents").select(F.col("source").alias("project"), F.col("text").alias("content"))
-    names = sources.agg(F.array_sort(F.collect_set("project")).alias("_p")).scalar()
+    """Spanish documents read as manuals whose words are quoted names; the other documents of the source are the code."""
+    docs = table(spark, sf_dir, "documents")
     # Java's \b treats accented letters as word characters; the class is spelled out to stay ASCII.
     quoted_words = F.regexp_replace("text", r"(?<![0-9A-Za-z_])([a-z][0-9A-Za-z_]{4,})(?![0-9A-Za-z_])", "`$1`")
-    manuals = table(spark, sf_dir, "benchmark").select(
-        F.explode(names).alias("project"), F.concat("item_id", F.lit(".md")).alias("path"), quoted_words.alias("content")
-    )
-    return M.stale_refs(manuals, sources)
+    manuals = docs.where("lang = 'es'").select(F.col("source").alias("project"), F.concat("doc_id", F.lit(".md")).alias("path"), quoted_words.alias("content"))
+    code = docs.where("lang <> 'es'").select(F.col("source").alias("project"), F.col("text").alias("content"))
+    return M.stale_refs(manuals, code)
 
 
 @named(
@@ -648,13 +639,41 @@ def token_clones(spark, sf_dir):
     return C.clones(document_files(spark, sf_dir), 50)
 
 
+# Tokens as the tokeniser sees them: comment, text literal, word, sign.
+_TOKENS = (
+    r"//[^\n]*|/\*(?s:.*?)(?:\*/|\z)|\"(?:[^\"\\\n]|\\(?s:.))*\"?|''(?:[^''\\\n]|\\(?s:.))*''?|`(?:[^`\\]|\\(?s:.))*`?|[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]"
+)
+
+
+@named(
+    "clone_pairs",
+    "WITH t AS (SELECT source AS project, lang || '/' || doc_id || '.txt' AS path, list_filter(regexp_extract_all(text, '" + _TOKENS + "'), lambda t: NOT (starts_with(t, '//') OR starts_with(t, '/*'))) AS t FROM documents), "
+    """w AS (SELECT project, path, unnest(list_transform(generate_series(1, len(t) - 49), lambda i: hash(t[i:i + 49]))) AS h,
+      unnest(generate_series(1, len(t) - 49)) AS pos FROM t WHERE len(t) >= 50),
+    o AS (SELECT project, h, arg_min(path, (path, pos)) AS origin_path, arg_min(pos, (path, pos)) AS origin_pos FROM w GROUP BY ALL HAVING count(*) > 1),
+    l AS (SELECT w.project, w.path, origin_path, pos, pos - origin_pos AS shift FROM w JOIN o USING (project, h) WHERE w.path <> origin_path OR pos >= origin_pos + 50),
+    r AS (SELECT *, pos - row_number() OVER (PARTITION BY project, path, origin_path, shift ORDER BY pos) AS island FROM l),
+    c AS (SELECT project, path, origin_path, count(*) + 49 AS tokens FROM r GROUP BY project, path, origin_path, shift, island)
+    SELECT project, path, origin_path, count(*) AS clones, CAST(sum(tokens) AS BIGINT) AS tokens FROM c GROUP BY ALL""",
+)
+def clone_pairs(spark, sf_dir):
+    """Clones and copied tokens per pair of files."""
+    found = C.clones(document_files(spark, sf_dir), 50)
+    return found.groupBy("project", "path", "origin_path").agg(F.count(F.lit(1)).alias("clones"), F.sum("tokens").alias("tokens"))
+
+
 @named("clone_subjects")
 def clone_subjects(spark, sf_dir):
-    files = document_files(spark, sf_dir)
-    found = C.clone_findings(C.clones(files, 50), files)
+    found = C.clone_findings(C.clones(document_files(spark, sf_dir), 50))
     return P.fingerprint(found.withColumn("line", F.lit(None).cast("string"))).select("project", "path", "line_no", "subject", "fingerprint")
 
 
+@named("duplication_scores")
+def duplication_scores(spark, sf_dir):
+    files = document_files(spark, sf_dir)
+    return C.duplication_scores(files, C.clones(files, 50))
+
+
 @named("masked_texts")
 def masked_texts(spark, sf_dir):
     """Comments and literals blanked: sizes and line counts must not change."""
@@ -706,14 +725,17 @@ def synonym_names(spark, sf_dir):
     return N.synonym_names(first_words(spark, sf_dir), WORD_PAIRS).select("project", "dir", "words", "name_pairs")
 
 
+ENDINGS = ("th", "er", "nd", "ou", "ea", "ti")
+
+
 @named(
     "ambiguous_abbreviations",
-    """SELECT source AS project, lang || '/' || doc_id AS path, lower(w) AS abbreviation FROM (SELECT *, unnest(string_split(regexp_extract(text, '^[^\\n]*'), ' ')) AS w FROM documents)
-    WHERE lower(w) IN ('auth', 'config', 'env', 'db', 'msg', 'ctx', 'err', 'mgr', 'svc', 'srv', 'req', 'res', 'cmd', 'evt', 'ref')""",
+    """SELECT source AS project, lang || '/' || doc_id AS path, lower(w) AS abbreviation FROM (SELECT *, unnest(string_split(string_split(text, chr(10))[1], ' ')) AS w FROM documents)
+    WHERE lower(w) IN ('th', 'er', 'nd', 'ou', 'ea', 'ti')""",
 )
 def ambiguous_abbreviations(spark, sf_dir):
-    """Words of each first line taken as the parts of a file name."""
+    """Words of each first line taken as the parts of a file name; short syllables stand for the abbreviations."""
     docs = table(spark, sf_dir, "documents").select(
         F.col("source").alias("project"), F.concat("lang", F.lit("/"), "doc_id").alias("path"), F.split("text", "\n")[0].alias("first")
     )
-    return N.ambiguous_abbreviations(docs, F.translate("first", " .-/", "_\x01\x01\x01"))
+    return N.ambiguous_abbreviations(docs, F.translate("first", " .-/_", "_\x01\x01\x01\x01"), ENDINGS)
