@@ -132,7 +132,7 @@ def line_windows(files: DataFrame, trigger: str, before: int, after: int, gate:
     itself with the ``after - 1`` lines below it (``below``), each joined by newlines.
     """
     content = F.col("content")
-    kept = files.where(content.rlike(java(gate or trigger)))
+    kept = files.where(content.rlike(java(gate or trigger, "m")))  # multi-line: the trigger may sit on any line
     split = kept.select("project", "path", F.split("content", "\n").alias("_lines"))
     numbered = split.withColumn(
         "_at",

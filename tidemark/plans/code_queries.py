@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.catalog.rules import ERROR_HANDLING, SECURITY, TYPE_ESCAPES_TS
 from tidemark.functions import scoring as S
+from tidemark.operators import block_rules as B
 from tidemark.operators import code as C
 from tidemark.operators import findings as W
 from tidemark.operators import imports as I
@@ -648,3 +649,21 @@ def files_of_projects(spark, sf_dir):
 )
 def directory_sizes(spark, sf_dir):
     return M.directory_sizes(policy_files(spark, sf_dir))
+
+
+@named(
+    "test_block_audit",
+    with_views(FACTS, TESTS) + """, l AS (SELECT path, unnest(string_split(content, chr(10))) AS line, generate_subscripts(string_split(content, chr(10)), 1) AS line_no FROM tests)
+    SELECT path, line_no, 'empty-test' AS rule, 'warning' AS severity FROM l WHERE starts_with(line, 'it(')""",
+)
+def test_block_audit(spark, sf_dir):
+    """One-line tests have no body of their own, so each counts as empty."""
+    return B.audit_tests(event_tests(spark, sf_dir)).select("path", "line_no", "rule", "severity")
+
+
+@named(
+    "tracked_files",
+    with_views(_POLICY_FILES) + "SELECT project, dir || '/' || name AS path, 'large-file' AS rule FROM files WHERE size > 5000",
+)
+def tracked_files(spark, sf_dir):
+    return B.tracked_files(policy_files(spark, sf_dir), large=5000).select("project", "path", "rule")

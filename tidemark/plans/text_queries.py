@@ -648,8 +648,14 @@ _TOKENS = (
 @named(
     "clone_pairs",
     "WITH t AS (SELECT source AS project, lang || '/' || doc_id || '.txt' AS path, list_filter(regexp_extract_all(text, '" + _TOKENS + "'), lambda t: NOT (starts_with(t, '//') OR starts_with(t, '/*'))) AS t FROM documents), "
-    """w AS (SELECT project, path, unnest(list_transform(generate_series(1, len(t) - 49), lambda i: hash(t[i:i + 49]))) AS h,
-      unnest(generate_series(1, len(t) - 49)) AS pos FROM t WHERE len(t) >= 50),
+    """k AS (SELECT project, path, hash(unnest(t)) AS a1, generate_subscripts(t, 1) AS pos FROM t WHERE len(t) >= 50),
+    k2 AS (SELECT *, hash(a1, lead(a1, 1) OVER f) AS a2 FROM k WINDOW f AS (PARTITION BY project, path ORDER BY pos)),
+    k4 AS (SELECT *, hash(a2, lead(a2, 2) OVER f) AS a4 FROM k2 WINDOW f AS (PARTITION BY project, path ORDER BY pos)),
+    k8 AS (SELECT *, hash(a4, lead(a4, 4) OVER f) AS a8 FROM k4 WINDOW f AS (PARTITION BY project, path ORDER BY pos)),
+    k16 AS (SELECT *, hash(a8, lead(a8, 8) OVER f) AS a16 FROM k8 WINDOW f AS (PARTITION BY project, path ORDER BY pos)),
+    k32 AS (SELECT *, hash(a16, lead(a16, 16) OVER f) AS a32 FROM k16 WINDOW f AS (PARTITION BY project, path ORDER BY pos)),
+    k50 AS (SELECT project, path, pos, hash(a32, lead(a16, 32) OVER f, lead(a2, 48) OVER f) AS h, lead(a1, 49) OVER f AS last FROM k32 WINDOW f AS (PARTITION BY project, path ORDER BY pos)),
+    w AS (SELECT project, path, pos, h FROM k50 WHERE last IS NOT NULL),
     o AS (SELECT project, h, arg_min(path, (path, pos)) AS origin_path, arg_min(pos, (path, pos)) AS origin_pos FROM w GROUP BY ALL HAVING count(*) > 1),
     l AS (SELECT w.project, w.path, origin_path, pos, pos - origin_pos AS shift FROM w JOIN o USING (project, h) WHERE w.path <> origin_path OR pos >= origin_pos + 50),
     r AS (SELECT *, pos - row_number() OVER (PARTITION BY project, path, origin_path, shift ORDER BY pos) AS island FROM l),

@@ -41,7 +41,7 @@ class LastScore(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
         batch = pd.concat(list(rows)).sort_values(["scan_ts", "scan_id"])
-        before = self.last.get() if self.last.exists() else None
+        before = self.last.get()
         newest = None if before is None else (pd.Timestamp(before[0]), before[1])
         score = None if before is None else before[2]
         out = []
@@ -85,7 +85,8 @@ class LiveFindings(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
         batch = pd.concat(list(rows))
-        last = self.seen.get()[0] if self.seen.exists() else None
+        seen = self.seen.get()
+        last = None if seen is None else seen[0]
         stored = {} if last is None else {k[0]: v[0] for k, v in self.counts.iterator()}
         before, out = stored, []
         for scan_id, scan in batch.groupby("scan_id", sort=True):
