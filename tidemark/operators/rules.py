@@ -65,14 +65,21 @@ def _numbers(conditions: Sequence[Column], first: int) -> Column:
     return F.array_compact(F.array(*[F.when(c, F.lit(first + i)) for i, c in enumerate(conditions)]))
 
 
-def scan_lines(lines: DataFrame, pack: Pack, apply_skip: bool = True) -> DataFrame:
-    """At most one finding per rule and line."""
-    kept = skip_lines(lines, pack.skip) if apply_skip else lines
+def scan_lines(lines: DataFrame, pack: Pack) -> DataFrame:
+    """At most one finding per rule and line.
+
+    The pack's skip predicates are tested inside the array of rules that fired, that
+    is only on lines where one did, which is far fewer than all lines.
+    """
+    skipped = F.lit(False)
+    for pattern in pack.skip:
+        skipped = skipped | F.col("line").rlike(java(pattern))
     parts = []
     for first in range(0, len(pack.rules), _RULES_PER_STEP):
         block = pack.rules[first : first + _RULES_PER_STEP]
         numbers = _numbers([_fires(r, F.col("line"), F.col("path")) for r in block], first)
-        parts.append(kept.select("project", "path", "line_no", "line", F.explode(numbers).alias("seq")))
+        kept = F.filter(numbers, lambda _: ~skipped) if pack.skip else numbers
+        parts.append(lines.select("project", "path", "line_no", "line", F.explode(kept).alias("seq")))
     found = parts[0]
     for part in parts[1:]:
         found = found.unionByName(part)
