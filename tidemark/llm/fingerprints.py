@@ -71,28 +71,33 @@ def edited_pairs(docs: DataFrame, k: int = K) -> DataFrame:
     """Each document beside the next one (descending doc_id, after the last the first) and an edited text.
 
     In the edited text the last half of the code points is replaced by as many from the start of
-    the next text. Returns doc_id, n_chars, sketch, edited, edited_sketch, next_sketch. Null texts
-    are empty; documents of equal or null doc_id are ordered by an order number, null last. An empty
-    table gives an empty result; a single document is its own next. Other columns are ignored.
+    the next text. Returns doc_id, next_id, n_chars, sketch, edited, edited_sketch, next_sketch. Null texts
+    are empty. Documents of equal or null doc_id are told apart by the hash of their text, null ids last; rows
+    that agree in both are one document and share its next. An empty table gives an empty result; a single
+    document is its own next. Other columns are ignored.
 
-    Neighbours are found on doc_ids alone; then only the part of the next text that an edit
-    can use moves to its neighbour, with that text's sketch.
+    Neighbours are found on keys alone. The texts are dealt by key once, for both roles; only the part of
+    the next text that an edit can use moves on to its neighbour, with that text's sketch.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
-    rows = docs.select("doc_id", text.alias("text")).withColumn("row", F.monotonically_increasing_id())
-    rows = stored(with_sketch(rows, "text", "sketch", k), "edit-rows")
-    narrow = rows.select((-F.col("doc_id")).alias("back"), F.col("doc_id").isNull().alias("id_null"), "row", F.length("text").alias("n"))
-    ranked = stored(with_running(narrow, ["id_null", "back", "row"], "edit-order").select("row", "n", "rank_"), "edit-ranked")
+    keys = ["id_null", "back", "hash"]
+    rows = docs.select(
+        "doc_id", text.alias("text"), F.col("doc_id").isNull().alias("id_null"), F.coalesce(-F.col("doc_id"), F.lit(0)).alias("back"), F.xxhash64(text).alias("hash")
+    )
+    narrow = rows.select(*keys, F.length("text").alias("n")).distinct()
+    ranked = stored(with_running(narrow, keys, "edit-order"), "edit-ranked")
     total = max(ranked.count(), 1)
     # The document of rank r lends its start to the one of rank r - 1.
-    lends = ranked.select(((F.col("rank_") + total - 1) % total).alias("to_rank"), F.col("row").alias("from_row"))
-    takes = ranked.select("rank_", F.col("row").alias("to_row"), F.floor(F.col("n") / 2).cast("int").alias("half"))
-    needs = lends.join(takes, F.col("to_rank") == F.col("rank_")).select("from_row", "to_row", "half")
-    part = rows.join(needs, rows["row"] == needs["from_row"]).select(
-        "to_row", F.substring(F.col("text"), F.lit(1), F.col("half")).alias("head"), F.col("sketch").alias("next_sketch")
-    )
-    both = rows.join(part, rows["row"] == part["to_row"])
+    lends = ranked.select(*[F.col(c).alias(f"from_{c}") for c in keys], ((F.col("rank_") + total - 1) % total).alias("to_rank"))
+    takes = ranked.select(*[F.col(c).alias(f"to_{c}") for c in keys], "rank_", F.floor(F.col("n") / 2).cast("int").alias("half"))
+    needs = stored(lends.join(takes, F.col("to_rank") == F.col("rank_")).drop("to_rank", "rank_"), "edit-needs")
+    same = lambda a, b: (F.col(f"{a}{keys[0]}") == F.col(f"{b}{keys[0]}")) & (F.col(f"{a}{keys[1]}") == F.col(f"{b}{keys[1]}")) & (F.col(f"{a}{keys[2]}") == F.col(f"{b}{keys[2]}"))
+    dealt = rows.join(needs, same("", "from_"))
+    part = dealt.select(*[F.col(f"to_{c}").alias(f"part_{c}") for c in keys], F.col("doc_id").alias("next_id"), "text", "half", *[F.col(c).alias(f"key_{c}") for c in keys])
+    part = with_sketch(part.dropDuplicates([f"key_{c}" for c in keys]), "text", "next_sketch", k)
+    part = part.select(*[f"part_{c}" for c in keys], "next_id", F.substring(F.col("text"), F.lit(1), F.col("half")).alias("head"), "next_sketch")
+    both = dealt.select("doc_id", "text", *keys).join(part, same("", "part_"))
     keep = F.length("text") - F.floor(F.length("text") / 2)
     edited = F.concat(F.substring(F.col("text"), F.lit(1), keep.cast("int")), F.col("head"))
-    out = both.select("doc_id", F.length("text").cast("bigint").alias("n_chars"), "sketch", edited.alias("edited"), "next_sketch")
-    return with_sketch(out, "edited", "edited_sketch", k)
+    out = both.select("doc_id", "next_id", F.length("text").cast("bigint").alias("n_chars"), "text", edited.alias("edited"), "next_sketch")
+    return with_sketch(with_sketch(out, "text", "sketch", k).drop("text"), "edited", "edited_sketch", k)

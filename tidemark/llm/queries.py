@@ -67,7 +67,7 @@ def op8_bottom_k(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_chars", F.sha2(F.col("edited"), 256).alias("edited_sha256"), fingerprints.as_text(F.col("sketch")).alias("fingerprint"),
         fingerprints.as_text(F.col("edited_sketch")).alias("edited_fingerprint"),
         fingerprints.resemblance(F.col("sketch"), F.col("edited_sketch")).alias("near_edited"),
-        fingerprints.resemblance(F.col("sketch"), F.col("next_sketch")).alias("near_next"),
+        fingerprints.resemblance(F.col("sketch"), F.col("next_sketch")).alias("near_next"), "next_id",
     )
 
 
