@@ -11,9 +11,11 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import stored
 
-# Bytes of context. Before a word stand blanks, so that a context never reaches into the word before.
-DEPTH = 5
-BLANK, STOP = 0x20, 0x0A
+# Bytes of context. The first HEAD bytes of a word also see the last TAIL bytes of the word before it, later ones
+# see their own word only; blanks stand for all that lies before.
+DEPTH = 6
+HEAD, TAIL = 3, 2
+BLANK, STOP = b" ", b"\n"
 FLUSH = 4_000_000
 
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
@@ -113,16 +115,17 @@ def held_out(doc_id: Column, folds: int = 10) -> Column:
 
 
 def postings(docs: DataFrame) -> DataFrame:
-    """One row per word and batch of documents: word, the rows it stands in, how often in each, and how often in training.
+    """One row per unit and batch of documents: unit, the rows it stands in, how often in each, and how often in training.
 
-    Columns of ``docs``: row, doc_id, text, train. The empty word stands for the end of a text; its
-    rows carry the doc_ids too, so that one pass gives both.
+    Columns of ``docs``: row, doc_id, text, train. Units are the words, with the empty word for the end of a text, and
+    the heads: a blank, the tail of the word before, a blank and the word's first HEAD bytes. A text's score is a sum over
+    its units. The rows of the empty word carry the doc_ids too, so that one pass gives both.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def emit(ids: dict, codes: list, rows: list, names: list, train: list) -> pa.RecordBatch:
-            words = np.empty(len(ids), object)
-            words[:] = list(ids)
+            units = np.empty(len(ids), object)
+            units[:] = list(ids)
             code = np.concatenate(codes)
             doc = np.repeat(np.arange(len(rows)), [len(c) for c in codes])
             key, n = np.unique(code * len(rows) + doc, return_counts=True)
@@ -130,56 +133,68 @@ def postings(docs: DataFrame) -> DataFrame:
             starts = np.searchsorted(code, np.arange(len(ids) + 1)).astype(np.int32)
             learned = np.add.reduceat(np.where(np.array(train)[doc], n, 0), starts[:-1])
             offsets = pa.array(starts)
-            named = [names if not w else None for w in ids]
+            named = [names if not u else None for u in ids]
             return pa.RecordBatch.from_arrays(
-                [pa.array(words, pa.binary()), pa.ListArray.from_arrays(offsets, pa.array(np.array(rows, np.int64)[doc])), pa.ListArray.from_arrays(offsets, pa.array(n.astype(np.int32))), pa.array(learned), pa.array(named, pa.list_(pa.int64()))],
-                names=["word", "rows", "counts", "learned", "doc_ids"],
+                [pa.array(units, pa.binary()), pa.ListArray.from_arrays(offsets, pa.array(np.array(rows, np.int64)[doc])), pa.ListArray.from_arrays(offsets, pa.array(n.astype(np.int32))), pa.array(learned), pa.array(named, pa.list_(pa.int64()))],
+                names=["unit", "rows", "counts", "learned", "doc_ids"],
             )
 
         ids: dict[bytes, int] = {}
         codes, rows, names, train, size = [], [], [], [], 0
         for batch in batches:
             for row, name, text, t in zip(*(batch.column(c).to_pylist() for c in ("row", "doc_id", "text", "train")), strict=True):
-                words = (text or "").encode().translate(_LOWER).split()
-                words.append(b"")
-                codes.append(np.array([ids.setdefault(w, len(ids)) for w in words], np.int64))
+                units = (text or "").encode().translate(_LOWER).split()
+                tails = [b"", *[w[-TAIL:] for w in units]]
+                heads = [*[w[:HEAD] if len(w) >= HEAD else w + BLANK for w in units], STOP]
+                units.append(b"")
+                units += [BLANK + a + BLANK + b for a, b in zip(tails, heads, strict=True)]
+                codes.append(np.array([ids.setdefault(u, len(ids)) for u in units], np.int64))
                 rows.append(row)
                 names.append(name)
                 train.append(t)
-                size += len(words)
+                size += len(units)
                 if size >= FLUSH:
                     yield emit(ids, codes, rows, names, train)
                     ids, codes, rows, names, train, size = {}, [], [], [], [], 0
         if rows:
             yield emit(ids, codes, rows, names, train)
 
-    return docs.select("row", "doc_id", "text", "train").mapInArrow(run, "word binary, rows array<bigint>, counts array<int>, learned bigint, doc_ids array<bigint>")
+    return docs.select("row", "doc_id", "text", "train").mapInArrow(run, "unit binary, rows array<bigint>, counts array<int>, learned bigint, doc_ids array<bigint>")
 
 
-def _grams(words: DataFrame) -> DataFrame:
-    """id, word's learned count c, and for each of its bytes (with the blank after it) the context and the byte.
+def _grams(units: DataFrame) -> DataFrame:
+    """id, the unit's learned count c, and the context and byte of each of its predictions.
 
-    Both are packed into one number: DEPTH context bytes, the latest highest, then the byte.
+    A head predicts its bytes, a word those after its first HEAD and the blank behind it; a word shorter than HEAD and
+    the end of a text are wholly in their heads. Context and byte are packed into one number: DEPTH
+    bytes, the latest highest, then the byte.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            words = batch.column("word").to_pylist()
-            # An end of text is one byte in the context of a word's start.
-            data = [bytes([BLANK]) * DEPTH + (w + bytes([BLANK]) if w else bytes([STOP])) for w in words]
+            pad, data, begin = BLANK * DEPTH, [], []
+            for u in batch.column("unit").to_pylist():
+                if u[:1] == BLANK:
+                    data.append(pad + u[1:])
+                    begin.append(DEPTH + u.index(BLANK, 1))
+                elif len(u) >= HEAD:
+                    data.append(pad + u + BLANK)
+                    begin.append(DEPTH + HEAD)
+                else:
+                    data.append(pad)
+                    begin.append(DEPTH)
             flat = np.frombuffer(b"".join(data), np.uint8).astype(np.int64)
-            size = np.array([len(d) for d in data], np.int64)
-            begin = np.cumsum(size) - size
-            n = size - DEPTH
-            of = np.repeat(np.arange(len(words)), n)
-            at = np.repeat(begin + DEPTH - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            size, begin = np.array([len(d) for d in data], np.int64), np.array(begin, np.int64)
+            n = size - begin
+            of = np.repeat(np.arange(len(data)), n)
+            at = np.repeat(np.cumsum(size) - size + begin - (np.cumsum(n) - n), n) + np.arange(n.sum())
             gram = np.zeros(len(at), np.int64)
             for k in range(1, DEPTH + 1):
                 gram = (gram << 8) | flat[at - k]
             gram = (gram << 8) | flat[at]
             yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(of)), batch.column("c").take(pa.array(of)), pa.array(gram)], names=["id", "c", "gram"])
 
-    return words.select("id", "c", "word").mapInArrow(run, "id bigint, c bigint, gram bigint")
+    return units.select("id", "c", "unit").mapInArrow(run, "id bigint, c bigint, gram bigint")
 
 
 def gram_scores(grams: DataFrame) -> DataFrame:
@@ -223,10 +238,10 @@ def scored(docs: DataFrame) -> DataFrame:
 
     Tokens are the lower-cased (A-Z) words and one end per text. base_score adds log10((c + 0.1) / (N + 0.1 (V + 1))) per token. The model is
     context-tree weighting over the bytes of each token and the blank after it (of the end: one byte), with
-    binary-decomposed bytes and contexts of up to DEPTH bytes that begin at the word's start: each bit mixes the
-    Krichevsky-Trofimov estimates of all depths by their weights. ``score`` is the text's log10 probability, code_length its
+    binary-decomposed bytes and contexts of up to DEPTH bytes, which for a word's first HEAD bytes reach into the word
+    before: each bit mixes the Krichevsky-Trofimov estimates of all depths by their weights. ``score`` is the text's log10 probability, code_length its
     bits per byte. Counts cover all training documents; what they need grows with the corpus and stays distributed:
-    word counts, contexts and scores are joined, only totals and the nodes above depth 2 (their number is bounded) reach the driver.
+    counts of words and heads, contexts and scores are joined, only totals and the nodes above depth 2 (their number is bounded) reach the driver.
 
     Null and empty texts hold one token, the end. Null doc_ids belong to the fold of the empty string; repeated rows are
     scored, and learned from, as often as they occur; without training documents c, N and V are 0 and
@@ -234,23 +249,30 @@ def scored(docs: DataFrame) -> DataFrame:
     """
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", (~held_out(F.col("doc_id"))).alias("train"))
     table = stored(postings(rows.withColumn("row", F.monotonically_increasing_id())), "lm-postings")
-    ids = table.where(F.octet_length("word") == 0).select(F.explode(F.arrays_zip("rows", "doc_ids")).alias("x")).select(F.col("x.rows").alias("row"), "x.doc_ids")
+    ids = table.where(F.octet_length("unit") == 0).select(F.explode(F.arrays_zip("rows", "doc_ids")).alias("x")).select(F.col("x.rows").alias("row"), "x.doc_ids")
     ids = ids.select("row", F.col("doc_ids").alias("doc_id"), held_out(F.col("doc_ids")).alias("held_out"))
-    words = stored(table.groupBy("word").agg(F.sum("learned").alias("c")), "lm-words")
-    words = stored(words.withColumn("id", F.monotonically_increasing_id()), "lm-words")
-    total = words.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.coalesce(F.sum((F.col("c") > 0).cast("int")), F.lit(0)).alias("v")).first()
-    grams = _grams(words)
+    units = table.groupBy("unit").agg(F.sum("learned").alias("c"))
+    units = stored(units.select("unit", "c", (~F.col("unit").startswith(F.lit(BLANK))).alias("token")).withColumn("id", F.monotonically_increasing_id()), "lm-units")
+    tokens = units.where("token")
+    total = tokens.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.coalesce(F.sum((F.col("c") > 0).cast("int")), F.lit(0)).alias("v")).first()
+    grams = _grams(units)
     known = gram_scores(grams.groupBy("gram").agg(F.sum("c").alias("c")))
     known = stored(known.withColumnRenamed("gram", "g"), "lm-grams")
     summed = grams.join(known, F.col("gram") == F.col("g")).groupBy("id").agg(F.sum("logp").alias("logp"))
-    base = F.log10((F.col("c") + 0.1) / F.lit(total["n"] + 0.1 * (total["v"] + 1)))
-    priced = words.join(summed.withColumnRenamed("id", "sid"), F.col("id") == F.col("sid"))
-    priced = stored(priced.select(F.col("word").alias("w"), (F.col("c") > 0).cast("int").alias("known"), base.alias("base"), "logp"), "lm-priced")
+    base = F.when(F.col("token"), F.log10((F.col("c") + 0.1) / F.lit(total["n"] + 0.1 * (total["v"] + 1)))).otherwise(F.lit(0.0))
+    priced = units.join(summed.withColumnRenamed("id", "sid"), F.col("id") == F.col("sid"), "left")
+    priced = stored(
+        priced.select(
+            F.col("unit").alias("u"), F.col("token").cast("bigint").alias("token"), (F.col("token") & (F.col("c") > 0)).cast("bigint").alias("known"), base.alias("base"),
+            F.coalesce("logp", F.lit(0.0)).alias("logp"), F.when(F.col("token"), F.octet_length("unit") + 1).otherwise(0).cast("bigint").alias("size"),
+        ),
+        "lm-priced",
+    )
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def emit(parts: list) -> pa.RecordBatch:
-            row, n, known, base, logp, size = (np.concatenate(x) for x in zip(*parts, strict=True))
-            row, sums = _summed(row, n, n * known, n * base, n * logp, n * size)
+            row, n, token, known, base, logp, size = (np.concatenate(x) for x in zip(*parts, strict=True))
+            row, sums = _summed(row, n * token, n * known, n * base, n * logp, n * size)
             return pa.RecordBatch.from_arrays([pa.array(x) for x in (row, *sums)], names=["row", "n", "known", "base", "logp", "bytes"])
 
         parts, held = [], 0
@@ -260,7 +282,7 @@ def scored(docs: DataFrame) -> DataFrame:
             lists = batch.column("rows")
             lengths = np.diff(lists.offsets.to_numpy())
             row, n = lists.flatten().to_numpy(), batch.column("counts").flatten().to_numpy().astype(np.int64)
-            more = [np.repeat(batch.column(c).to_numpy(), lengths) for c in ("known", "base", "logp", "size")]
+            more = [np.repeat(batch.column(c).to_numpy(), lengths) for c in ("token", "known", "base", "logp", "size")]
             parts.append((row, n, *more))
             held += len(row)
             if held >= FLUSH:
@@ -269,7 +291,7 @@ def scored(docs: DataFrame) -> DataFrame:
         if parts:
             yield emit(parts)
 
-    both = table.join(priced, F.col("word") == F.col("w")).select("rows", "counts", F.col("known").cast("bigint").alias("known"), "base", "logp", (F.octet_length("word") + 1).cast("bigint").alias("size"))
+    both = table.join(priced, F.col("unit") == F.col("u")).select("rows", "counts", "token", "known", "base", "logp", "size")
     parts = both.mapInArrow(add, "row bigint, n bigint, known bigint, base double, logp double, bytes bigint")
     sums = parts.groupBy("row").agg(*[F.sum(c).alias(c) for c in ("n", "known", "base", "logp", "bytes")]).withColumnRenamed("row", "srow")
     return ids.join(sums, F.col("row") == F.col("srow")).select(
