@@ -252,7 +252,7 @@ def tree_brute(training):
 def test_context_tree(spark):
     rnd = random.Random(4)
     parts = ["th", "er", "on", "an", "re", "he", "ü"]
-    texts = [" ".join("".join(rnd.choice(parts) for _ in range(rnd.randrange(1, 4))) for _ in range(rnd.randrange(0, 40))) for _ in range(80)] + [None, "", "Zzz\tqq the THE", "the " * 3000]
+    texts = [" ".join("".join(rnd.choice(parts) for _ in range(rnd.randrange(1, 4))) for _ in range(rnd.randrange(0, 40))) for _ in range(80)] + [None, "", "Zzz\tqq the THE", "the " * 3000 + "qqqq " * 300]
     ids = [*range(len(texts) - 1), None]
     df = spark.createDataFrame([(i, t, 1, "s", "k") for i, t in zip(ids, texts, strict=True)], DOCS).repartition(4)
     held = {i: zlib.crc32(str(i).encode() if i is not None else b"") % 10 == 0 for i in ids}

@@ -14,9 +14,11 @@ from tidemark.llm.common import stored
 # Bytes of context. The first HEAD bytes of a word also see the last TAIL bytes of the word before it, later ones
 # see their own word only; blanks stand for all that lies before.
 DEPTH = 6
-HEAD, TAIL = 3, 2
+HEAD, TAIL = 2, 2
 BLANK, STOP = b" ", b"\n"
-FLUSH = 4_000_000
+FLUSH = 6_000_000
+# Documents of a batch are numbered by two bytes.
+BATCH_DOCS = 60_000
 
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
@@ -114,52 +116,80 @@ def held_out(doc_id: Column, folds: int = 10) -> Column:
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), F.lit(folds)) == 0
 
 
+def _packed(code: np.ndarray, doc: np.ndarray, n: np.ndarray, units: int) -> pa.Array:
+    """A unit's postings as bytes: two for each document's number, then one for each count; larger counts take several."""
+    parts = -(-n // 255)
+    code, doc, n, k = np.repeat(code, parts), np.repeat(doc, parts), np.repeat(n, parts), np.repeat(parts, parts)
+    turn = np.arange(len(k)) - np.repeat(np.cumsum(parts) - parts, parts)
+    n = np.where(turn < k - 1, 255, n - 255 * (k - 1))
+    starts = np.searchsorted(code, np.arange(units + 1))
+    at = 3 * starts[code] + 2 * (np.arange(len(code)) - starts[code])
+    out = np.empty(3 * len(code), np.uint8)
+    out[at], out[at + 1] = doc & 255, doc >> 8
+    sizes = np.diff(starts)
+    out[3 * starts[code] + 2 * sizes[code] + np.arange(len(code)) - starts[code]] = n
+    return pa.Array.from_buffers(pa.binary(), units, [None, pa.py_buffer((3 * starts).astype(np.int32)), pa.py_buffer(out)])
+
+
+def _unpacked(packed: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Which unit, document number and count each posting of an array of packed ones has."""
+    ends = np.frombuffer(packed.buffers()[1], np.int32)[packed.offset : packed.offset + len(packed) + 1].astype(np.int64)
+    raw = np.frombuffer(packed.buffers()[2], np.uint8)
+    size = np.diff(ends) // 3
+    unit = np.repeat(np.arange(len(packed)), size)
+    k = np.arange(len(unit)) - np.repeat(np.cumsum(size) - size, size)
+    at = ends[unit] + 2 * k
+    return unit, raw[at].astype(np.int64) | (raw[at + 1].astype(np.int64) << 8), raw[ends[unit] + 2 * size[unit] + k].astype(np.int64)
+
+
 def postings(docs: DataFrame) -> DataFrame:
-    """One row per unit and batch of documents: unit, the rows it stands in, how often in each, and how often in training.
+    """One row per unit and batch of documents: unit, batch, its postings in it, and its count in training.
 
-    Columns of ``docs``: row, doc_id, text, train. Units are the words, with the empty word for the end of a text, and
-    the heads: a blank, the tail of the word before, a blank and the word's first HEAD bytes. A text's score is a sum over
-    its units. The rows of the empty word carry the doc_ids too, so that one pass gives both.
+    Columns of ``docs``: doc_id, text, train, start (a number per partition). Units are the words, with the empty word for
+    the end of a text, and the heads: a blank, the tail of the word before, a blank and the word's first HEAD bytes. A text's
+    score is a sum over its units. The row of the empty word also carries each document's doc_id, number of tokens
+    and of bytes, so that one pass gives all.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def emit(ids: dict, codes: list, rows: list, names: list, train: list) -> pa.RecordBatch:
+        def emit(ids: dict, codes: list, held: list, train: list, batch: int) -> pa.RecordBatch:
             units = np.empty(len(ids), object)
             units[:] = list(ids)
-            code = np.concatenate(codes)
-            doc = np.repeat(np.arange(len(rows)), [len(c) for c in codes])
-            key, n = np.unique(code * len(rows) + doc, return_counts=True)
-            code, doc = key // len(rows), key % len(rows)
-            starts = np.searchsorted(code, np.arange(len(ids) + 1)).astype(np.int32)
-            learned = np.add.reduceat(np.where(np.array(train)[doc], n, 0), starts[:-1])
-            offsets = pa.array(starts)
-            named = [names if not u else None for u in ids]
+            code = np.concatenate(codes).astype(np.int64)
+            doc = np.repeat(np.arange(len(held)), [len(c) for c in codes])
+            key, n = np.unique(code * len(held) + doc, return_counts=True)
+            code, doc = key // len(held), key % len(held)
+            learned = np.add.reduceat(np.where(np.array(train)[doc], n, 0), np.searchsorted(code, np.arange(len(ids))))
+            entry = pa.list_(pa.struct([("doc_id", pa.int64()), ("n", pa.int64()), ("bytes", pa.int64())]))
+            listed = [held if not u else None for u in ids]
             return pa.RecordBatch.from_arrays(
-                [pa.array(units, pa.binary()), pa.ListArray.from_arrays(offsets, pa.array(np.array(rows, np.int64)[doc])), pa.ListArray.from_arrays(offsets, pa.array(n.astype(np.int32))), pa.array(learned), pa.array(named, pa.list_(pa.int64()))],
-                names=["unit", "rows", "counts", "learned", "doc_ids"],
+                [pa.array(units, pa.binary()), pa.array(np.full(len(ids), batch)), _packed(code, doc, n, len(ids)), pa.array(learned), pa.array(listed, entry)],
+                names=["unit", "batch", "postings", "learned", "docs"],
             )
 
         ids: dict[bytes, int] = {}
-        codes, rows, names, train, size = [], [], [], [], 0
+        codes, held, train, size, number = [], [], [], 0, None
         for batch in batches:
-            for row, name, text, t in zip(*(batch.column(c).to_pylist() for c in ("row", "doc_id", "text", "train")), strict=True):
+            for doc_id, text, t, start in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "train", "start")), strict=True):
+                number = start if number is None else number
                 units = (text or "").encode().translate(_LOWER).split()
+                held.append({"doc_id": doc_id, "n": len(units) + 1, "bytes": sum(map(len, units)) + len(units) + 1})
                 tails = [b"", *[w[-TAIL:] for w in units]]
                 heads = [*[w[:HEAD] if len(w) >= HEAD else w + BLANK for w in units], STOP]
                 units.append(b"")
                 units += [BLANK + a + BLANK + b for a, b in zip(tails, heads, strict=True)]
-                codes.append(np.array([ids.setdefault(u, len(ids)) for u in units], np.int64))
-                rows.append(row)
-                names.append(name)
+                codes.append(np.array([ids.setdefault(u, len(ids)) for u in units], np.int32))
                 train.append(t)
                 size += len(units)
-                if size >= FLUSH:
-                    yield emit(ids, codes, rows, names, train)
-                    ids, codes, rows, names, train, size = {}, [], [], [], [], 0
-        if rows:
-            yield emit(ids, codes, rows, names, train)
-
-    return docs.select("row", "doc_id", "text", "train").mapInArrow(run, "unit binary, rows array<bigint>, counts array<int>, learned bigint, doc_ids array<bigint>")
+                if size >= FLUSH or len(held) >= BATCH_DOCS:
+                    yield emit(ids, codes, held, train, number)
+                    ids, codes, held, train, size, number = {}, [], [], [], 0, number + 1
+        if held:
+            yield emit(ids, codes, held, train, number)
+
+    return docs.select("doc_id", "text", "train", "start").mapInArrow(
+        run, "unit binary, batch bigint, postings binary, learned bigint, docs array<struct<doc_id:bigint,n:bigint,bytes:bigint>>"
+    )
 
 
 def _grams(units: DataFrame) -> DataFrame:
@@ -248,9 +278,10 @@ def scored(docs: DataFrame) -> DataFrame:
     every bit has probability 1/2. An empty table gives an empty result; other columns are ignored.
     """
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", (~held_out(F.col("doc_id"))).alias("train"))
-    table = stored(postings(rows.withColumn("row", F.monotonically_increasing_id())), "lm-postings")
-    ids = table.where(F.octet_length("unit") == 0).select(F.explode(F.arrays_zip("rows", "doc_ids")).alias("x")).select(F.col("x.rows").alias("row"), "x.doc_ids")
-    ids = ids.select("row", F.col("doc_ids").alias("doc_id"), held_out(F.col("doc_ids")).alias("held_out"))
+    table = stored(postings(rows.withColumn("start", F.spark_partition_id().cast("bigint") * 2**20)), "lm-postings")
+    listed = table.where(F.octet_length("unit") == 0).select("batch", F.posexplode("docs").alias("at", "d"))
+    # A document's number: its batch and its place therein.
+    ids = listed.select((F.col("batch") * 65536 + F.col("at")).alias("row"), "d.doc_id", "d.n", "d.bytes")
     units = table.groupBy("unit").agg(F.sum("learned").alias("c"))
     units = stored(units.select("unit", "c", (~F.col("unit").startswith(F.lit(BLANK))).alias("token")).withColumn("id", F.monotonically_increasing_id()), "lm-units")
     tokens = units.where("token")
@@ -263,38 +294,35 @@ def scored(docs: DataFrame) -> DataFrame:
     priced = units.join(summed.withColumnRenamed("id", "sid"), F.col("id") == F.col("sid"), "left")
     priced = stored(
         priced.select(
-            F.col("unit").alias("u"), F.col("token").cast("bigint").alias("token"), (F.col("token") & (F.col("c") > 0)).cast("bigint").alias("known"), base.alias("base"),
-            F.coalesce("logp", F.lit(0.0)).alias("logp"), F.when(F.col("token"), F.octet_length("unit") + 1).otherwise(0).cast("bigint").alias("size"),
+            F.col("unit").alias("u"), (F.col("token") & (F.col("c") > 0)).cast("bigint").alias("known"), base.alias("base"),
+            F.coalesce("logp", F.lit(0.0)).alias("logp"),
         ),
         "lm-priced",
     )
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def emit(parts: list) -> pa.RecordBatch:
-            row, n, token, known, base, logp, size = (np.concatenate(x) for x in zip(*parts, strict=True))
-            row, sums = _summed(row, n * token, n * known, n * base, n * logp, n * size)
-            return pa.RecordBatch.from_arrays([pa.array(x) for x in (row, *sums)], names=["row", "n", "known", "base", "logp", "bytes"])
+            row, n, known, base, logp = (np.concatenate(x) for x in zip(*parts, strict=True))
+            row, sums = _summed(row, n * known, n * base, n * logp)
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in (row, *sums)], names=["row", "known", "base", "logp"])
 
         parts, held = [], 0
         for batch in batches:
             if not batch.num_rows:
                 continue
-            lists = batch.column("rows")
-            lengths = np.diff(lists.offsets.to_numpy())
-            row, n = lists.flatten().to_numpy(), batch.column("counts").flatten().to_numpy().astype(np.int64)
-            more = [np.repeat(batch.column(c).to_numpy(), lengths) for c in ("token", "known", "base", "logp", "size")]
-            parts.append((row, n, *more))
-            held += len(row)
+            unit, doc, n = _unpacked(batch.column("postings"))
+            parts.append((batch.column("batch").to_numpy()[unit] * 65536 + doc, n, *[batch.column(c).to_numpy()[unit] for c in ("known", "base", "logp")]))
+            held += len(unit)
             if held >= FLUSH:
                 yield emit(parts)
                 parts, held = [], 0
         if parts:
             yield emit(parts)
 
-    both = table.join(priced, F.col("unit") == F.col("u")).select("rows", "counts", "token", "known", "base", "logp", "size")
-    parts = both.mapInArrow(add, "row bigint, n bigint, known bigint, base double, logp double, bytes bigint")
-    sums = parts.groupBy("row").agg(*[F.sum(c).alias(c) for c in ("n", "known", "base", "logp", "bytes")]).withColumnRenamed("row", "srow")
+    both = table.join(priced, F.col("unit") == F.col("u")).select("batch", "postings", "known", "base", "logp")
+    parts = both.mapInArrow(add, "row bigint, known bigint, base double, logp double")
+    sums = parts.groupBy("row").agg(*[F.sum(c).alias(c) for c in ("known", "base", "logp")]).withColumnRenamed("row", "srow")
     return ids.join(sums, F.col("row") == F.col("srow")).select(
-        "doc_id", "held_out", F.col("n").alias("n_tokens"), F.col("known").alias("n_known"), F.lit(total["n"]).cast("bigint").alias("train_tokens"),
+        "doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("n").alias("n_tokens"), F.col("known").alias("n_known"), F.lit(total["n"]).cast("bigint").alias("train_tokens"),
         F.col("base").alias("base_score"), F.col("logp").alias("score"), (-F.col("logp") / F.lit(float(np.log10(2))) / F.col("bytes")).alias("code_length"),
     )
