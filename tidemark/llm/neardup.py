@@ -24,7 +24,7 @@ PERCENT = 75
 MARGIN = 5.0
 # Buckets up to this size are compared in pairs, larger ones with their first member, then in blocks where needed.
 SMALL = 8
-BLOCK = 128
+BLOCK = 256
 KEPT_WORDS = 1_000_000
 
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
@@ -183,13 +183,17 @@ def _estimated(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
     return both.select("a", "b", "a_n", "b_n", "a_s", "b_s").mapInArrow(run, "a bigint, b bigint")
 
 
+def _texts(rows: DataFrame, sketches: DataFrame, docs: DataFrame) -> DataFrame:
+    """row and text of the wanted rows (one column, row; distinct)."""
+    ids = sketches.join(rows, "row").select("row", F.col("doc_id").alias("id_"), F.col("text_hash").alias("hash_"))
+    own = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"))
+    hit = own.join(ids, (own["text_hash"] == ids["hash_"]) & own["doc_id"].eqNullSafe(ids["id_"])).select("row", "text")
+    return stored(hit, "dup-texts")
+
+
 def _verified(pairs: DataFrame, sketches: DataFrame, docs: DataFrame) -> DataFrame:
     """Links u, v: the pairs (written table) whose full shingle sets reach the threshold."""
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("row")).distinct()
-    ids = sketches.join(needed, "row").select("row", F.col("doc_id").alias("id_"), F.col("text_hash").alias("hash_"))
-    own = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"))
-    texts = own.join(ids, (own["text_hash"] == ids["hash_"]) & own["doc_id"].eqNullSafe(ids["id_"])).select("row", "text")
-    texts = stored(texts, "dup-texts")
+    texts = _texts(pairs.select(F.explode(F.array("a", "b")).alias("row")).distinct(), sketches, docs)
     side = lambda x: texts.select(F.col("row").alias(f"{x}_row"), F.col("text").alias(f"{x}_t"))
     both = pairs.join(side("a"), F.col("a") == F.col("a_row")).join(side("b"), F.col("b") == F.col("b_row"))
 
@@ -209,59 +213,73 @@ def _verified(pairs: DataFrame, sketches: DataFrame, docs: DataFrame) -> DataFra
     return both.select("a", "b", "a_t", "b_t").mapInArrow(run, "u bigint, v bigint")
 
 
-def _in_blocks(rows: DataFrame, sketches: DataFrame) -> DataFrame:
-    """Candidates between members of different components in large buckets (columns key, row, root, size).
+def _linked_in_blocks(rows: DataFrame, sketches: DataFrame, docs: DataFrame) -> DataFrame:
+    """Links u, v between different components in large buckets (columns key, row, root, size).
 
-    Members are dealt to blocks by hash; a task compares two blocks at a time by their sketches and emits only
-    what the estimate lets through, so that every pair is looked at and none is written for its own sake.
+    Members are dealt to blocks by hash; a task compares two blocks at a time. A pair is looked at in the first
+    band that it shares; what the estimate lets through is verified on the full sets right there, so that
+    neither pairs nor candidates are ever written. Of the links between the same two components a
+    pair of blocks gives one.
     """
+    texts = _texts(rows.select("row").distinct(), sketches, docs).select(F.col("row").alias("t_row"), "text")
+    about = stored(sketches.join(texts, F.col("row") == F.col("t_row")).select("t_row", "n", "sketch", "text"), "dup-about")
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
     mine = F.pmod(F.xxhash64("row"), blocks).cast("int")
-    rows = rows.join(sketches.select(F.col("row").alias("s_row"), "n", "sketch"), F.col("row") == F.col("s_row"))
-    rows = rows.select("key", "row", "root", "n", "sketch", mine.alias("mine"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
-    rows = rows.select("key", F.least("mine", "other").alias("x"), F.greatest("mine", "other").alias("y"), "mine", "row", "root", "n", "sketch")
+    dealt = rows.select("key", "row", "root", mine.alias("mine"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
+    dealt = stored(dealt.select("key", F.least("mine", "other").alias("x"), F.greatest("mine", "other").alias("y"), "mine", "row", "root"), "dup-dealt")
+    dealt = dealt.join(about, F.col("row") == F.col("t_row")).drop("t_row")
     least = least_estimate()
 
-    def compare(a: dict, b: dict) -> tuple[np.ndarray, np.ndarray]:
-        more = (a["s"][:, None, :] > b["s"][None, :, :]).sum(2)
-        less = (a["s"][:, None, :] < b["s"][None, :, :]).sum(2)
-        na, nb = np.broadcast_arrays(a["n"][:, None].astype(float), b["n"][None, :].astype(float))
-        # Cheap bound first: with j = PERCENT / 100 at most this share of registers is expected to differ.
-        close = (a["root"][:, None] != b["root"][None, :]) & (more + less <= (1 - least) * REGISTERS * 1.5)
-        i, k = np.nonzero(close)
-        if len(i):
-            good = likeness(more[i, k], less[i, k], na[i, k], nb[i, k]) >= least
-            i, k = i[good], k[good]
-        return a["row"][i], b["row"][k]
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def emit(group: list) -> pa.RecordBatch:
-            cols = {
-                "mine": np.array([g[0] for g in group]), "row": np.array([g[1] for g in group], np.int64), "root": np.array([g[2] for g in group], np.int64),
-                "n": np.array([g[3] for g in group]), "s": np.frombuffer(b"".join([g[4] for g in group]), np.uint16).reshape(len(group), -1),
-            }
-            low = cols["mine"] == cols["mine"].min()
-            a, b = {k: v[low] for k, v in cols.items()}, {k: v[~low] for k, v in cols.items()}
-            if not len(b["row"]):
-                b = a
-            x, y = compare(a, b)
-            keep = x < y if b is a else np.ones(len(x), bool)
-            return pa.RecordBatch.from_arrays([pa.array(x[keep]), pa.array(y[keep])], names=["a", "b"])
+        shingler = Shingler()
+        salts = mixed_bits(np.arange(1, REGISTERS // BAND + 1, dtype=np.uint64))
+
+        def links(key: int, group: list) -> pa.RecordBatch:
+            mine, row, root, n = (np.array([g[k] for g in group], np.int64) for k in range(4))
+            s = np.frombuffer(b"".join([g[4] for g in group]), np.uint16).reshape(len(group), -1)
+            bands = mixed_bits(s.view(np.uint64) ^ salts)
+            at = int(np.flatnonzero(bands[0].view(np.int64) == key)[0])
+            low = np.flatnonzero(mine == mine.min())
+            high = np.flatnonzero(mine != mine.min())
+            high = high if len(high) else low
+            sets: dict[int, np.ndarray] = {}
+            out: dict[tuple[int, int], tuple[int, int]] = {}
+            for i in low:
+                k = high[root[high] != root[i]]
+                k = k[(row[k] > row[i]) | (mine[k] != mine[i])]
+                k = k[~(bands[k, :at] == bands[i, :at]).any(1)]
+                k = k[np.minimum(n[k], n[i]) * 100 >= np.maximum(n[k], n[i]) * PERCENT]
+                if not len(k):
+                    continue
+                more, less = (s[i] > s[k]).sum(1), (s[i] < s[k]).sum(1)
+                near = likeness(more, less, np.full(len(k), float(n[i])), n[k].astype(float)) >= least
+                for j in k[near]:
+                    pair = (min(root[i], root[j]), max(root[i], root[j]))
+                    if pair in out:
+                        continue
+                    for x in (i, j):
+                        if x not in sets:
+                            sets[x] = shingler.of(group[x][5])
+                    both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+                    if 100 * both >= PERCENT * (len(sets[i]) + len(sets[j]) - both):
+                        out[pair] = (row[i], row[j])
+            found = np.array(list(out.values()), np.int64).reshape(-1, 2)
+            return pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], names=["u", "v"])
 
         held, group = None, []
         for batch in batches:
-            cols = [batch.column(c).to_pylist() for c in ("key", "x", "y", "mine", "row", "root", "n", "sketch")]
+            cols = [batch.column(c).to_pylist() for c in ("key", "x", "y", "mine", "row", "root", "n", "sketch", "text")]
             for key, x, y, *rest in zip(*cols, strict=True):
                 if (key, x, y) != held:
                     if group:
-                        yield emit(group)
+                        yield links(held[0], group)
                     held, group = (key, x, y), []
                 group.append(rest)
         if group:
-            yield emit(group)
+            yield links(held[0], group)
 
-    dealt = rows.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y")
-    return dealt.mapInArrow(run, "a bigint, b bigint")
+    sorted_ = dealt.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y")
+    return sorted_.select("key", "x", "y", "mine", "row", "root", "n", "sketch", "text").mapInArrow(run, "u bigint, v bigint")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -307,9 +325,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     split = stored(split, "dup-split")
     if split.limit(1).count():
         rest = stored(large.join(split, F.col("key") == F.col("s_key")).select("key", "row", "size", "root"), "dup-rest")
-        more = stored(_in_blocks(rest, first).distinct(), "dup-likely")
+        more = stored(_linked_in_blocks(rest, first, docs), "dup-links")
         if more.limit(1).count():
-            links = stored(links.unionByName(_verified(more, first, docs)), "dup-links")
+            links = stored(links.unionByName(more), "dup-links")
             found = components(links)
 
     rooted = sketches.select("row", "doc_id", "text_hash", "n", "set_a", "set_b").join(sets.withColumnRenamed("n", "n_").select(*[F.col(c).alias(f"{c}_") for c in ("set_a", "set_b")], "n_", "set_row"), (F.col("set_a") == F.col("set_a_")) & (F.col("set_b") == F.col("set_b_")) & (F.col("n") == F.col("n_")), "left")
