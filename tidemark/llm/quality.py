@@ -180,3 +180,12 @@ def judged(docs: DataFrame, rules: list[Rule]) -> DataFrame:
     empty table gives an empty result.
     """
     return with_statistics(docs).withColumn("base_failed", base_failed()).withColumn("rule", verdict(rules)).withColumn("kept", ~F.col("base_failed") & (F.col("rule") == 0))
+
+
+def accepted(docs: DataFrame, rules: list[Rule]) -> DataFrame:
+    """The rows of ``docs`` that are kept, with its columns.
+
+    The row number keeps the optimizer from moving the test below the statistics, which would write them out anew for
+    every condition.
+    """
+    return judged(docs, rules).withColumn("mark_", F.monotonically_increasing_id()).where("kept").select(*[F.col(f"`{c}`") for c in docs.columns])
