@@ -12,7 +12,7 @@ from tidemark.llm.queries import table, tokenizer
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rule and the learned list, with the columns they came with."""
     rules = quality.fit_rules(docs, table(spark, sf_dir, "labels"))
-    return quality.judged(docs, rules).where("kept").select(*docs.columns)
+    return quality.accepted(docs, rules)
 
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
