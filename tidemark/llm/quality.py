@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import words_of
+from tidemark.llm.common import stored, words_of
 
 SYMBOLS = "#*$%&|<>"
 SPACES = " \t\n\x0b\x0c\r"
@@ -185,7 +185,12 @@ def judged(docs: DataFrame, rules: list[Rule]) -> DataFrame:
 def accepted(docs: DataFrame, rules: list[Rule]) -> DataFrame:
     """The rows of ``docs`` that are kept, with its columns.
 
-    The row number keeps the optimizer from moving the test below the statistics, which would write them out anew for
-    every condition.
+    The judged rows are written first: a filter moved below the statistics would make the optimizer unfold them
+    for every condition, and evaluate them anew for every word.
     """
-    return judged(docs, rules).withColumn("mark_", F.monotonically_increasing_id()).where("kept").select(*[F.col(f"`{c}`") for c in docs.columns])
+    names = [F.col(f"`{c}`") for c in docs.columns]
+    clear = docs.withColumns({f"own_{k}_": n for k, n in enumerate(names)}).select("text", *[f"own_{k}_" for k in range(len(names))])
+    held = judged(clear, rules).select(
+        *[f"own_{k}_" for k in range(len(names))], "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "kept"
+    )
+    return stored(held, "quality-judged").where("kept").select(*[F.col(f"own_{k}_").alias(c) for k, c in enumerate(docs.columns)])
