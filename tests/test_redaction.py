@@ -1,6 +1,8 @@
 """Redaction: values gone, text kept, bounded time."""
 
 import time
+from datetime import datetime
+from decimal import Decimal
 
 import pytest
 from pyspark.sql import functions as F
@@ -80,6 +82,39 @@ def test_nested_strings(spark):
     assert row["m"] == {"a": f"password: {REDACTED}"} and row["s"][0]["v"] == [f"token={REDACTED}"] and row["t"] == "fine" and row["id"] == 1
 
 
+def test_gate_covers_detection_in_any_case(spark):
+    texts = [
+        "use SK-TEST-abcdefgh12 now", "use sk-test-abcdefgh12 now", "AUTHORIZATION:  bearer your_token", "TOKEN=abcdef12345678", "password\n= 'abcdefghij0123456789'",
+        "aws_secret of mine = '" + "a1" * 20 + "'", "AWS_SECRET of mine='" + "B/" * 20 + "'", "secret : \"abcdefghij0123456789\"", "plain", "SK-",
+    ]
+    table = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").withColumn("r", redacted(F.col("t")))
+    assert {r["i"]: r["r"] for r in table.collect()} == {i: redact(t) for i, t in enumerate(texts)}
+    assert [redact(t) != t for t in texts] == [True] * 8 + [False] * 2
+
+
+def test_long_key_block_leaves_no_tail():
+    body = "\n".join("M" * 64 for _ in range(1000))
+    closed = f"a\n-----BEGIN PRIVATE KEY-----\n{body}\n-----END PRIVATE KEY-----\nz"
+    assert "MM" not in redact(closed) and redact(closed).count("\n") == closed.count("\n") and redact(closed).endswith("\nz")
+    two = f"-----BEGIN PRIVATE KEY-----\n{body}\n! kept\n-----BEGIN PRIVATE KEY-----\n{body}\n-----END PRIVATE KEY-----"
+    assert "MM" not in redact(two) and "! kept" in redact(two)
+
+
+def test_nested_values_of_other_types_stay(spark):
+    when, amount = datetime(2024, 1, 2, 3, 4, 5, 123456), Decimal("12345678901234567890.123456789012345678")
+    schema = "id int, `m.x` struct<t:timestamp,d:decimal(38,18),s:string,l:array<struct<n:double,v:string>>,k:map<string,struct<a:string,b:binary>>>, n array<int>"
+    rows = [
+        (1, (when, amount, "USE SK-TEST-abcdefgh12", [(0.1, "password: hunter22"), None, (None, None)], {"token=abcdefgh": ("password: hunter22", b"\x00\xff")}), [1]),
+        (2, (None, None, None, None, {}), None), (3, None, []),
+    ]
+    out = {r["id"]: r for r in redact_deep(spark.createDataFrame(rows, schema)).collect()}
+    first = out[1]["m.x"]
+    assert (first["t"], first["d"]) == (when, amount) and "abcdefgh12" not in first["s"]
+    assert [None if x is None else tuple(x) for x in first["l"]] == [(0.1, f"password: {REDACTED}"), None, (None, None)]
+    assert {k: tuple(v) for k, v in first["k"].items()} == {"token=abcdefgh": (f"password: {REDACTED}", b"\x00\xff")}
+    assert tuple(out[2]["m.x"]) == (None, None, None, None, {}) and out[3]["m.x"] is None and out[1]["n"] == [1]
+
+
 def test_null_and_empty(spark):
     rows = redact_text(spark.createDataFrame([(None,), ("",), ("a\r\nkey: 1",)], "t string"), "t").collect()
     assert [r["t"] for r in rows] == [None, "", "a\r\nkey: 1"]
