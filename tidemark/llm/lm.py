@@ -19,6 +19,8 @@ BLANK, STOP = b" ", b"\n"
 FLUSH = 6_000_000
 # Documents of a batch are numbered by two bytes.
 BATCH_DOCS = 60_000
+# Tasks that sum up a batch's postings.
+DEALS = 8
 
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
@@ -290,15 +292,8 @@ def scored(docs: DataFrame) -> DataFrame:
     known = gram_scores(grams.groupBy("gram").agg(F.sum("c").alias("c")))
     known = stored(known.withColumnRenamed("gram", "g"), "lm-grams")
     summed = grams.join(known, F.col("gram") == F.col("g")).groupBy("id").agg(F.sum("logp").alias("logp"))
-    base = F.when(F.col("token"), F.log10((F.col("c") + 0.1) / F.lit(total["n"] + 0.1 * (total["v"] + 1)))).otherwise(F.lit(0.0))
     priced = units.join(summed.withColumnRenamed("id", "sid"), F.col("id") == F.col("sid"), "left")
-    priced = stored(
-        priced.select(
-            F.col("unit").alias("u"), (F.col("token") & (F.col("c") > 0)).cast("bigint").alias("known"), base.alias("base"),
-            F.coalesce("logp", F.lit(0.0)).alias("logp"),
-        ),
-        "lm-priced",
-    )
+    priced = stored(priced.select(F.col("unit").alias("u"), "token", "c", F.coalesce("logp", F.lit(0.0)).alias("logp")), "lm-priced")
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def emit(parts: list) -> pa.RecordBatch:
@@ -319,7 +314,12 @@ def scored(docs: DataFrame) -> DataFrame:
         if parts:
             yield emit(parts)
 
-    both = table.join(priced, F.col("unit") == F.col("u")).select("batch", "postings", "known", "base", "logp")
+    # Prices go to the batches, whose postings are summed by document there: DEALS rows a document at most, however
+    # many tasks the join has.
+    both = table.join(priced, F.col("unit") == F.col("u")).select("batch", "postings", "token", "c", "logp")
+    both = both.repartition("batch", F.pmod(F.crc32("postings"), F.lit(DEALS))).sortWithinPartitions("batch")
+    base = F.when(F.col("token"), F.log10((F.col("c") + 0.1) / F.lit(total["n"] + 0.1 * (total["v"] + 1)))).otherwise(F.lit(0.0))
+    both = both.select("batch", "postings", (F.col("token") & (F.col("c") > 0)).cast("bigint").alias("known"), base.alias("base"), "logp")
     parts = both.mapInArrow(add, "row bigint, known bigint, base double, logp double")
     sums = parts.groupBy("row").agg(*[F.sum(c).alias(c) for c in ("known", "base", "logp")]).withColumnRenamed("row", "srow")
     return ids.join(sums, F.col("row") == F.col("srow")).select(
