@@ -29,7 +29,9 @@ def log_gamma(x: np.ndarray) -> np.ndarray:
     """ln Gamma for x >= 0.5 by Stirling's series at x + 7."""
     y = x + 7.0
     shift = np.log(x * (x + 1) * (x + 2)) + np.log((x + 3) * (x + 4)) + np.log((x + 5) * (x + 6))
-    return (y - 0.5) * np.log(y) - y + 0.9189385332046727 + 1 / (12 * y) - 1 / (360 * y**3) + 1 / (1260 * y**5) - shift
+    z = 1 / (y * y)
+    series = (1 / 12 - z * (1 / 360 - z * (1 / 1260 - z * (1 / 1680 - z / 1188)))) / y
+    return (y - 0.5) * np.log(y) - y + 0.9189385332046727 + series - shift
 
 
 def log_kt(a: np.ndarray, b: np.ndarray) -> np.ndarray:
