@@ -6,10 +6,12 @@ import base64
 import hashlib
 from collections.abc import Iterator
 
+import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import types as T
 
-# Pieces whose ids a task keeps at hand; beyond that it starts anew. It only bounds memory.
+# Pieces whose ids a worker keeps at hand; beyond that it starts anew. It only bounds memory.
 KEPT_PIECES = 400_000
 
 
@@ -35,15 +37,24 @@ class PrefixEncoder:
         self.longest = max(map(len, ranks))
         self._whole: dict[bytes, bool] = {}
         self._pairs: dict[tuple[bytes, bytes], bool] = {}
+        # Finds the tokens that end at each byte; bytes stand in it as the characters of the same number.
+        self._ends = ahocorasick.Automaton()
+        for token in ranks:
+            self._ends.add_word(token.decode("latin-1"), token)
+        self._ends.make_automaton()
 
     def merged(self, data: bytes) -> list[bytes]:
         """Encoding of a few bytes by its definition: join the neighbours of lowest rank, the leftmost first."""
+        ranks, none = self.ranks, 1 << 60
         parts = [data[i : i + 1] for i in range(len(data))]
-        while len(parts) > 1:
-            best = min(range(len(parts) - 1), key=lambda i: self.ranks.get(parts[i] + parts[i + 1], 1 << 60))
-            if parts[best] + parts[best + 1] not in self.ranks:
-                break
+        joined = [ranks.get(data[i : i + 2], none) for i in range(len(data) - 1)]
+        while joined and (lowest := min(joined)) < none:
+            best = joined.index(lowest)
             parts[best : best + 2] = [parts[best] + parts[best + 1]]
+            del joined[best]
+            for i in (best - 1, best):
+                if 0 <= i < len(joined):
+                    joined[i] = ranks.get(parts[i] + parts[i + 1], none)
         return parts
 
     def whole(self, token: bytes) -> bool:
@@ -59,20 +70,29 @@ class PrefixEncoder:
         if found is None:
             if len(self._pairs) > 2_000_000:
                 self._pairs.clear()
-            found = self._pairs[key] = self.merged(left + right) == [left, right]
+            both = left + right
+            found = self._pairs[key] = both not in self.ranks and self.merged(both) == [left, right]
         return found
 
     def extend(self, data: bytes, last: list[bytes]) -> list[bytes]:
         """``last[i]``: last token of ``data[:i + 1]``; filled up to the length of ``data``."""
-        ranks, longest, follows, whole = self.ranks, self.longest, self.follows, self.whole
-        for end in range(len(last) + 1, len(data) + 1):
-            for start in range(max(0, end - longest), end):
-                token = data[start:end]
-                if token in ranks and whole(token) and (start == 0 or follows(last[start - 1], token)):
+        pairs, follows, whole = self._pairs, self.follows, self.whole
+        done = len(last)
+        # Of the tokens that end at a byte, the longest comes first.
+        for at, token in self._ends.iter(data.decode("latin-1"), max(0, done - self.longest + 1)):
+            if at < done:
+                continue
+            if at > done:
+                break
+            start = at + 1 - len(token)
+            if whole(token):
+                before = last[start - 1] if start else None
+                found = start == 0 or pairs.get((before, token))
+                if follows(before, token) if found is None else found:
                     last.append(token)
-                    break
-            else:
-                raise ValueError(f"byte {data[end - 1]} has no token")
+                    done += 1
+        if done < len(data):
+            raise ValueError(f"byte {data[done]} has no token")
         return last
 
     def append(self, data: bytes, last: list[bytes], more: bytes) -> tuple[bytes, list[bytes]]:
@@ -103,6 +123,23 @@ class PrefixEncoder:
         return b"".join(map(self.by_id.__getitem__, ids))
 
 
+class KnownPieces(dict):
+    """Ids as text and decoded bytes of each piece; a piece that is missing is encoded."""
+
+    def __init__(self, encoder: PrefixEncoder) -> None:
+        super().__init__()
+        self.encoder = encoder
+
+    def __missing__(self, piece: str) -> tuple[str, bytes]:
+        ids = self.encoder.encode(piece.encode())
+        found = (",".join(map(str, ids)), self.encoder.decode(ids))
+        if len(self) >= KEPT_PIECES:
+            self.clear()
+        if len(piece) <= 64:
+            self[piece] = found
+        return found
+
+
 def encoded(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     """``docs`` (all columns) with n_tokens, ids_sha256 and decoded_sha256 of the whole text.
 
@@ -112,41 +149,33 @@ def encoded(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     empty result; columns named like the new ones are replaced.
     """
     spark = docs.sparkSession
-    ranks = spark.sparkContext.broadcast(read_ranks(ranks_path))
+    # A broadcast value lives as long as the worker's process: it also keeps the known pieces for later tasks.
+    shared = spark.sparkContext.broadcast({"ranks": read_ranks(ranks_path)})
     new = ("n_tokens", "ids_sha256", "decoded_sha256")
     rows = docs.drop(*new)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import regex
 
-        encoder, pieces = PrefixEncoder(ranks.value), regex.compile(pattern)
-        known: dict[str, tuple[str, int, bytes]] = {}
-
-        def look(piece: str) -> tuple[str, int, bytes]:
-            found = known.get(piece)
-            if found is None:
-                ids = encoder.encode(piece.encode())
-                found = (",".join(map(str, ids)), len(ids), encoder.decode(ids))
-                if len(known) >= KEPT_PIECES:
-                    known.clear()
-                if len(piece) <= 64:
-                    known[piece] = found
-            return found
+        pieces = regex.compile(pattern)
+        known = shared.value.get("known")
+        if known is None:
+            known = shared.value["known"] = KnownPieces(PrefixEncoder(shared.value["ranks"]))
 
         for batch in batches:
             counts, id_hashes, text_hashes = [], [], []
             for text in batch.column("text").to_pylist():
-                found = [look(p) for p in pieces.findall(text or "")]
-                counts.append(sum([f[1] for f in found]))
-                id_hashes.append(hashlib.sha256(",".join([f[0] for f in found]).encode()).hexdigest())
-                text_hashes.append(hashlib.sha256(b"".join([f[2] for f in found])).hexdigest())
+                found = pieces.findall(text or "")
+                ids, decoded = zip(*map(known.__getitem__, found), strict=True) if found else ((), ())
+                listed = ",".join(ids)
+                counts.append(listed.count(",") + 1 if ids else 0)
+                id_hashes.append(hashlib.sha256(listed.encode()).hexdigest())
+                text_hashes.append(hashlib.sha256(b"".join(decoded)).hexdigest())
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, pa.array(counts, pa.int64()), pa.array(id_hashes, pa.string()), pa.array(text_hashes, pa.string())],
                 names=[*batch.schema.names, *new],
             )
 
-    from pyspark.sql import types as T
-
     schema = T.StructType([*rows.schema.fields, T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())])
     return rows.mapInArrow(run, schema)
 
