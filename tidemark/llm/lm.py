@@ -121,17 +121,21 @@ def held_out(doc_id: Column, folds: int = 10) -> Column:
 
 
 def _packed(code: np.ndarray, doc: np.ndarray, n: np.ndarray, units: int) -> pa.Array:
-    """A unit's postings as bytes: two for each document's number, then one for each count; larger counts take several."""
+    """A unit's postings as bytes: the steps between its documents' numbers, first their low bytes, then their high ones, then the counts.
+
+    Counts above 255 take several postings. Bytes of a kind lie together because they pack well.
+    """
     parts = -(-n // 255)
     code, doc, n, k = np.repeat(code, parts), np.repeat(doc, parts), np.repeat(n, parts), np.repeat(parts, parts)
     turn = np.arange(len(k)) - np.repeat(np.cumsum(parts) - parts, parts)
     n = np.where(turn < k - 1, 255, n - 255 * (k - 1))
     starts = np.searchsorted(code, np.arange(units + 1))
-    at = 3 * starts[code] + 2 * (np.arange(len(code)) - starts[code])
-    out = np.empty(3 * len(code), np.uint8)
-    out[at], out[at + 1] = doc & 255, doc >> 8
     sizes = np.diff(starts)
-    out[3 * starts[code] + 2 * sizes[code] + np.arange(len(code)) - starts[code]] = n
+    at, size = 2 * starts[code] + np.arange(len(code)), sizes[code]
+    step = np.diff(doc, prepend=0)
+    step[starts[:-1][sizes > 0]] = doc[starts[:-1][sizes > 0]]
+    out = np.empty(3 * len(code), np.uint8)
+    out[at], out[at + size], out[at + 2 * size] = step & 255, step >> 8, n
     return pa.Array.from_buffers(pa.binary(), units, [None, pa.py_buffer((3 * starts).astype(np.int32)), pa.py_buffer(out)])
 
 
@@ -142,8 +146,11 @@ def _unpacked(packed: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     size = np.diff(ends) // 3
     unit = np.repeat(np.arange(len(packed)), size)
     k = np.arange(len(unit)) - np.repeat(np.cumsum(size) - size, size)
-    at = ends[unit] + 2 * k
-    return unit, raw[at].astype(np.int64) | (raw[at + 1].astype(np.int64) << 8), raw[ends[unit] + 2 * size[unit] + k].astype(np.int64)
+    at, size = ends[unit] + k, size[unit]
+    so_far = np.cumsum(raw[at].astype(np.int64) | (raw[at + size].astype(np.int64) << 8))
+    first = np.flatnonzero(k == 0)
+    before = np.concatenate(([0], so_far))[first]
+    return unit, so_far - np.repeat(before, size[first]), raw[at + 2 * size].astype(np.int64)
 
 
 def postings(docs: DataFrame) -> DataFrame:
