@@ -255,6 +255,32 @@ def test_licenses(spark, empty):
     assert licenses.scanned(empty, licenses.word_idf(empty)).collect() == []
 
 
+def test_licenses_no_template_hides_another(spark):
+    lines = [t for _, t, _ in licenses.TEMPLATES]
+    varied = " ".join(f"word{i} {w}" for i in range(300) for w in licenses.VOCABULARY[i % 7 :: 7])
+    grant = next(t for label, t, _ in licenses.TEMPLATES if label == "mit-grant")
+    texts = ["\n".join(lines), "\n".join(lines[::-1]), varied + " licensed under CC BY-NC 4.0", f"{grant}. Licensed under CC BY-NC 4.0", f"{grant}. Released under the MIT License"]
+    # The last line's words are common here, the grant's are not.
+    texts += ["Licensed under CC BY-NC 4.0, released under the MIT License"] * 20
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    idf = licenses.word_idf(docs)
+    got = {r["doc_id"]: r for r in licenses.scanned(docs, idf).collect()}
+    for i, text in enumerate(texts):
+        ws = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", text.lower())
+        brute = set()
+        for label, t, phrases in licenses.TEMPLATES:
+            own = t.split()
+            for start in range(-len(own), len(ws)):
+                at = [ws[start + k] if 0 <= start + k < len(ws) else None for k in range(len(own))]
+                if sum(a == b for a, b in zip(at, own)) / len(own) >= licenses.MIN_SCORE and any(
+                    own[k : k + len(p.split())] == p.split() == at[k : k + len(p.split())] for p in phrases for k in range(len(own))
+                ):
+                    brute.add((label, start))
+        assert {(h["label"], h["start"]) for h in got[i]["hits"]} == brute
+    assert {label for label, _, _ in licenses.TEMPLATES} <= set(got[0]["labels"].split(","))
+    assert got[2]["labels"] == "cc-by-nc-4.0" and got[3]["labels"] == "cc-by-nc-4.0,mit-grant" and got[4]["labels"] == "mit,mit-grant,mit-notice"
+
+
 def test_tool_calls(spark):
     calls = spark.createDataFrame(
         [

@@ -26,7 +26,6 @@ TEMPLATES = (
     ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met", ("source and binary forms",)),
 )
 MIN_SCORE = 0.8
-RARE_WORDS = 8
 VOCABULARY = tuple(sorted({w for _, t, _ in TEMPLATES for w in t.split()}))
 
 
@@ -75,7 +74,7 @@ def _starts(keys: list[str], words: list[str]) -> Column:
             postings = postings.when(F.get(ws, i) == key, F.array(*[F.lit(k) for k, w in enumerate(words) if w == key]))
         return F.transform(postings.otherwise(none), lambda k: i - k)
 
-    return F.flatten(F.transform("keyed", of))
+    return F.flatten(F.transform("spots", of))
 
 
 def _place(label: str, words: list[str], phrases: tuple[str, ...]) -> Callable[[Column], Column]:
@@ -94,13 +93,12 @@ def _place(label: str, words: list[str], phrases: tuple[str, ...]) -> Callable[[
     return of
 
 
-def scanned(docs: DataFrame, idf: dict[str, float], min_score: float = MIN_SCORE, rare: int = RARE_WORDS) -> DataFrame:
+def scanned(docs: DataFrame, idf: dict[str, float], min_score: float = MIN_SCORE) -> DataFrame:
     """doc_id, n_words, places of the base phrases, labels, hits and score of every document.
 
-    The file's highest-IDF licence words (``rare`` distinct ones, ties in spelling order) are looked
-    up in the postings of the templates (word, template, position). Each file position minus a posting
-    position is a place where the template would start; a place counts once, however many words
-    vote for it. There every word of the template is compared at its relative position; the share that
+    Every index word of the file is looked up in the postings of the templates (word, template, position),
+    so no template hides another. Each file position minus a posting position is a place where the template
+    would start; a place counts once, however many words vote for it. There every word of the template is compared at its relative position; the share that
     agrees is the place's score. A template's label is given where the score reaches ``min_score`` and a mandatory phrase stands at its
     place. ``hits`` holds (label, start, score) of these; ``score`` is the best of them, 1 if a
     base phrase stands in the text and none is better.
@@ -113,13 +111,8 @@ def scanned(docs: DataFrame, idf: dict[str, float], min_score: float = MIN_SCORE
     # Positions of licence words only; all further work is on these.
     spots = F.when(n > 0, F.filter(F.sequence(F.lit(0), n - 1), lambda i: F.get("ws", i).isin(*index_keys(idf), *[p.split()[0] for p, _ in BASE]))).otherwise(F.array().cast("array<int>"))
     df = df.withColumn("spots", spots)
-    ws = F.col("ws")
     base = [F.filter("spots", _phrase_starts(p.split())) for p, _ in BASE]
-    ranked = F.array(*[F.lit(w) for w in sorted(index_keys(idf), key=lambda w: (-idf[w], w))])
-    present = F.transform("spots", lambda i: F.get(ws, i))
-    df = df.select("doc_id", "ws", "spots", *[b.alias(f"base_{k}") for k, b in enumerate(base)], F.slice(F.filter(ranked, lambda w: F.array_contains(present, w)), 1, rare).alias("rarest"))
-    keyed = F.filter("spots", lambda i: F.array_contains(F.col("rarest"), F.get(ws, i)))
-    df = df.withColumn("keyed", keyed)
+    df = df.select("doc_id", "ws", "spots", *[b.alias(f"base_{k}") for k, b in enumerate(base)])
     hits = [F.filter(F.transform(F.array_distinct(_starts(rare_words(idf, t), t.split())), _place(label, t.split(), phrases)), lambda h: h["phrase"] & (h["score"] >= min_score)) for label, t, phrases in TEMPLATES]
     places = F.concat(*[F.col(f"base_{k}") for k in range(len(BASE))])
     df = df.select(
