@@ -2,8 +2,10 @@
 
 import hashlib
 import itertools
+import json
 import re
 import zlib
+from collections import Counter
 
 import pytest
 import xxhash
@@ -307,6 +309,30 @@ def test_tool_calls(spark):
     assert toolcalls.linked_calls(calls.limit(0), results.limit(0), schemas).collect() == []
 
 
+def test_every_tool_result_has_a_row(spark):
+    calls = [
+        (1, "a", 0, "first", None), (1, "a", 2, "again", None), (-1, "a", 0, "minus one", None), (None, "a", 0, "no conversation", None), (None, "a", 0, "no conversation", None),
+        (1, None, 5, "no id", "a"), (1, None, 5, "no id", "a"), (1, "", 6, "empty id", None), (1, "x", 7, "loop", "x"), (1, None, 8, "after a loop", "x"),
+    ]
+    results = [
+        (1, "a", 1, "answer"), (1, "a", 3, "later"), (1, "a", 3, "later"), (1, "q", 4, "lost"), (1, "q", 4, "lost"), (1, "q", 9, None),
+        (None, "a", 1, "unknown 1"), (None, "a", 1, "unknown 2"), (-1, "a", 1, "to minus one"), (1, None, 1, "no id"), (1, "", 7, "to the empty id"), (None, None, None, None),
+    ]
+    cs = spark.createDataFrame([(c, i, p, n, "{}", a) for c, i, p, n, a in calls], "conv_id long, call_id string, pos long, name string, arguments string, after string")
+    rs = spark.createDataFrame(results, "conv_id long, call_id string, pos long, content string")
+    schemas = spark.createDataFrame([], "name string, kinds map<string,string>, required array<string>")
+    got = toolcalls.linked_calls(cs, rs, schemas, further=True).collect()
+    assert len({(r["conv_id"], r["place"]) for r in got}) == len(got) and {r["place"] for r in got if r["conv_id"] is None} == set(range(5))
+    told = Counter((r["conv_id"], r["call_id"], json.loads(r["json"])["result"]) for r in got if r["state"] in ("linked", "orphan", "repeated result"))
+    assert told == Counter((c, i, t) for c, i, _, t in results) and sum(r["n_results"] for r in got) == len(results)
+    named = Counter((r["conv_id"], r["call_id"], r["name"], r["state"], r["level"]) for r in got if r["name"])
+    assert named == Counter({
+        (1, "a", "first", "linked", 0): 1, (1, "a", "again", "repeated", None): 1, (-1, "a", "minus one", "linked", 0): 1, (None, "a", "no conversation", "pending", 0): 2,
+        (1, None, "no id", "pending", 1): 2, (1, "", "empty id", "linked", 0): 1, (1, "x", "loop", "cyclic", None): 1, (1, None, "after a loop", "cyclic", None): 1,
+    })
+    assert Counter(r["state"] for r in got) == {"linked": 3, "repeated": 1, "pending": 4, "cyclic": 2, "orphan": 7, "repeated result": 2}
+
+
 def test_long_chain_of_calls(spark):
     rows = [(1, f"c{i}", 500 - i, "t", "{}", f"c{i - 1}") for i in range(300)]
     calls = spark.createDataFrame(rows, "conv_id long, call_id string, pos long, name string, arguments string, after string")

@@ -101,7 +101,7 @@ TOOLS = (
 def op9_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     calls, results = conversation_calls(table(spark, sf_dir, "conversations"))
     schemas = spark.createDataFrame(list(TOOLS), "name string, kinds map<string,string>, required array<string>")
-    return toolcalls.linked_calls(calls, results, schemas).withColumn("errors", F.array_join("errors", ","))
+    return toolcalls.linked_calls(calls, results, schemas, further=True).withColumn("errors", F.array_join("errors", ","))
 
 
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -65,7 +67,7 @@ def call_levels(calls: DataFrame) -> DataFrame:
     return state.select("conv_id", "call_id", F.when(F.col("ptr").isNull(), F.col("level")).alias("level"))
 
 
-def linked_calls(calls: DataFrame, results: DataFrame, schemas: DataFrame) -> DataFrame:
+def linked_calls(calls: DataFrame, results: DataFrame, schemas: DataFrame, further: bool = False) -> DataFrame:
     """One row per call, and per result without a call, in topological order of each conversation.
 
     ``calls``: conv_id, call_id, pos, name, arguments (JSON), after (the call whose result it uses, or null).
@@ -73,35 +75,45 @@ def linked_calls(calls: DataFrame, results: DataFrame, schemas: DataFrame) -> Da
     Returns conv_id, place (from 0), level, call_id, name, state, errors, n_results, json.
 
     Of several calls with one identifier in a conversation the one with the smallest pos counts, the others are
-    ``repeated``; of several results the first is linked and n_results tells how many there are. States:
-    ``linked``, ``pending`` (no result), ``cyclic``, ``repeated``, ``orphan`` (a result without call). Calls are ordered by level,
-    then pos, then what follows; cyclic ones, repeated ones and orphans come last. ``json`` holds sorted keys without blanks; arguments that are no JSON are
-    kept as a string. Rows with a null conv_id or call_id can't be linked and form a conversation of their own, -1, or an identifier "". Empty tables give an
+    ``repeated``; of several results the first is linked and n_results tells how many there are. With ``further`` every
+    further result of a call is a row of its own (``repeated result``, n_results 0), else it is only counted. States:
+    ``linked``, ``pending`` (no result), ``cyclic``, ``repeated``, ``repeated result``, ``orphan`` (a result without call, each a row with n_results 1).
+    Calls are ordered by level, then pos, then what follows; cyclic ones, repeated ones and rows of results come last. ``json`` holds sorted keys
+    without blanks; arguments that are no JSON are kept as a string. Rows with a null conv_id or call_id can't be linked: each is a pending
+    call (cyclic if the call it comes after is) or an orphan, and those with a null conv_id have places of their own. Empty tables give an
     empty result; other columns are ignored.
     """
-    ids = [F.coalesce("conv_id", F.lit(-1)).cast("bigint").alias("conv_id"), F.coalesce("call_id", F.lit("")).alias("call_id"), F.coalesce("pos", F.lit(-1)).cast("bigint").alias("pos")]
+    ids = [F.col("conv_id").cast("bigint").alias("conv_id"), "call_id", F.coalesce("pos", F.lit(-1)).cast("bigint").alias("pos")]
+    key, known = ["conv_id", "call_id"], "conv_id IS NOT NULL AND call_id IS NOT NULL"
     calls = stored(calls.select(*ids, "name", "arguments", "after", F.monotonically_increasing_id().alias("row")), "calls")
-    results = results.select(*ids, "content")
-    first = calls.groupBy("conv_id", "call_id").agg(
+    results = stored(results.select(*ids, "content", F.monotonically_increasing_id().alias("row")), "results")
+    first = calls.where(known).groupBy(*key).agg(
         F.min(F.struct("pos", "row")).alias("at"), F.min_by(F.struct("name", "arguments", "after"), F.struct("pos", "row")).alias("call")
-    ).select("conv_id", "call_id", "at.pos", "at.row", "call.*")
+    ).select(*key, "at.pos", "at.row", "call.*")
     first = stored(first, "calls-first")
-    answers = stored(results.groupBy("conv_id", "call_id").agg(F.min_by("content", F.struct("pos", "content")).alias("content"), F.min("pos").alias("answered"), F.count("*").alias("n_results")), "answers")
+    answers = results.where(known).groupBy(*key).agg(F.min(F.struct("pos", "content", "row")).alias("answer"), F.count("*").alias("n_results"))
+    answers = stored(answers.select(*key, "answer.content", F.col("answer.row").alias("answer_row"), "n_results"), "answers")
     levels = call_levels(first)
-    key = ["conv_id", "call_id"]
-    main = first.join(levels, key).join(answers, key, "left").withColumn(
-        "state", F.when(F.col("level").isNull(), "cyclic").when(F.col("n_results").isNull(), "pending").otherwise("linked")
-    )
-    again = calls.join(first.select("row"), "row", "left_anti").withColumn("state", F.lit("repeated"))
-    orphans = answers.join(first.select(*key), key, "left_anti").withColumn("state", F.lit("orphan")).withColumn("pos", F.col("answered"))
-    rows = main.unionByName(again, allowMissingColumns=True).unionByName(orphans, allowMissingColumns=True)
+    state = F.when(F.col("level").isNull(), "cyclic").when(F.col("n_results").isNull(), "pending").otherwise("linked")
+    main = first.join(levels, key).join(answers.drop("answer_row"), key, "left").withColumn("state", state)
+    again = calls.where(known).join(first.select("row"), "row", "left_anti").withColumn("state", F.lit("repeated"))
+    before = levels.select(F.col("conv_id").alias("bc"), F.col("call_id").alias("ba"), F.col("level").alias("before"))
+    loose = calls.where(f"NOT ({known})").join(before, (F.col("conv_id") == F.col("bc")) & (F.col("after") == F.col("ba")), "left")
+    loose = loose.withColumn("level", F.when(F.col("ba").isNull(), F.lit(0)).otherwise(F.col("before") + 1).cast("bigint")).drop("bc", "ba", "before")
+    loose = loose.withColumn("n_results", F.lit(None).cast("bigint")).withColumn("state", state)
+    met = results.join(first.select(*key, F.lit(True).alias("called")), key, "left")
+    rows = [again, loose, met.where("called IS NULL").drop("called").withColumn("state", F.lit("orphan")).withColumn("n_results", F.lit(1).cast("bigint"))]
+    if further:
+        more = met.where("called").drop("called").join(answers.select(F.col("answer_row").alias("row")), "row", "left_anti")
+        rows.append(more.withColumn("state", F.lit("repeated result")))
+    rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), rows, main)
     checked = rows.join(schemas.select(F.col("name").alias("tool"), "kinds", "required"), F.col("name") == F.col("tool"), "left")
-    errors = F.when(F.col("state") == "orphan", F.array().cast("array<string>")).otherwise(argument_errors(F.col("arguments"), F.col("kinds"), F.coalesce("required", F.array().cast("array<string>"))))
+    errors = F.when(F.col("state").isin("orphan", "repeated result"), F.array().cast("array<string>")).otherwise(argument_errors(F.col("arguments"), F.col("kinds"), F.coalesce("required", F.array().cast("array<string>"))))
     checked = checked.select(
-        "conv_id", "call_id", "pos", F.coalesce("row", F.lit(-1)).alias("row"), "name", "arguments", "after", "level", "content", F.coalesce("n_results", F.lit(0)).alias("n_results"), "state",
+        "conv_id", F.col("conv_id").isNull().alias("no_conv"), F.coalesce("conv_id", F.lit(-1)).alias("conv"), "call_id", "pos", "row", "name", "arguments", "after", "level", "content", F.coalesce("n_results", F.lit(0)).alias("n_results"), "state",
         errors.alias("errors"), (F.col("level").isNull() | (F.col("state") == "repeated")).alias("last"),
     )
-    ordered = with_running(checked, ["conv_id", "last", "level", "pos", "state", "call_id", "row"], "call-order", by=["conv_id"], rank="place")
+    ordered = with_running(checked, ["no_conv", "conv", "last", "level", "pos", "state", "call_id", "row"], "call-order", by=["no_conv", "conv"], rank="place")
     json = F.concat(
         F.lit('{"after":'), _quoted("after"), F.lit(',"arguments":'), F.when(F.col("arguments").isNull(), "null").otherwise(F.coalesce(canonical(F.col("arguments")), _quoted("arguments"))),
         F.lit(',"errors":'), F.to_json("errors"), F.lit(',"id":'), _quoted("call_id"), F.lit(',"name":'), _quoted("name"),
