@@ -273,6 +273,33 @@ def test_context_tree(spark):
     assert only["train_tokens"] == 0 and only["n_known"] == 0 and only["score"] < 0
 
 
+def running_predictions(words):
+    """Context and byte of every prediction of a text: the bytes before it, whatever word they are of."""
+    data = b"".join(w + b" " for w in words) + b"\n"
+    for i in range(len(data)):
+        yield (b" " * lm.DEPTH + data[:i])[-lm.DEPTH :], data[i]
+
+
+def test_context_tree_over_running_text(spark, monkeypatch):
+    monkeypatch.setitem(globals(), "predictions", running_predictions)
+    monkeypatch.setattr(lm, "FLUSH", 700)
+    rnd = random.Random(5)
+    words = ["a", "of", "ü", "letters", "longer-words", "It"]
+    texts = [" ".join(rnd.choice(words) for _ in range(rnd.randrange(0, 25))) for _ in range(60)]
+    # The same words in another order, and all in their order.
+    texts += [None, "", "a of letters", "letters of\ta", "a of It " * 300, "It of a " * 300]
+    df = spark.createDataFrame([(i, t, 1, "s", "k") for i, t in enumerate(texts)], DOCS).repartition(3)
+    held = [zlib.crc32(str(i).encode()) % 10 == 0 for i in range(len(texts))]
+    score = tree_brute([words_of(t) for t, h in zip(texts, held, strict=True) if not h])
+    got = {r["doc_id"]: r for r in lm.scored(df, running=True).collect()}
+    short = {r["doc_id"]: r for r in lm.scored(df).collect()}
+    for i, t in enumerate(texts):
+        assert got[i]["score"] == pytest.approx(score(words_of(t)))
+        assert [got[i][c] for c in ("held_out", "n_tokens", "n_known", "train_tokens")] == [short[i][c] for c in ("held_out", "n_tokens", "n_known", "train_tokens")]
+        assert got[i]["base_score"] == pytest.approx(short[i]["base_score"])
+    assert lm.scored(df.limit(0), running=True).collect() == []
+
+
 def test_context_tree_is_better_on_unseen_text(spark):
     """With 10,000 documents; with a few hundred the word base, which gives any unknown word a share, is ahead."""
     docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import stored
 
-# Bytes of context. The first HEAD bytes of a word also see the last TAIL bytes of the word before it, later ones
+# Bytes of context. In the short form (``running`` false) the first HEAD bytes of a word also see the last TAIL bytes of the word before it, later ones
 # see their own word only; blanks stand for all that lies before.
 DEPTH = 6
 HEAD, TAIL = 2, 2
@@ -153,50 +153,73 @@ def _unpacked(packed: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return unit, so_far - np.repeat(before, size[first]), raw[at + 2 * size].astype(np.int64)
 
 
-def postings(docs: DataFrame) -> DataFrame:
+def _running_grams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Gram of each byte of the texts, in whose context blanks stand only for what lies before a text, and the number of its text."""
+    flat = np.frombuffer(b"".join(BLANK * DEPTH + t for t in texts), np.uint8).astype(np.int64)
+    size = np.array([len(t) for t in texts], np.int64)
+    of = np.repeat(np.arange(len(texts)), size)
+    at = np.arange(len(of)) + DEPTH * (of + 1)
+    gram = np.zeros(len(at), np.int64)
+    for k in range(1, DEPTH + 1):
+        gram = (gram << 8) | flat[at - k]
+    return (gram << 8) | flat[at], of
+
+
+def postings(docs: DataFrame, running: bool = False) -> DataFrame:
     """One row per unit and batch of documents: unit, batch, its postings in it, and its count in training.
 
     Columns of ``docs``: doc_id, text, train, start (a number per partition). Units are the words, with the empty word for
-    the end of a text, and the heads: a blank, the tail of the word before, a blank and the word's first HEAD bytes. A text's
+    the end of a text, and the heads: a blank, the tail of the word before, a blank and the word's first HEAD bytes. With ``running`` grams
+    take the place of the heads: a blank, the DEPTH bytes before a position of the running text, the latest first, and the byte there. A text's
     score is a sum over its units. The row of the empty word also carries each document's doc_id, number of tokens
     and of bytes, so that one pass gives all.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def emit(ids: dict, codes: list, held: list, train: list, batch: int) -> pa.RecordBatch:
+        def emit(ids: dict, codes: list, held: list, train: list, texts: list, batch: int) -> pa.RecordBatch:
             units = np.empty(len(ids), object)
             units[:] = list(ids)
+            units = pa.array(units, pa.binary())
             code = np.concatenate(codes).astype(np.int64)
             doc = np.repeat(np.arange(len(held)), [len(c) for c in codes])
+            if running:
+                grams, of = _running_grams(texts)
+                grams, gram = np.unique(grams, return_inverse=True)
+                code, doc = np.concatenate((code, len(ids) + gram)), np.concatenate((doc, of))
+                spelled = pa.py_buffer((grams | (BLANK[0] << 56)).astype(">i8").tobytes())
+                units = pa.concat_arrays([units, pa.Array.from_buffers(pa.binary(), len(grams), [None, pa.py_buffer(np.arange(0, 8 * len(grams) + 1, 8, dtype=np.int32)), spelled])])
             key, n = np.unique(code * len(held) + doc, return_counts=True)
             code, doc = key // len(held), key % len(held)
-            learned = np.add.reduceat(np.where(np.array(train)[doc], n, 0), np.searchsorted(code, np.arange(len(ids))))
+            learned = np.add.reduceat(np.where(np.array(train)[doc], n, 0), np.searchsorted(code, np.arange(len(units))))
             entry = pa.list_(pa.struct([("doc_id", pa.int64()), ("n", pa.int64()), ("bytes", pa.int64())]))
-            listed = [held if not u else None for u in ids]
+            listed = [held if not u else None for u in ids] + [None] * (len(units) - len(ids))
             return pa.RecordBatch.from_arrays(
-                [pa.array(units, pa.binary()), pa.array(np.full(len(ids), batch)), _packed(code, doc, n, len(ids)), pa.array(learned), pa.array(listed, entry)],
+                [units, pa.array(np.full(len(units), batch)), _packed(code, doc, n, len(units)), pa.array(learned), pa.array(listed, entry)],
                 names=["unit", "batch", "postings", "learned", "docs"],
             )
 
         ids: dict[bytes, int] = {}
-        codes, held, train, size, number = [], [], [], 0, None
+        codes, held, train, texts, size, number = [], [], [], [], 0, None
         for batch in batches:
             for doc_id, text, t, start in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "train", "start")), strict=True):
                 number = start if number is None else number
                 units = (text or "").encode().translate(_LOWER).split()
                 held.append({"doc_id": doc_id, "n": len(units) + 1, "bytes": sum(map(len, units)) + len(units) + 1})
-                tails = [b"", *[w[-TAIL:] for w in units]]
-                heads = [*[w[:HEAD] if len(w) >= HEAD else w + BLANK for w in units], STOP]
+                if running:
+                    texts.append(b"".join(w + BLANK for w in units) + STOP)
+                    size += len(texts[-1])
+                tails = [] if running else [b"", *[w[-TAIL:] for w in units]]
+                heads = [] if running else [*[w[:HEAD] if len(w) >= HEAD else w + BLANK for w in units], STOP]
                 units.append(b"")
                 units += [BLANK + a + BLANK + b for a, b in zip(tails, heads, strict=True)]
                 codes.append(np.array([ids.setdefault(u, len(ids)) for u in units], np.int32))
                 train.append(t)
                 size += len(units)
                 if size >= FLUSH or len(held) >= BATCH_DOCS:
-                    yield emit(ids, codes, held, train, number)
-                    ids, codes, held, train, size, number = {}, [], [], [], 0, number + 1
+                    yield emit(ids, codes, held, train, texts, number)
+                    ids, codes, held, train, texts, size, number = {}, [], [], [], [], 0, number + 1
         if held:
-            yield emit(ids, codes, held, train, number)
+            yield emit(ids, codes, held, train, texts, number)
 
     return docs.select("doc_id", "text", "train", "start").mapInArrow(
         run, "unit binary, batch bigint, postings binary, learned bigint, docs array<struct<doc_id:bigint,n:bigint,bytes:bigint>>"
@@ -238,6 +261,11 @@ def _grams(units: DataFrame) -> DataFrame:
     return units.select("id", "c", "unit").mapInArrow(run, "id bigint, c bigint, gram bigint")
 
 
+def _spelled_grams(units: DataFrame) -> DataFrame:
+    """id, learned count c and gram of the units that are grams."""
+    return units.where(F.col("unit").startswith(F.lit(BLANK))).select("id", "c", F.conv(F.hex(F.substring("unit", 2, DEPTH + 1)), 16, 10).cast("bigint").alias("gram"))
+
+
 def gram_scores(grams: DataFrame) -> DataFrame:
     """gram, log10 probability, for a table of distinct grams and their learned counts.
 
@@ -274,7 +302,7 @@ def gram_scores(grams: DataFrame) -> DataFrame:
     return dealt.mapInArrow(score, "gram bigint, logp double")
 
 
-def scored(docs: DataFrame) -> DataFrame:
+def scored(docs: DataFrame, running: bool = False) -> DataFrame:
     """Scores of every document under a unigram base and the context-tree model learned from the training folds.
 
     Tokens are the lower-cased (A-Z) words and one end per text. base_score adds log10((c + 0.1) / (N + 0.1 (V + 1))) per token. The model is
@@ -284,12 +312,16 @@ def scored(docs: DataFrame) -> DataFrame:
     bits per byte. Counts cover all training documents; what they need grows with the corpus and stays distributed:
     counts of words and heads, contexts and scores are joined, only totals and the nodes above depth 2 (their number is bounded) reach the driver.
 
+    With ``running`` the contexts are the last DEPTH bytes of the running text at every position: its words with a blank after
+    each, then the end; blanks stand for what lies before the text. Otherwise (the short form, a cut for small disks) what a word's
+    later bytes see ends where the word begins.
+
     Null and empty texts hold one token, the end. Null doc_ids belong to the fold of the empty string; repeated rows are
     scored, and learned from, as often as they occur; without training documents c, N and V are 0 and
     every bit has probability 1/2. An empty table gives an empty result; other columns are ignored.
     """
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", (~held_out(F.col("doc_id"))).alias("train"))
-    table = stored(postings(rows.withColumn("start", F.spark_partition_id().cast("bigint") * 2**20)), "lm-postings")
+    table = stored(postings(rows.withColumn("start", F.spark_partition_id().cast("bigint") * 2**20), running), "lm-postings")
     listed = table.where(F.octet_length("unit") == 0).select("batch", F.posexplode("docs").alias("at", "d"))
     # A document's number: its batch and its place therein.
     ids = listed.select((F.col("batch") * 65536 + F.col("at")).alias("row"), "d.doc_id", "d.n", "d.bytes")
@@ -297,7 +329,7 @@ def scored(docs: DataFrame) -> DataFrame:
     units = stored(units.select("unit", "c", (~F.col("unit").startswith(F.lit(BLANK))).alias("token")).withColumn("id", F.monotonically_increasing_id()), "lm-units")
     tokens = units.where("token")
     total = tokens.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.coalesce(F.sum((F.col("c") > 0).cast("int")), F.lit(0)).alias("v")).first()
-    grams = _grams(units)
+    grams = _spelled_grams(units) if running else _grams(units)
     known = gram_scores(grams.groupBy("gram").agg(F.sum("c").alias("c")))
     known = stored(known.withColumnRenamed("gram", "g"), "lm-grams")
     summed = grams.join(known, F.col("gram") == F.col("g")).groupBy("id").agg(F.sum("logp").alias("logp"))

@@ -58,7 +58,7 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_context_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lm.scored(table(spark, sf_dir, "documents"))
+    return lm.scored(table(spark, sf_dir, "documents"), running=True)
 
 
 def op8_bottom_k(spark: SparkSession, sf_dir: str) -> DataFrame:
