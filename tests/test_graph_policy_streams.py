@@ -164,6 +164,31 @@ def test_finding_state_spans_batches(spark, tmp_path):
     assert rows == {(2, "a", "fixed", 1), (2, "b", "fixed", 1), (2, "n", "introduced", 1), (3, "a", "fixed", 1), (3, "n", "fixed", 1)}
 
 
+def test_replayed_scans_do_not_depend_on_the_batch_limit(spark, tmp_path, monkeypatch):
+    """Six files in no order, with any limit of a micro-batch lowered to one file."""
+    from pyspark.sql.streaming.readwriter import DataStreamReader
+
+    from tidemark.plans import stream_queries as Q
+
+    option = DataStreamReader.option
+    monkeypatch.setattr(DataStreamReader, "option", lambda self, k, v: option(self, k, "1" if k == "maxBytesPerTrigger" else v))
+    events = [(i, i % 3, "view" if i % 2 else "click", float(i * 37 % 100), i) for i in range(120)]
+    for k in (3, 0, 5, 1, 4, 2):
+        part = spark.createDataFrame([e for e in events if e[0] * 7 // 6 % 6 == k], "event_id long, user_id long, event_type string, value double, s long")
+        part.select("event_id", "user_id", "event_type", "value", F.timestamp_seconds(F.col("s") * 60 + 1704067200).alias("ts")).coalesce(1).write.mode("append").parquet(str(tmp_path / "events.parquet"))
+    scores, bands = {}, {}
+    for i, user, kind, value, _ in events:
+        scores.setdefault((user, kind), []).append((i, int(value)))
+        bands.setdefault((str(user), kind), []).append((i, f"f{int(value // 50)}"))
+    pairs = [(*key, *b, a[1]) for key, rows in scores.items() for a, b in zip(rows, rows[1:])]
+    changes = {(u, c, i, before, after, after - before) for u, c, i, after, before in pairs if before != after}
+    assert {tuple(r) for r in Q.stream_score_changes(spark, str(tmp_path)).collect()} == changes
+    lost = {(u, c, i, -d) for u, c, i, _, _, d in changes if d <= -40}
+    assert lost and {tuple(r) for r in Q.stream_regression_alerts(spark, str(tmp_path)).collect()} == lost
+    delta = {(*key, b[0], f, kind, 1) for key, rows in bands.items() for a, b in zip(rows, rows[1:]) if a[1] != b[1] for f, kind in ((b[1], "introduced"), (a[1], "fixed"))}
+    assert {tuple(r) for r in Q.stream_finding_delta(spark, str(tmp_path)).collect()} == delta
+
+
 def test_streamed_scan_equals_batch(spark, files, tmp_path):
     table = files({f"f{i}.ts": "ok\ntoken = 'abcdefghijklmnopqrstuvwx'\n" * i for i in range(6)})
     table.repartition(3).write.parquet(str(tmp_path / "in"))

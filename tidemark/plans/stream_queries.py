@@ -20,14 +20,16 @@ from tidemark.streaming import jobs as J
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def stream_of(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+def stream_of(spark: SparkSession, sf_dir: str, name: str, at_once: bool = False) -> DataFrame:
     """The table as a stream, be it one file or a folder.
 
     A plain path must be a folder; a pattern (here one that matches just the name) may be a file.
-    The size of a micro-batch is limited, and with it what one key can bring to a task at once.
+    The size of a micro-batch is limited, and with it what one key can bring to a task at once. Jobs that take late
+    rows for nothing read the table ``at_once``, since its files are in no order: one micro-batch of any size.
     """
     schema = spark.read.parquet(f"{sf_dir}/{name}.parquet").schema
-    return spark.readStream.schema(schema).option("maxBytesPerTrigger", str(512 << 20)).parquet(f"{sf_dir}/{name}.parque[t]")
+    reader = spark.readStream.schema(schema)
+    return (reader if at_once else reader.option("maxBytesPerTrigger", str(512 << 20))).parquet(f"{sf_dir}/{name}.parque[t]")
 
 
 def run_to_end(stream: DataFrame) -> DataFrame:
@@ -51,8 +53,8 @@ def _with_state_store(spark: SparkSession, run):
         spark.conf.set(key, before) if before else spark.conf.unset(key)
 
 
-def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scans = scans_from_events(stream_of(spark, sf_dir, "events"))
+def event_stream(spark: SparkSession, sf_dir: str, at_once: bool = False) -> DataFrame:
+    scans = scans_from_events(stream_of(spark, sf_dir, "events", at_once))
     return scans.withColumn("scan_ts", F.col("scan_ts").cast("timestamp"))
 
 
@@ -78,7 +80,7 @@ def stream_secret_scan(spark, sf_dir):
     SELECT project, "check", scan_id, before, score AS after, score - before AS delta FROM l WHERE before IS NOT NULL AND before <> score""",
 )
 def stream_score_changes(spark, sf_dir):
-    changes = _with_state_store(spark, lambda: run_to_end(J.live_delta(event_stream(spark, sf_dir))))
+    changes = _with_state_store(spark, lambda: run_to_end(J.live_delta(event_stream(spark, sf_dir, at_once=True))))
     return changes.select("project", "check", "scan_id", "before", "after", "delta")
 
 
@@ -88,7 +90,7 @@ def stream_score_changes(spark, sf_dir):
     SELECT project, "check", scan_id, before - score AS lost FROM l WHERE before - score >= 40""",
 )
 def stream_regression_alerts(spark, sf_dir):
-    alerts = _with_state_store(spark, lambda: run_to_end(J.regression_alerts(J.live_delta(event_stream(spark, sf_dir)), 40)))
+    alerts = _with_state_store(spark, lambda: run_to_end(J.regression_alerts(J.live_delta(event_stream(spark, sf_dir, at_once=True)), 40)))
     return alerts.select("project", "check", "scan_id", (-F.col("delta")).alias("lost"))
 
 
@@ -101,7 +103,7 @@ def stream_regression_alerts(spark, sf_dir):
 )
 def stream_finding_delta(spark, sf_dir):
     """Each event is a scan with one finding, named after its value band; the job reports what changed against the scan before."""
-    events = stream_of(spark, sf_dir, "events")
+    events = stream_of(spark, sf_dir, "events", at_once=True)
     findings = events.select(
         F.col("user_id").cast("string").alias("project"), F.col("event_type").alias("check"), F.col("event_id").alias("scan_id"),
         F.concat(F.lit("f"), F.floor(F.col("value") / 50).cast("string")).alias("fingerprint"),
