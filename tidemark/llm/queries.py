@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, fingerprints, licenses, lm, mixing, neardup, quality, sharding, toolcalls, urls
+from tidemark.llm import alignment, bpe, divergence, fingerprints, langid, licenses, lm, mixing, neardup, quality, sharding, toolcalls, urls
 
 Query = Callable[[SparkSession, str], DataFrame]
 TOKENIZER = "byte_bpe_multi_50k.tiktoken"
@@ -110,9 +110,27 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers as known
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return alignment.linked(docs, known.path("byte_bpe_50k.json"), known.path("piece_bpe_32k.model"), known.PATTERN)
+
+
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = divergence.divergence(table(spark, sf_dir, "documents"))
+    return found.select("lang", "source", "part", "item", "value", "rank")
+
+
+def op13_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", langid.in_fold(F.col("doc_id")).alias("held_out"))
+    model = langid.fit_model(docs.where("not held_out"))
+    return langid.identified(docs.select("doc_id", "held_out", "text"), model).drop("text")
+
+
 def load() -> tuple[dict[str, Query], dict[str, str]]:
     """Queries and SQL of this subpackage."""
     from tidemark.llm.queries_sql import SQL
 
-    ops = (op1_near_duplicates, op2_byte_bpe, op3_hilbert_shards, op4_url_filters, op5_source_mix, op6_quality_rules, op7_context_tree, op8_bottom_k, op9_tool_calls, op10_license_scan)
+    ops = (op1_near_duplicates, op2_byte_bpe, op3_hilbert_shards, op4_url_filters, op5_source_mix, op6_quality_rules, op7_context_tree, op8_bottom_k, op9_tool_calls, op10_license_scan, op11_token_alignment, op12_source_divergence, op13_language_id)
     return {f.__name__: f for f in ops}, dict(SQL)

@@ -59,4 +59,26 @@ target AS (
 SELECT doc_id, size, source_size, target, CAST((floor((r + 1) * rate + u) - floor(r * rate + u)) * size AS BIGINT) AS taken FROM m
 """
 
-SQL = {"op1_near_duplicates": NEAR_DUPLICATES, "op4_url_filters": URL_FILTERS, "op5_source_mix": SOURCE_MIX}
+SOURCE_DIVERGENCE = r"""
+WITH d AS (SELECT coalesce(lang, '') AS lang, coalesce(source, '') AS source, row_number() OVER () AS row,
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
+  w AS (SELECT lang, source, row, unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+  k AS (SELECT lang, term, count(*) AS total FROM w GROUP BY ALL HAVING count(DISTINCT row) >= 30),
+  l AS (SELECT lang, sum(total) AS n, count(*) AS v FROM k GROUP BY ALL),
+  c AS (SELECT lang, source, term, count(*) AS n FROM w JOIN k USING (lang, term) GROUP BY ALL),
+  g AS (SELECT DISTINCT lang, source FROM d),
+  s AS (SELECT g.lang, g.source, coalesce(sum(c.n), 0) AS n FROM g LEFT JOIN c ON c.lang = g.lang AND c.source = g.source GROUP BY ALL),
+  p AS (SELECT s.lang, s.source, k.term, coalesce(c.n, 0) AS n, 1 + (1000000000::HUGEINT * (coalesce(c.n, 0) + 5)) // (s.n + 5 * l.v) AS p,
+      1 + (1000000000::HUGEINT * (k.total + 5)) // (l.n + 5 * l.v) AS q
+    FROM s JOIN k ON k.lang = s.lang JOIN l ON l.lang = s.lang LEFT JOIN c ON c.lang = s.lang AND c.source = s.source AND c.term = k.term),
+  f AS (SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+  r AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(f.value, 0) AS BIGINT) AS value
+    FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN f ON f.lang = a.lang AND f.source = a.source AND f.item = b.source
+    UNION ALL SELECT lang, source, 'term', term, CAST(p - q AS BIGINT) FROM p WHERE n > 0 AND p > q),
+  o AS (SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, encode(item)) AS INTEGER) AS rank FROM r)
+  SELECT lang, source, part, item, value, rank FROM o WHERE part = 'pair' OR rank <= 50
+"""
+
+SQL = {
+    "op1_near_duplicates": NEAR_DUPLICATES, "op4_url_filters": URL_FILTERS, "op5_source_mix": SOURCE_MIX, "op12_source_divergence": SOURCE_DIVERGENCE,
+}
