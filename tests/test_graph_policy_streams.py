@@ -122,71 +122,118 @@ def test_statuses(spark):
 
 
 # --- streams fed file by file -------------------------------------------------------------
-SCAN = "project bigint, check string, scan_ts timestamp, scan_id bigint, score bigint"
+SCAN = "project string, check string, scan_ts timestamp, scan_id bigint, score bigint"
+FOUND = "project string, check string, scan_ts timestamp, scan_id bigint, fingerprint string"
 
 
-def scans(spark, rows):
-    return spark.createDataFrame(rows, "project bigint, check string, ts string, scan_id bigint, score bigint").select("project", "check", F.col("ts").cast("timestamp").alias("scan_ts"), "scan_id", "score")
+def fed(spark, tmp_path, schema, batches, job):
+    """Rows that a job emits when ``batches`` arrive one by one, each in a run that goes on from the checkpoint, and then time passes.
 
-
-def test_score_state_spans_batches_and_ignores_late_scans(spark, tmp_path):
-    batches = [
-        [(1, "lint", "2024-01-01 00:00:00", 1, 50), (1, "lint", "2024-01-01 02:00:00", 3, 70), (2, "lint", "2024-01-01 00:00:00", 2, 10)],
-        [(1, "lint", "2024-01-01 01:00:00", 4, 99), (1, "lint", "2024-01-01 03:00:00", 5, 70), (1, "lint", "2024-01-01 04:00:00", 6, 20)],
-    ]
-    out, state = str(tmp_path / "out"), str(tmp_path / "state")
-
-    def feed():
-        for i, rows in enumerate(batches):
-            scans(spark, rows).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-            stream = spark.readStream.schema(SCAN).parquet(str(tmp_path / "in"))
-            J.append_to(J.live_delta(stream), out, state).awaitTermination()
-
-    _with_state_store(spark, feed)
-    rows = {(r["scan_id"], r["before"], r["after"], r["delta"]) for r in spark.read.parquet(out).collect()}
-    assert rows == {(3, 50, 70, 20), (6, 70, 20, -50)}
-    assert J.regression_alerts(spark.read.parquet(out), 30).count() == 1
-
-
-def test_finding_state_spans_batches(spark, tmp_path):
-    schema = "project string, check string, scan_id bigint, fingerprint string"
-    batches = [[("p", "c", 1, "a"), ("p", "c", 1, "a"), ("p", "c", 1, "b")], [("p", "c", 2, "a"), ("p", "c", 2, "n")], [("p", "c", 3, None)]]
-    out, state = str(tmp_path / "out"), str(tmp_path / "state")
+    Rows have minutes in place of scan_ts. A micro-batch sees the watermark of those before it.
+    """
+    names = [f.split()[0] for f in schema.split(", ")]
+    out = str(tmp_path / "out")
 
     def feed():
-        for rows in batches:
-            spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        for rows in [*batches, [(None, None, 10**6, None, None)]]:
+            df = spark.createDataFrame(rows, schema.replace("scan_ts timestamp", "scan_ts bigint"))
+            df.withColumn("scan_ts", F.timestamp_seconds(F.col("scan_ts") * 60 + 1704067200)).select(names).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
             stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
-            J.append_to(J.live_finding_delta(stream), out, state).awaitTermination()
+            J.append_to(job(stream), out, str(tmp_path / "state")).awaitTermination()
 
     _with_state_store(spark, feed)
-    rows = {(r["scan_id"], r["fingerprint"], r["kind"], r["copies"]) for r in spark.read.parquet(out).collect()}
-    assert rows == {(2, "a", "fixed", 1), (2, "b", "fixed", 1), (2, "n", "introduced", 1), (3, "a", "fixed", 1), (3, "n", "fixed", 1)}
+    return spark.read.parquet(out)
 
 
-def test_replayed_scans_do_not_depend_on_the_batch_limit(spark, tmp_path, monkeypatch):
-    """Six files in no order, with any limit of a micro-batch lowered to one file."""
-    from pyspark.sql.streaming.readwriter import DataStreamReader
+def score_changes(rows):
+    """Changes by (project, check) in the order of time, over rows of (project, check, minute, scan_id, score)."""
+    out, last = set(), {}
+    for project, check, _, scan_id, score in sorted(rows, key=lambda r: (r[2], r[3])):
+        before = last.get((project, check))
+        if before is not None and before != score:
+            out.add((project, check, scan_id, before, score, score - before))
+        last[project, check] = score
+    return out
 
+
+def test_scores_are_compared_in_order_of_time_and_late_scans_go_out(spark, tmp_path):
+    batches = [
+        [("1", "lint", 0, 1, 50), ("1", "lint", 120, 3, 70), ("2", "lint", 0, 2, 10)],
+        [("1", "lint", 60, 4, 99), ("1", "lint", 30, 9, 5), ("1", "lint", 180, 5, 70), ("1", "lint", 240, 6, 20)],
+    ]
+    rows = fed(spark, tmp_path, SCAN, batches, lambda s: J.live_delta(s, "1 hour", "1 hour"))
+    found = {(r["kind"], r["scan_id"], r["before"], r["after"], r["delta"]) for r in rows.collect()}
+    assert found == {("change", 4, 50, 99, 49), ("change", 3, 99, 70, -29), ("change", 6, 70, 20, -50), ("late", 9, None, 5, None)}
+    assert J.regression_alerts(rows, 30).count() == 1
+
+
+def test_shuffled_scans_give_the_batch_twin_of_all_that_is_not_late(spark, tmp_path):
+    patience, draw = "5 hours", random.Random(7)
+    rows = [(draw.choice("aaab"), draw.choice(["x", "y"]), draw.randint(0, 2000), i, draw.randint(0, 3)) for i in range(300)]
+    draw.shuffle(rows)
+    batches = [rows[i::4] for i in range(4)]
+    found = fed(spark, tmp_path, SCAN, batches, lambda s: J.live_delta(s, patience, "3 hours")).collect()
+    late = {r["scan_id"] for r in found if r["kind"] == "late"}
+    mark, expected = -(10**9), set()
+    for batch in batches:
+        expected |= {r[3] for r in batch if (r[2] // 180 + 1) * 180 <= mark}
+        mark = max(mark, max(r[2] for r in batch) - int(patience.split()[0]) * 60)
+    assert late == expected and late
+    assert sum(r["kind"] == "late" for r in found) == len(late)
+    changes = [(r["project"], r["check"], r["scan_id"], r["before"], r["after"], r["delta"]) for r in found if r["kind"] == "change"]
+    assert len(changes) == len(set(changes)) and set(changes) == score_changes([r for r in rows if r[3] not in late])
+
+
+def test_shuffled_findings_give_the_batch_twin(spark, tmp_path):
+    patience, draw = "5 hours", random.Random(8)
+    scans = [(draw.choice("ab"), "c", draw.randint(0, 2000), i, draw.choices("fgh", k=draw.randint(0, 3))) for i in range(80)]
+    rows = [(p, c, m, i, f) for p, c, m, i, found in scans for f in found or [None]]
+    groups = [[r for r in rows if r[3] % 3 == k] for k in range(3)]
+    found = fed(spark, tmp_path, FOUND, groups, lambda s: J.live_finding_delta(s, patience, "3 hours")).collect()
+    late = {r["scan_id"] for r in found if r["kind"] == "late"}
+    assert late
+    expected, last = [], {}
+    for p, c, _, i, prints in sorted(scans, key=lambda s: (s[2], s[3])):
+        if i in late:
+            continue
+        if p in last:
+            for f in "fgh":
+                gap = prints.count(f) - last[p].count(f)
+                if gap:
+                    expected.append((p, c, i, f, "introduced" if gap > 0 else "fixed", abs(gap)))
+        last[p] = prints
+    assert sorted((r["project"], r["check"], r["scan_id"], r["fingerprint"], r["kind"], r["copies"]) for r in found if r["kind"] != "late") == sorted(expected)
+
+
+@pytest.mark.parametrize("slide", [None, "1 hour"])
+def test_windows_late_rows_and_input_add_up(spark, tmp_path, slide):
+    draw = random.Random(4)
+    rows = [(draw.choice("ab"), "c", draw.randint(0, 1500), i, draw.choice([None, 1, 5])) for i in range(200)]
+    batches = [rows[i::4] for i in range(4)]
+    found = fed(spark, tmp_path, SCAN, batches, lambda s: J.live_trend(s, "3 hours", slide, "4 hours")).collect()
+    windows, late, mark, step = {}, 0, -(10**9), 60 if slide else 180
+    for batch in batches:
+        for p, _, m, _, score in batch:
+            for start in range(m // step * step, m - 180, -step):
+                if start + 180 <= mark:
+                    late += 1
+                else:
+                    windows.setdefault((p, start), []).append(score)
+        mark = max(mark, max(r[2] for r in batch) - 240)
+    got = {(r["project"], int(r["window_start"].timestamp() - 1704067200) // 60): (r["scans"], r["lowest"], r["total"]) for r in found if r["kind"] == "window"}
+    known = {k: [s for s in v if s is not None] for k, v in windows.items()}
+    assert got == {k: (len(v), min(known[k], default=None), sum(known[k]) if known[k] else None) for k, v in windows.items()}
+    assert late and sum(r["scans"] for r in found if r["kind"] == "late") == late
+    assert sum(r["kind"] == "window" for r in found) == len(windows)
+
+
+def test_replays_are_cut_into_several_micro_batches(spark):
     from tidemark.plans import stream_queries as Q
 
-    option = DataStreamReader.option
-    monkeypatch.setattr(DataStreamReader, "option", lambda self, k, v: option(self, k, "1" if k == "maxBytesPerTrigger" else v))
-    events = [(i, i % 3, "view" if i % 2 else "click", float(i * 37 % 100), i) for i in range(120)]
-    for k in (3, 0, 5, 1, 4, 2):
-        part = spark.createDataFrame([e for e in events if e[0] * 7 // 6 % 6 == k], "event_id long, user_id long, event_type string, value double, s long")
-        part.select("event_id", "user_id", "event_type", "value", F.timestamp_seconds(F.col("s") * 60 + 1704067200).alias("ts")).coalesce(1).write.mode("append").parquet(str(tmp_path / "events.parquet"))
-    scores, bands = {}, {}
-    for i, user, kind, value, _ in events:
-        scores.setdefault((user, kind), []).append((i, int(value)))
-        bands.setdefault((str(user), kind), []).append((i, f"f{int(value // 50)}"))
-    pairs = [(*key, *b, a[1]) for key, rows in scores.items() for a, b in zip(rows, rows[1:])]
-    changes = {(u, c, i, before, after, after - before) for u, c, i, after, before in pairs if before != after}
-    assert {tuple(r) for r in Q.stream_score_changes(spark, str(tmp_path)).collect()} == changes
-    lost = {(u, c, i, -d) for u, c, i, _, _, d in changes if d <= -40}
-    assert lost and {tuple(r) for r in Q.stream_regression_alerts(spark, str(tmp_path)).collect()} == lost
-    delta = {(*key, b[0], f, kind, 1) for key, rows in bands.items() for a, b in zip(rows, rows[1:]) if a[1] != b[1] for f, kind in ((b[1], "introduced"), (a[1], "fixed"))}
-    assert {tuple(r) for r in Q.stream_finding_delta(spark, str(tmp_path)).collect()} == delta
+    events = spark.range(200).select("id", F.timestamp_seconds(F.col("id") * 3600 + 1704067200).alias("ts"))
+    seen = Q.replayed(events, lambda e: e.select("id", F.col("ts")), batches=6)
+    files = {f for f in seen.select("id").inputFiles()}
+    assert len(files) >= 7 and seen.where("id is not null").count() == 200 and seen.where("id is null").count() == 1
 
 
 def test_streamed_scan_equals_batch(spark, files, tmp_path):

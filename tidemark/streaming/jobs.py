@@ -1,15 +1,18 @@
 """Continuous scans with Structured Streaming.
 
-Each job has a batch twin among the operators; replaying the same rows in order
-must give the same result.
+Each job has a batch twin among the operators; replaying the same rows, in any order and cut into any
+micro-batches within the patience of the watermark, must give the same result.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
+from itertools import groupby
 
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
@@ -25,112 +28,303 @@ def continuous_scan(files: DataFrame, pack: Pack = SECRETS) -> DataFrame:
     return found.withColumn("line", redacted(F.col("line")))
 
 
-class LastScore(StatefulProcessor):
-    """Keeps the newest score of one (project, check) and emits every change.
+def _dealt(rows: DataFrame, ts: str, patience: str, span: str) -> DataFrame:
+    """``rows`` with ``at``, the time in microseconds, and ``closes``, the millisecond at which the row's stretch of time ends.
 
-    Rows of a batch are taken in event order; a scan older than the stored one is
-    late and changes nothing. The state is one row per key and expires by TTL.
+    The watermark runs ``patience`` behind the newest row. The watched column itself goes: Spark would drop rows behind
+    the watermark without a trace, here the processors see them and report them as late.
     """
+    length = _micros(span)
+    at = F.unix_micros(F.col(ts).cast("timestamp"))
+    closes = ((F.floor(at / length) + 1) * (length // 1000)).cast("bigint")
+    return rows.withColumn("_watched", F.col(ts).cast("timestamp")).withWatermark("_watched", patience).withColumn("at", at).withColumn("closes", closes).drop("_watched")
 
-    def __init__(self, ttl_ms: int | None = None) -> None:
-        self.ttl_ms = ttl_ms
+
+def _micros(length: str) -> int:
+    return int(pd.Timedelta(length) / pd.Timedelta(microseconds=1))
+
+
+class _Stretch(StatefulProcessor):
+    """Holds the rows of one key and stretch of time until the watermark passes its end, then hands them on in order, all at once.
+
+    A row that comes for a stretch already closed is late: it changes nothing and goes out as such. Memory and state of a
+    key are bounded by a stretch, and a busy key's stretches lie in different tasks.
+    """
+
+    held_schema = ""
+    columns: tuple[str, ...] = ()
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        schema = "scan_ts timestamp, scan_id bigint, score bigint"
-        self.last = handle.getValueState("last", schema, self.ttl_ms)
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
-        batch = pd.concat(list(rows)).sort_values(["scan_ts", "scan_id"])
-        before = self.last.get()
-        newest = None if before is None else (pd.Timestamp(before[0]), before[1])
-        score = None if before is None else before[2]
-        out = []
-        for ts, scan_id, value in zip(batch["scan_ts"], batch["scan_id"], batch["score"]):
-            if newest is not None and (ts, scan_id) <= newest:
-                continue
-            if score is not None and value != score:
-                out.append((key[0], key[1], ts, int(scan_id), int(score), int(value), int(value - score)))
-            newest, score = (ts, int(scan_id)), int(value)
-        if newest is not None:
-            self.last.update((newest[0].to_pydatetime(), newest[1], score))
-        yield pd.DataFrame(out, columns=["project", "check", "scan_ts", "scan_id", "before", "after", "delta"])
+        self.handle = handle
+        self.held = handle.getListState("held", self.held_schema)
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        fields = [tuple(row[c] for c in self.columns) for row in rows]
+        if key[-1] <= timerValues.getCurrentWatermarkInMs():
+            yield from self.late(key, fields)
+        else:
+            if not self.held.exists():
+                self.handle.registerTimer(key[-1])
+            self.held.appendList(fields)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        rows = sorted(self.held.get(), key=lambda r: tuple((v is not None, v) for v in r))
+        self.held.clear()
+        yield from self.closed(key, rows)
+
+    def late(self, key, rows: list[tuple]) -> list[Row]:
+        raise NotImplementedError
+
+    def closed(self, key, rows: list[tuple]) -> list[Row]:
+        raise NotImplementedError
 
     def close(self) -> None:
         pass
 
 
-CHANGE = "project bigint, check string, scan_ts timestamp, scan_id bigint, before bigint, after bigint, delta bigint"
+LANES = 256
+KEY = ("key_project", "key_check", "lane")
 
 
-def live_delta(scans: DataFrame, ttl_ms: int | None = None) -> DataFrame:
-    """Every score change per (project, check). Needs the RocksDB state store."""
-    return scans.groupBy("project", "check").transformWithStateInPandas(
-        LastScore(ttl_ms), outputStructType=CHANGE, outputMode="append", timeMode="processingTime" if ttl_ms else "none"
-    )
+def _keyed(rows: list[tuple], closes: int) -> list[tuple]:
+    """Rows with their stretch and the key under which the chain takes them; a row begins with kind, project and check."""
+    return [(*r, closes, r[1], r[2], 0) if r[0] in EDGES else (*r, closes, None, None, 1 + zlib.crc32(f"{r[1]} {r[2]} {closes}".encode()) % LANES) for r in rows]
+
+
+EDGES = ("edge", "first", "last")
+
+
+class _Chain(StatefulProcessor):
+    """Joins the stretches of a key: the edge of one is compared with what the one before ended with.
+
+    Edges have lane 0 and their key; all edges that one advance of the watermark closes come in one micro-batch, and later ones only close later.
+    All other rows have no key, are spread over LANES lanes and pass.
+    """
+
+    row: Row
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        if key[-1]:
+            for row in rows:
+                yield self.row(*[row[c] for c in self.row])
+        else:
+            edges = sorted(rows, key=lambda r: r["closes"])
+            yield from self.joined(key, [list(g) for _, g in groupby(edges, lambda r: r["closes"])])
+
+    def joined(self, key, stretches: list[list[Row]]) -> list[Row]:
+        raise NotImplementedError
+
+    def close(self) -> None:
+        pass
+
+
+SCORE_COLUMNS = ("kind", "project", "check", "at", "scan_id", "before", "after")
+SCORE_ROW = "kind string, project {0}, check string, at bigint, scan_id bigint, before bigint, after bigint"
+
+
+class ScoreStretch(_Stretch):
+    held_schema = "at bigint, scan_id bigint, score bigint"
+    columns = ("at", "scan_id", "score")
+
+    def late(self, key, rows):
+        return self._rows(key, [("late", *key[:2], at, scan_id, None, score) for at, scan_id, score in rows])
+
+    def closed(self, key, rows):
+        changes = [("change", *key[:2], at, scan_id, a, b) for (_, _, a), (at, scan_id, b) in zip(rows, rows[1:], strict=False) if a != b]
+        # The edge carries the first scan, and in ``before`` the last score.
+        return self._rows(key, [*changes, ("edge", *key[:2], rows[0][0], rows[0][1], rows[-1][2], rows[0][2])])
+
+    def _rows(self, key, rows):
+        out = Row(*SCORE_COLUMNS, "closes", *KEY)
+        return [out(*r) for r in _keyed(rows, key[2])]
 
 
-class LiveFindings(StatefulProcessor):
-    """Keeps fingerprint counts of the last scan of one (project, check); emits fixed and introduced.
+class ScoreChain(_Chain):
+    row = Row(*SCORE_COLUMNS)
 
-    Input rows: project, check, scan_id, fingerprint (null = the scan ran clean). The
-    state is a map fingerprint -> count, one entry at a time, not one large value.
+    def __init__(self, ttl_ms: int | None = None) -> None:
+        self.ttl_ms = ttl_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.last = handle.getValueState("last", "score bigint", self.ttl_ms)
+
+    def joined(self, key, stretches):
+        stored, out = self.last.get(), []
+        known, last = stored is not None, None if stored is None else stored[0]
+        for [edge] in stretches:
+            if known and edge["after"] != last:
+                out.append(self.row("change", edge["project"], edge["check"], edge["at"], edge["scan_id"], last, edge["after"]))
+            known, last = True, edge["before"]
+        self.last.update((last,))
+        return out
+
+
+def live_delta(scans: DataFrame, patience: str = "1 hour", span: str = "1 day", ttl_ms: int | None = None) -> DataFrame:
+    """Every score change per (project, check) in the order of (scan_ts, scan_id), however the scans arrive.
+
+    Scans are held until the watermark (``patience`` behind the newest scan) passes the end of their stretch of length ``span``. Result: kind (change, or
+    late for a scan whose stretch was closed when it came; its score is in ``after``), project, check, scan_ts, scan_id, before, after, delta. What a
+    stretch holds is emitted once and in order; a scan sent again counts as one of equal score. The last score of a key expires by ``ttl_ms``
+    of processing time. Needs the RocksDB state store.
     """
+    kept = scans.select("project", "check", "scan_ts", "scan_id", "score")
+    kind = kept.schema["project"].dataType.simpleString()
+    row = SCORE_ROW.format(kind)
+    closed = _dealt(kept, "scan_ts", patience, span).groupBy("project", "check", "closes").transformWithState(
+        ScoreStretch(), outputStructType=f"{row}, closes bigint, key_project {kind}, key_check string, lane bigint", outputMode="append", timeMode="EventTime"
+    )
+    joined = closed.groupBy(*KEY).transformWithState(
+        ScoreChain(ttl_ms), outputStructType=row, outputMode="append", timeMode="ProcessingTime" if ttl_ms else "None"
+    )
+    return joined.select(
+        "kind", "project", "check", F.timestamp_micros("at").alias("scan_ts"), "scan_id", "before", "after", (F.col("after") - F.col("before")).alias("delta")
+    )
+
+
+FINDING_COLUMNS = ("kind", "project", "check", "at", "scan_id", "fingerprint", "copies")
+FINDING_ROW = "kind string, project {0}, check string, at bigint, scan_id bigint, fingerprint string, copies bigint"
+
+
+def _gaps(before: dict, now: dict) -> list[tuple]:
+    """kind, fingerprint and copies of what differs between two snapshots."""
+    gaps = [(f, now.get(f, 0) - before.get(f, 0)) for f in sorted(now.keys() | before.keys())]
+    return [("introduced" if n > 0 else "fixed", f, abs(n)) for f, n in gaps if n]
+
+
+class FindingStretch(_Stretch):
+    held_schema = "at bigint, scan_id bigint, fingerprint string"
+    columns = ("at", "scan_id", "fingerprint")
+
+    def late(self, key, rows):
+        return self._rows(key, [("late", *key[:2], *r, 1) for r in rows])
+
+    def closed(self, key, rows):
+        scans: dict[tuple, dict] = {}
+        for at, scan_id, fingerprint in rows:
+            counts = scans.setdefault((at, scan_id), {})
+            if fingerprint is not None:
+                counts[fingerprint] = counts.get(fingerprint, 0) + 1
+        order, out = list(scans), []
+        for a, b in zip(order, order[1:], strict=False):
+            out += [(kind, *key[:2], *b, f, n) for kind, f, n in _gaps(scans[a], scans[b])]
+        # The edges: both outer snapshots, with a row of no copies so that a clean one is there.
+        for kind, scan in (("first", order[0]), ("last", order[-1])):
+            out += [(kind, *key[:2], *scan, f, n) for f, n in [(None, 0), *scans[scan].items()]]
+        return self._rows(key, out)
+
+    def _rows(self, key, rows):
+        out = Row(*FINDING_COLUMNS, "closes", *KEY)
+        return [out(*r) for r in _keyed(rows, key[2])]
+
+
+class FindingChain(_Chain):
+    """The last snapshot is a map fingerprint -> copies, one entry at a time, of which only what differs is written back."""
+
+    row = Row(*FINDING_COLUMNS)
 
     def __init__(self, ttl_ms: int | None = None) -> None:
         self.ttl_ms = ttl_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.counts = handle.getMapState("counts", "fingerprint string", "n bigint", self.ttl_ms)
-        self.seen = handle.getValueState("seen", "scan_id bigint", self.ttl_ms)
+        self.seen = handle.getValueState("seen", "at bigint", self.ttl_ms)
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
-        batch = pd.concat(list(rows))
-        seen = self.seen.get()
-        last = None if seen is None else seen[0]
-        stored = {} if last is None else {k[0]: v[0] for k, v in self.counts.iterator()}
+    def joined(self, key, stretches):
+        known = self.seen.exists()
+        stored = {k[0]: v[0] for k, v in self.counts.iterator()} if known else {}
         before, out = stored, []
-        for scan_id, scan in batch.groupby("scan_id", sort=True):
-            if last is not None and scan_id <= last:
-                continue
-            now = scan["fingerprint"].dropna().value_counts().to_dict()
-            if last is not None:
-                for fingerprint in sorted(now.keys() | before.keys()):
-                    gap = now.get(fingerprint, 0) - before.get(fingerprint, 0)
-                    if gap:
-                        kind = "introduced" if gap > 0 else "fixed"
-                        out.append((key[0], key[1], int(scan_id), fingerprint, kind, abs(int(gap))))
-            before, last = now, int(scan_id)
-        # Only what differs from the stored snapshot is written back, once per batch.
+        for edge in stretches:
+            sides = {kind: {r["fingerprint"]: r["copies"] for r in edge if r["kind"] == kind and r["copies"]} for kind in ("first", "last")}
+            first = next(r for r in edge if r["kind"] == "first")
+            if known:
+                out += [self.row(kind, first["project"], first["check"], first["at"], first["scan_id"], f, n) for kind, f, n in _gaps(before, sides["first"])]
+            known, before = True, sides["last"]
         for fingerprint in stored.keys() - before.keys():
             self.counts.removeKey((fingerprint,))
         for fingerprint, n in before.items():
             if stored.get(fingerprint) != n:
-                self.counts.updateValue((fingerprint,), (int(n),))
-        if last is not None:
-            self.seen.update((int(last),))
-        yield pd.DataFrame(out, columns=["project", "check", "scan_id", "fingerprint", "kind", "copies"])
+                self.counts.updateValue((fingerprint,), (n,))
+        self.seen.update((stretches[-1][0]["closes"],))
+        return out
 
-    def close(self) -> None:
-        pass
 
+def live_finding_delta(findings: DataFrame, patience: str = "1 hour", span: str = "1 day", ttl_ms: int | None = None) -> DataFrame:
+    """What each scan of a (project, check) fixed and introduced against the scan before it, as multisets of fingerprints.
 
-def live_finding_delta(findings: DataFrame, ttl_ms: int | None = None) -> DataFrame:
-    return findings.groupBy("project", "check").transformWithStateInPandas(
-        LiveFindings(ttl_ms),
-        outputStructType="project string, check string, scan_id bigint, fingerprint string, kind string, copies bigint",
-        outputMode="append",
-        timeMode="processingTime" if ttl_ms else "none",
+    Input rows: project, check, scan_ts, scan_id, fingerprint (null: the scan ran clean); all rows of a scan have its scan_ts. Order, lateness and state are
+    those of :func:`live_delta`. Result: kind (fixed, introduced, or late), project, check, scan_ts, scan_id, fingerprint, copies.
+    """
+    kept = findings.select("project", "check", "scan_ts", "scan_id", "fingerprint")
+    kind = kept.schema["project"].dataType.simpleString()
+    row = FINDING_ROW.format(kind)
+    closed = _dealt(kept, "scan_ts", patience, span).groupBy("project", "check", "closes").transformWithState(
+        FindingStretch(), outputStructType=f"{row}, closes bigint, key_project {kind}, key_check string, lane bigint", outputMode="append", timeMode="EventTime"
     )
+    joined = closed.groupBy(*KEY).transformWithState(
+        FindingChain(ttl_ms), outputStructType=row, outputMode="append", timeMode="ProcessingTime" if ttl_ms else "None"
+    )
+    return joined.select("kind", "project", "check", F.timestamp_micros("at").alias("scan_ts"), "scan_id", "fingerprint", "copies")
+
 
+class ScoreWindow(StatefulProcessor):
+    """Sums of one project and window until the watermark passes its end; what comes later goes out as late."""
 
-def live_trend(scans: DataFrame, length: str, slide: str | None = None, late: str = "1 hour") -> DataFrame:
-    """Score windows per project; scans later than the watermark are dropped."""
-    window = F.window("scan_ts", length, slide) if slide else F.window("scan_ts", length)
-    return (
-        scans.withWatermark("scan_ts", late).groupBy("project", window.alias("w"))
-        .agg(F.count(F.lit(1)).alias("scans"), F.min("score").alias("lowest"), F.sum("score").alias("total"))
-        .select("project", F.col("w.start").alias("window_start"), "scans", "lowest", "total")
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.sums = handle.getValueState("sums", "scans bigint, lowest bigint, total bigint")
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        parts = [(r["scans"], r["lowest"], r["total"]) for r in rows]
+        if key[2] <= timerValues.getCurrentWatermarkInMs():
+            yield self._row("late", key, self._joined(parts))
+            return
+        stored = self.sums.get()
+        self.sums.update(self._joined([*parts, stored] if stored else parts))
+        if not stored:
+            self.handle.registerTimer(key[2])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        yield self._row("window", key, self.sums.get())
+        self.sums.clear()
+
+    def _joined(self, parts: list[tuple]) -> tuple:
+        known = [(low, total) for _, low, total in parts if low is not None]
+        return sum(p[0] for p in parts), min(k[0] for k in known) if known else None, sum(k[1] for k in known) if known else None
+
+    def _row(self, kind: str, key, sums: tuple) -> Row:
+        return Row("kind", "project", "start", "scans", "lowest", "total")(kind, key[0], key[1], *sums)
+
+    def close(self) -> None:
+        pass
+
+
+def live_trend(scans: DataFrame, length: str, slide: str | None = None, patience: str = "1 hour") -> DataFrame:
+    """Score windows per project, each emitted once when the watermark (``patience`` behind the newest scan) has passed its end.
+
+    Result: kind, project, window_start, scans, lowest, total. kind is window, or late: scans that came for a window already closed, summed per micro-batch. So the scans of
+    all rows and of the windows still open add up to those read (times the windows each scan lies in, with ``slide``). Scans without a time lie in no window. Each task sums its
+    rows by window before they are shuffled. Needs the RocksDB state store.
+    """
+    long, step = _micros(length), _micros(slide or length)
+    at = F.unix_micros(F.col("scan_ts").cast("timestamp"))
+    last = F.floor(at / step) * step
+    starts = F.filter(F.sequence(last - (-(-long // step) - 1) * step, last, F.lit(step).cast("bigint")), lambda s: s + long > at)
+    rows = scans.where(F.col("scan_ts").isNotNull()).withColumn("_watched", F.col("scan_ts").cast("timestamp")).withWatermark("_watched", patience)
+    rows = rows.select("project", F.explode(starts).alias("start"), "score")
+    kind = rows.schema["project"].dataType.simpleString()
+
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sums = pa.Table.from_batches([batch]).group_by(["project", "start"]).aggregate([([], "count_all"), ("score", "min"), ("score", "sum")])
+            sums = sums.select(["project", "start", "count_all", "score_min", "score_sum"]).rename_columns(["project", "start", "scans", "lowest", "total"])
+            yield from sums.combine_chunks().to_batches()
+
+    parts = rows.mapInArrow(summed, f"project {kind}, start bigint, scans bigint, lowest bigint, total bigint")
+    parts = parts.withColumn("closes", F.floor((F.col("start") + long) / 1000).cast("bigint"))
+    windows = parts.groupBy("project", "start", "closes").transformWithState(
+        ScoreWindow(), outputStructType=f"kind string, project {kind}, start bigint, scans bigint, lowest bigint, total bigint", outputMode="append", timeMode="EventTime"
     )
+    return windows.select("kind", "project", F.timestamp_micros("start").alias("window_start"), "scans", "lowest", "total")
 
 
 def regression_alerts(changes: DataFrame, drop: int) -> DataFrame:
