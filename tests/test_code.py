@@ -38,20 +38,63 @@ def test_copies_grow_linearly(spark, files):
     assert len(rows) == 8 and {r["origin_path"] for r in rows} == {"f0.ts"}
 
 
-def test_clones_cover_brute_force(spark, files):
-    """Every position whose window occurred earlier lies in exactly one reported run."""
+def clones_by_definition(contents, width):
+    """(path, origin, first token, tokens) of the runs on the diagonals that first occurrences name, apart from those inside another one."""
+    tokens = {p: [t for t, _ in C.tokenise(text)] for p, text in contents.items()}
+    windows = {p: [tuple(t[i : i + width]) for i in range(len(t) - width + 1)] for p, t in tokens.items()}
+    first, diagonals, covered = {}, set(), set()
+    for p in sorted(windows):
+        for i, w in enumerate(windows[p]):
+            o, j = first.setdefault(w, (p, i))
+            if p != o or i >= j + width:
+                diagonals.add((p, o, i - j))
+                covered.add((p, o, i))
+    runs = {}
+    for p, o, shift in diagonals:
+        same = [i for i in range(len(windows[p])) if 0 <= i - shift < len(windows[o]) and windows[p][i] == windows[o][i - shift]]
+        for i in same:
+            if i - 1 not in same:
+                stop = next(k for k in range(i, len(windows[p]) + 1) if k + 1 not in same)
+                runs.setdefault((p, o), set()).add((i, stop, shift))
+    out = set()
+    for pair, found in runs.items():
+        for a, b, shift in found:
+            if not any(x <= a and b <= y and ((x, y) != (a, b) or s < shift) for x, y, s in found):
+                out.add((*pair, a, b - a + width))
+    return out, covered
+
+
+def test_clones_equal_brute_force(spark, files):
     rng = random.Random(5)
     width, contents = 6, {}
-    for f in range(12):
-        contents[f"f{f:02}"] = " ".join(rng.choice("abcd") for _ in range(rng.randint(0, 90)))
-    windows, first = [], {}
-    for path in sorted(contents):
-        tokens = [t for t, _ in C.tokenise(contents[path])]
-        windows += [(path, i, tuple(tokens[i : i + width])) for i in range(len(tokens) - width + 1)]
-    for path, i, w in windows:
-        first.setdefault(w, (path, i))
-    expected = sum((p, i) != first[w] and (p != first[w][0] or i >= first[w][1] + width) for p, i, w in windows)
-    assert sum(r["tokens"] - width + 1 for r in found(files, contents, width)) == expected
+    for f in range(14):
+        contents[f"f{f:02}"] = "\n".join(rng.choice("abcd") for _ in range(rng.randint(0, 90)))
+    contents["g"], contents["h"] = "\n".join("x" * 40), "\n".join("ab" * 30)
+    expected, covered = clones_by_definition(contents, width)
+    rows = found(files, contents, width)
+    # A token a line: the line is the token's number.
+    assert {(r["path"], r["origin_path"], r["start_line"] - 1, r["tokens"]) for r in rows} == expected and len(rows) == len(expected)
+    for path, origin, i in covered:
+        assert any((r["path"], r["origin_path"]) == (path, origin) and r["start_line"] - 1 <= i <= r["end_line"] - width for r in rows)
+    assert all(r["lines"] == r["tokens"] == r["end_line"] - r["start_line"] + 1 for r in rows)
+
+
+def test_a_clone_is_whole_where_a_third_file_holds_a_part(spark, files):
+    words = [f"w{i}" for i in range(200)]
+    part = "\n".join(words[80:140])
+    rows = found(files, {"a.ts": part, "b.ts": "\n".join(words), "c.ts": "intro\n" + "\n".join(words)})
+    assert {(r["path"], r["origin_path"], r["start_line"], r["origin_line"], r["tokens"]) for r in rows} == {("b.ts", "a.ts", 81, 1, 60), ("c.ts", "a.ts", 82, 1, 60), ("c.ts", "b.ts", 2, 1, 200)}
+
+
+def test_the_digest_is_of_the_whole_clone(spark, files):
+    import hashlib
+
+    lines = [f"  call{i}(a,   b);" for i in range(20)]
+    other = lines[:9] + ["  other(c);"] + lines[10:]
+    rows = found(files, {"a.ts": "\n".join(lines), "b.ts": "\n".join(lines), "c.ts": "\n".join(other), "d.ts": "\n".join(other)})
+    whole = hashlib.sha1(" ".join(" ".join(lines).split()).encode()).hexdigest()[:12]
+    by_path = {(r["path"], r["origin_path"]): r["digest"] for r in rows}
+    assert by_path["b.ts", "a.ts"] == whole and by_path["d.ts", "c.ts"] != whole
 
 
 def test_findings_have_stable_subjects(spark, files):

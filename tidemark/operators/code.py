@@ -12,12 +12,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions import scoring as S
 from tidemark.functions.regex import java
-from tidemark.operators.skew import numbered_runs
+from tidemark.session import written
 
 # A comment, a string literal (one token each), a word, or a single sign.
 _TOKEN = re.compile(
@@ -225,65 +226,94 @@ def window_arrays(source: str, width: int) -> tuple[np.ndarray, np.ndarray, np.n
     return first.view(np.int64), (second >> np.uint64(32)).astype(np.uint32).view(np.int32), lines
 
 
-def token_windows(files: DataFrame, width: int) -> DataFrame:
-    """One row per token position: 96 bits of window hash and the lines the window covers.
+def token_table(files: DataFrame, width: int) -> DataFrame:
+    """Each file with arrays of 96 bits of hash per window of ``width`` tokens (``hash``, ``tag``) and the ``line`` of every token."""
 
-    Python returns three arrays per file; the rows are made from them on the JVM side.
-    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [window_arrays(text or "", width) for text in batch.column("content").to_pylist()]
+            kept = pa.array([len(f[0]) > 0 for f in found], pa.bool_())
+            found = [f for f in found if len(f[0])]
+            lists = []
+            for k, kind in enumerate((pa.int64(), pa.int32(), pa.int32())):
+                ends = np.concatenate(([0], np.cumsum([len(f[k]) for f in found]))).astype(np.int32)
+                lists.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([f[k] for f in found]) if found else [], kind)))
+            yield pa.RecordBatch.from_arrays([*batch.filter(kept).columns, *lists], names=["project", "path", "content", "hash", "tag", "line"])
 
-    @F.pandas_udf("struct<hash:array<bigint>,tag:array<int>,line:array<int>,end_line:array<int>>")
-    def windows(texts: pd.Series) -> pd.DataFrame:
-        rows = []
-        for text in texts:
-            hashes, tags, lines = window_arrays(text or "", width)
-            rows.append((hashes, tags, lines[: len(hashes)], lines[width - 1 :]))
-        return pd.DataFrame(rows, columns=["hash", "tag", "line", "end_line"])
-
-    hashed = files.select("project", "path", windows("content").alias("_w"))
-    zipped = F.arrays_zip("_w.hash", "_w.tag", "_w.line", "_w.end_line")
-    return hashed.select("project", "path", F.posexplode(zipped).alias("pos", "_r")).select(
-        "project", "path", "pos", "_r.hash", "_r.tag", "_r.line", "_r.end_line"
-    )
+    return files.select("project", "path", "content").mapInArrow(run, "project string, path string, content string, hash array<bigint>, tag array<int>, line array<int>")
+
+
+def maximal_runs(here: list[np.ndarray], there: list[np.ndarray], shifts: list[int]) -> list[tuple[int, int, int]]:
+    """Start, stop and shift of every run of positions p where ``here`` at p equals ``there`` at p - shift, apart from those inside another run.
+
+    Both are lists of arrays that must all agree. Of runs over the same positions the least shift stays.
+    """
+    runs = []
+    for shift in shifts:
+        low, high = max(shift, 0), min(len(here[0]), len(there[0]) + shift)
+        same = np.flatnonzero(np.all([x[low:high] == y[low - shift : high - shift] for x, y in zip(here, there, strict=True)], axis=0)) + low
+        if len(same):
+            breaks = np.flatnonzero(np.diff(same) > 1)
+            runs += zip(same[np.append(0, breaks + 1)].tolist(), same[np.append(breaks, len(same) - 1)].tolist(), [shift] * (len(breaks) + 1), strict=True)
+    kept, reached = [], -1
+    for start, stop, shift in sorted(runs, key=lambda r: (r[0], -r[1], r[2])):
+        if stop > reached:
+            kept.append((start, stop, shift))
+            reached = stop
+    return kept
+
+
+def _snippet_digest(lines: list[str]) -> str:
+    """Twelve hex digits of the SHA-1 of lines with their white space made single blanks."""
+    return hashlib.sha1(re.sub(r"[ \t\n\r\f\v]+", " ", "\n".join(lines)).strip(" ").encode()).hexdigest()[:12]
 
 
 def clones(files: DataFrame, min_tokens: int = 50) -> DataFrame:
-    """Duplicated token runs of at least ``min_tokens``, one row per maximal clone.
+    """Duplicated token runs of at least ``min_tokens``, one row per maximal clone of two files (or of a file with itself).
 
-    Every window is linked to the first place its tokens occur in the project, not to
-    every other copy, so n copies of a block give n - 1 clones instead of n². Links
-    on one diagonal (same file, same origin, same distance) that follow each other
-    are one clone. A window overlapping its own origin is repetition inside a run of
-    equal tokens and is not linked.
+    Every window is linked to the first place its tokens occur in the project, not to every other copy, so n copies of a block give n - 1
+    clones instead of n². A link names a diagonal: a file, its origin, and how far the positions are apart. On each such diagonal the two files are
+    then compared from end to end, so that a clone is as long as the texts agree, also where some of its windows
+    occurred in a third file before. Runs inside another run of the same two files are left out. A window that overlaps its own
+    origin is repetition inside a run of equal tokens and is not linked.
+
+    Files are tokenised once, into a written table of arrays. A pair of files is a row with the arrays of both: a task holds one pair at a time,
+    and n copies of one origin are n rows. ``digest`` is that of the clone's whole lines with white space made single blanks.
     """
-    windows = token_windows(files, min_tokens)
+    tokens = written(token_table(files, min_tokens), "clone-tokens")
+    windows = tokens.select("project", "path", F.posexplode(F.arrays_zip("hash", "tag")).alias("pos", "_w")).select("project", "path", "pos", "_w.*")
     key = ["project", "hash", "tag"]
-    first = (
-        windows.groupBy(*key)
-        .agg(F.min(F.struct("path", "pos", "line")).alias("origin"), F.count(F.lit(1)).alias("copies"))
-        .where(F.col("copies") > 1)
-        .select(*key, F.col("origin.path").alias("origin_path"), F.col("origin.pos").alias("origin_pos"), F.col("origin.line").alias("origin_line"))
-    )
-    linked = windows.join(first, key).where(
-        (F.col("path") != F.col("origin_path")) | (F.col("pos") >= F.col("origin_pos") + min_tokens)
-    )
-    diagonal = linked.withColumn("shift", F.col("pos") - F.col("origin_pos"))
-    keys = ["project", "path", "origin_path", "shift"]
-    diagonal = diagonal.withColumn("last_hash", F.col("hash"))
-    runs = numbered_runs(diagonal, keys, "pos", first=["line", "origin_line", "hash"], last=["end_line", "last_hash"])
-    digest = F.sha1(F.concat_ws("|", *[F.col(c).cast("string") for c in ("hash", "last_hash", "size")]))
-    return runs.select(
-        "project", "path", "origin_path", F.substring(digest, 1, 12).alias("digest"),
-        F.col("line").alias("start_line"), "end_line", "origin_line",
-        (F.col("size") + min_tokens - 1).alias("tokens"),
-        (F.col("end_line") - F.col("line") + 1).alias("lines"),
-    )
+    first = windows.groupBy(*key).agg(F.min(F.struct("path", "pos")).alias("origin"), F.count(F.lit(1)).alias("copies")).where(F.col("copies") > 1)
+    # Written, so that Spark knows its size and sends it to the windows where it is small.
+    first = written(first.select(*key, "origin"), "clone-origins")
+    linked = windows.join(first, key).where((F.col("path") != F.col("origin.path")) | (F.col("pos") >= F.col("origin.pos") + min_tokens))
+    pairs = linked.groupBy("project", "path", F.col("origin.path").alias("origin_path")).agg(F.collect_set(F.col("pos") - F.col("origin.pos")).alias("shifts"))
+    origins = tokens.select("project", F.col("path").alias("origin_path"), *[F.col(c).alias(f"origin_{c}") for c in ("hash", "tag", "line")])
+    both = pairs.join(tokens, ["project", "path"]).join(origins, ["project", "origin_path"])
+    columns = ["project", "path", "origin_path", "content", "shifts", "hash", "tag", "line", "origin_hash", "origin_tag", "origin_line"]
+    names = ["project", "path", "origin_path", "digest", "start_line", "end_line", "origin_line", "tokens", "lines"]
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for i in range(batch.num_rows):
+                project, path, origin_path, content = (batch.column(k)[i].as_py() for k in range(4))
+                shifts, *arrays = (batch.column(k)[i].values.to_numpy() for k in range(4, 11))
+                text = content.split("\n")
+                for start, stop, shift in maximal_runs(arrays[:2], arrays[3:5], shifts.tolist()):
+                    begin, end = int(arrays[2][start]), int(arrays[2][stop + min_tokens - 1])
+                    rows.append((project, path, origin_path, _snippet_digest(text[begin - 1 : end]), begin, end, int(arrays[5][start - shift]), stop - start + min_tokens, end - begin + 1))
+            yield pa.RecordBatch.from_pydict(dict(zip(names, zip(*rows, strict=True) if rows else [[]] * len(names), strict=True)), schema)
+
+    text, number = pa.string(), pa.int32()
+    schema = pa.schema(list(zip(names, (text, text, text, text, number, number, number, number, number), strict=True)))
+    return both.select(*columns).mapInArrow(compare, "project string, path string, origin_path string, digest string, start_line int, end_line int, origin_line int, tokens int, lines int")
 
 
 def clone_findings(clones_: DataFrame) -> DataFrame:
     """Findings whose subject is the sorted pair of paths and the digest of the copied tokens.
 
-    The digest comes from the window hashes at both ends of the run, so white space,
-    comments and moved lines leave it alone and no text has to be fetched again.
+    The digest is that of the copied lines, so moved lines and other white space leave it alone.
     """
     pair = F.array_join(F.array_sort(F.array("path", "origin_path")), "|")
     return clones_.select(

@@ -633,48 +633,73 @@ def duplicate_blocks(spark, sf_dir):
     return C.duplicate_blocks(document_files(spark, sf_dir), 6)
 
 
-@named("token_clones")
-def token_clones(spark, sf_dir):
-    """Clones of at least fifty tokens inside each source (checked against brute force in the tests)."""
-    return C.clones(document_files(spark, sf_dir), 50)
-
-
 # Tokens as the tokeniser sees them: comment, text literal, word, sign.
 _TOKENS = (
     r"//[^\n]*|/\*(?s:.*?)(?:\*/|\z)|\"(?:[^\"\\\n]|\\(?s:.))*\"?|''(?:[^''\\\n]|\\(?s:.))*''?|`(?:[^`\\]|\\(?s:.))*`?|[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]"
 )
-
-
-@named(
-    "clone_pairs",
-    "WITH t AS (SELECT source AS project, lang || '/' || doc_id || '.txt' AS path, list_filter(regexp_extract_all(text, '" + _TOKENS + "'), lambda t: NOT (starts_with(t, '//') OR starts_with(t, '/*'))) AS t FROM documents), "
-    """k AS (SELECT project, path, hash(unnest(t)) AS a1, generate_subscripts(t, 1) AS pos FROM t WHERE len(t) >= 50),
+# Windows of fifty tokens, first occurrences, the diagonals they name, the runs on these, and of the runs those in no other one.
+_CLONES = (
+    "WITH f AS (SELECT source AS project, lang || '/' || doc_id || '.txt' AS path, text FROM documents), "
+    "i AS (SELECT project, path, unnest(x) AS item, generate_subscripts(x, 1) AS nth FROM (SELECT *, regexp_extract_all(text, '" + _TOKENS + "|\\n') AS x FROM f)), "
+    """n AS (SELECT *, 1 + coalesce(sum(len(item) - len(replace(item, chr(10), ''))) OVER (PARTITION BY project, path ORDER BY nth ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS line FROM i),
+    k AS (SELECT project, path, hash(item) AS a1, CAST(line AS INTEGER) AS line, row_number() OVER (PARTITION BY project, path ORDER BY nth) AS pos
+      FROM n WHERE item <> chr(10) AND NOT (starts_with(item, '//') OR starts_with(item, '/*'))),
     k2 AS (SELECT *, hash(a1, lead(a1, 1) OVER f) AS a2 FROM k WINDOW f AS (PARTITION BY project, path ORDER BY pos)),
     k4 AS (SELECT *, hash(a2, lead(a2, 2) OVER f) AS a4 FROM k2 WINDOW f AS (PARTITION BY project, path ORDER BY pos)),
     k8 AS (SELECT *, hash(a4, lead(a4, 4) OVER f) AS a8 FROM k4 WINDOW f AS (PARTITION BY project, path ORDER BY pos)),
     k16 AS (SELECT *, hash(a8, lead(a8, 8) OVER f) AS a16 FROM k8 WINDOW f AS (PARTITION BY project, path ORDER BY pos)),
     k32 AS (SELECT *, hash(a16, lead(a16, 16) OVER f) AS a32 FROM k16 WINDOW f AS (PARTITION BY project, path ORDER BY pos)),
-    k50 AS (SELECT project, path, pos, hash(a32, lead(a16, 32) OVER f, lead(a2, 48) OVER f) AS h, lead(a1, 49) OVER f AS last FROM k32 WINDOW f AS (PARTITION BY project, path ORDER BY pos)),
-    w AS (SELECT project, path, pos, h FROM k50 WHERE last IS NOT NULL),
+    w AS (SELECT project, path, pos, line, h, last_line FROM (SELECT project, path, pos, line, hash(a32, lead(a16, 32) OVER f, lead(a2, 48) OVER f) AS h, lead(line, 49) OVER f AS last_line
+      FROM k32 WINDOW f AS (PARTITION BY project, path ORDER BY pos)) WHERE last_line IS NOT NULL),
     o AS (SELECT project, h, arg_min(path, (path, pos)) AS origin_path, arg_min(pos, (path, pos)) AS origin_pos FROM w GROUP BY ALL HAVING count(*) > 1),
-    l AS (SELECT w.project, w.path, origin_path, pos, pos - origin_pos AS shift FROM w JOIN o USING (project, h) WHERE w.path <> origin_path OR pos >= origin_pos + 50),
-    r AS (SELECT *, pos - row_number() OVER (PARTITION BY project, path, origin_path, shift ORDER BY pos) AS island FROM l),
-    c AS (SELECT project, path, origin_path, count(*) + 49 AS tokens FROM r GROUP BY project, path, origin_path, shift, island)
-    SELECT project, path, origin_path, count(*) AS clones, CAST(sum(tokens) AS BIGINT) AS tokens FROM c GROUP BY ALL""",
+    d AS (SELECT DISTINCT w.project, w.path, origin_path, pos - origin_pos AS shift FROM w JOIN o USING (project, h) WHERE w.path <> origin_path OR pos >= origin_pos + 50),
+    m AS (SELECT d.*, a.pos, a.line, a.last_line, b.line AS origin_line FROM d JOIN w a ON a.project = d.project AND a.path = d.path JOIN w b ON b.project = d.project AND b.path = d.origin_path AND b.pos = a.pos - shift AND b.h = a.h),
+    r AS (SELECT *, pos - row_number() OVER (PARTITION BY project, path, origin_path, shift ORDER BY pos) AS island FROM m),
+    u AS (SELECT project, path, origin_path, shift, min(pos) AS start, max(pos) AS stop, arg_min(line, pos) AS start_line, arg_max(last_line, pos) AS end_line, arg_min(origin_line, pos) AS origin_line FROM r
+      GROUP BY project, path, origin_path, shift, island),
+    v AS (SELECT *, coalesce(max(stop) OVER (PARTITION BY project, path, origin_path ORDER BY start, stop DESC, shift ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS reached FROM u),
+    c AS (SELECT v.project, v.path, origin_path, substr(sha1(trim(regexp_replace(array_to_string(string_split(text, chr(10))[start_line:end_line], chr(10)), '[ \t\n\r\f\v]+', ' ', 'g'), ' ')), 1, 12) AS digest,
+      start_line, end_line, origin_line, CAST(stop - start + 50 AS INTEGER) AS tokens, end_line - start_line + 1 AS lines FROM v JOIN f ON f.project = v.project AND f.path = v.path WHERE stop > reached)
+    """
 )
+
+
+@named("token_clones", _CLONES + "SELECT * FROM c")
+def token_clones(spark, sf_dir):
+    """Clones of at least fifty tokens inside each source."""
+    return C.clones(document_files(spark, sf_dir), 50)
+
+
+@named("clone_pairs", _CLONES + "SELECT project, path, origin_path, count(*) AS clones, CAST(sum(tokens) AS BIGINT) AS tokens FROM c GROUP BY ALL")
 def clone_pairs(spark, sf_dir):
     """Clones and copied tokens per pair of files."""
     found = C.clones(document_files(spark, sf_dir), 50)
     return found.groupBy("project", "path", "origin_path").agg(F.count(F.lit(1)).alias("clones"), F.sum("tokens").alias("tokens"))
 
 
-@named("clone_subjects")
+@named(
+    "clone_subjects",
+    _CLONES + """SELECT project, path, start_line AS line_no, CASE WHEN path < origin_path THEN path || '|' || origin_path ELSE origin_path || '|' || path END || '|' || digest AS subject, count(*) AS clones FROM c GROUP BY ALL""",
+)
 def clone_subjects(spark, sf_dir):
+    """What identifies each clone: the sorted pair of files and the digest of the copied lines."""
+    found = C.clone_findings(C.clones(document_files(spark, sf_dir), 50))
+    return found.groupBy("project", "path", "line_no", "subject").agg(F.count(F.lit(1)).alias("clones"))
+
+
+@named("clone_fingerprints")
+def clone_fingerprints(spark, sf_dir):
+    """Clone findings with their fingerprint, which has no line in it."""
     found = C.clone_findings(C.clones(document_files(spark, sf_dir), 50))
     return P.fingerprint(found.withColumn("line", F.lit(None).cast("string"))).select("project", "path", "line_no", "subject", "fingerprint")
 
 
-@named("duplication_scores")
+@named(
+    "duplication_scores",
+    _CLONES + """, t AS (SELECT project, sum(len(string_split(text, chr(10)))) AS lines FROM f GROUP BY ALL),
+    x AS (SELECT project, count(DISTINCT (path, line)) AS copied FROM (SELECT project, path, unnest(generate_series(start_line, end_line)) AS line FROM c) GROUP BY ALL)
+    SELECT project, CAST(lines AS BIGINT) AS lines, coalesce(copied, 0) AS copied, CAST(floor(greatest(0, least(100, 100 - coalesce(copied, 0) / lines * 100)) + 0.5) AS BIGINT) AS score FROM t LEFT JOIN x USING (project)""",
+)
 def duplication_scores(spark, sf_dir):
     files = document_files(spark, sf_dir)
     return C.duplication_scores(files, C.clones(files, 50))
