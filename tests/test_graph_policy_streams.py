@@ -43,6 +43,24 @@ def test_cycles_against_brute_force(spark, seed, n, m):
     assert got == components({e for e in edges if e[0] != e[1]})
 
 
+def test_long_chains_and_rings_take_few_rounds(spark, monkeypatch):
+    """A ring, a chain that hangs on it and one that stands alone, a ring of two chains, and a loop at a node of no other group."""
+    n, rng = 20_000, random.Random(3)
+    names = rng.sample(range(10 * n), 4 * n)
+    ring, chain, two, loop = (names[i * n : (i + 1) * n] for i in range(4))
+    edges = [*zip(ring, ring[1:] + ring[:1]), *zip(chain, chain[1:]), *zip(two, two[1:] + two[:1]), (two[100], two[9000]), (two[100], chain[0])]
+    edges += [*zip(loop[:50], loop[1:50] + loop[:1]), *zip(loop[50:], loop[51:]), (loop[0], loop[50])]
+    rounds = []
+    write = G.Scratch.write
+    monkeypatch.setattr(G.Scratch, "write", lambda self, *a: rounds.append(0) or write(self, *a))
+    found = G.strongly_connected(spark.createDataFrame(edges, "src long, dst long").repartition(4))
+    groups = {}
+    for r in found.collect():
+        groups.setdefault((r["component"], r["size"]), set()).add(r["node"])
+    assert groups == {(max(g), len(g)): set(g) for g in (ring, two, loop[:50])}
+    assert len(rounds) < 80
+
+
 def test_no_cycles(spark):
     table = spark.createDataFrame([(i, i + 1) for i in range(20)] + [(3, 3)], "src bigint, dst bigint")
     assert G.strongly_connected(table).count() == 0

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions import scoring as S
-from tidemark.session import cut_lineage
+from tidemark.session import Scratch
 
 
 def degrees(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -145,85 +145,127 @@ def coverage_map(nodes: DataFrame, pairing: DataFrame) -> DataFrame:
     )
 
 
+# Trimming and contracting go on while they take away such a share; the rounds after them are right for any graph.
+WORTH = 0.05
+
+
 def _trimmed(edges: DataFrame) -> DataFrame:
-    """Drop edges that cannot lie on a cycle, until none is left to drop."""
-    size = edges.count()
-    while size:
-        out_ends, in_ends = edges.select(F.col("src").alias("n")).distinct(), edges.select(F.col("dst").alias("n")).distinct()
-        kept = edges.join(in_ends.withColumnRenamed("n", "src"), "src", "left_semi").join(
-            out_ends.withColumnRenamed("n", "dst"), "dst", "left_semi"
-        ).select("src", "dst")
-        kept = cut_lineage(kept)
-        left = kept.count()
-        if left == size:
-            break
-        edges, size = kept, left
-    return edges
+    """Edges whose source has a way in and whose target has a way out."""
+    out_ends, in_ends = edges.select(F.col("src").alias("dst")).distinct(), edges.select(F.col("dst").alias("src")).distinct()
+    return edges.join(in_ends, "src", "left_semi").join(out_ends, "dst", "left_semi").select("src", "dst")
 
 
-def _coloured(edges: DataFrame) -> DataFrame:
-    """Each node with the largest node that reaches it along the edges."""
-    nodes = edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct()
-    colours = cut_lineage(nodes.select("node", F.col("node").alias("colour"), F.lit(True).alias("moved")))
-    while True:
-        pushed = (
-            edges.join(colours.where("moved").select(F.col("node").alias("src"), "colour"), "src")
-            .groupBy(F.col("dst").alias("node")).agg(F.max("colour").alias("offer"))
-        )
-        step = colours.drop("moved").join(pushed, "node", "left")
-        better = F.coalesce(F.col("offer") > F.col("colour"), F.lit(False))
-        colours = cut_lineage(step.select("node", F.greatest("colour", "offer").alias("colour"), better.alias("moved")))
-        if colours.where("moved").isEmpty():
-            return colours.drop("moved")
+def _chains(edges: DataFrame, n_edges: int, scratch: Scratch) -> DataFrame | None:
+    """Nodes with one way in and one way out, and where the chain each lies on begins and ends; none if they are too few to be worth the rounds.
+
+    node, head and tail (the nearest nodes before and after that are no such nodes; null on a ring of such nodes only), and ``top``, the largest node
+    seen on the way, on a ring its largest one. Pointers double each round, so rounds grow with the logarithm of the longest chain.
+    """
+    ways = edges.select(F.col("src").alias("node"), F.col("dst").alias("after"), F.lit(None).cast(edges.schema["src"].dataType).alias("before")).unionByName(
+        edges.select(F.col("dst").alias("node"), F.lit(None).cast(edges.schema["dst"].dataType).alias("after"), F.col("src").alias("before"))
+    )
+    single = ways.groupBy("node").agg(F.count("after").alias("n_after"), F.count("before").alias("n_before"), F.min("after").alias("after"), F.min("before").alias("before"))
+    single = scratch.write(single.where("n_after = 1 AND n_before = 1").select("node", "before", "after"))
+    size = single.count()
+    if size < WORTH * n_edges:
+        scratch.drop(single)
+        return None
+    inside = single.select(F.col("node").alias("other"))
+    marked = single.join(inside.withColumnRenamed("other", "before"), "before", "left_anti").select("node", F.lit(True).alias("first"))
+    ends = single.join(inside.withColumnRenamed("other", "after"), "after", "left_anti").select("node", F.lit(True).alias("last"))
+    pointers = single.join(marked, "node", "left").join(ends, "node", "left")
+    side = lambda to, done: F.struct(F.col(to).alias("to"), F.coalesce(done, F.lit(False)).alias("done"))
+    pointers = scratch.write(pointers.select("node", side("before", F.col("first")).alias("back"), side("after", F.col("last")).alias("ahead"), F.col("node").alias("top")), single)
+    reach = 1
+    while not pointers.where("NOT back.done OR NOT ahead.done").isEmpty():
+        if reach > 2 * size:
+            break  # what is open now lies on rings
+        known = lambda alias: pointers.select(F.col("node").alias(alias), F.col("back").alias(f"{alias}_back"), F.col("ahead").alias(f"{alias}_ahead"), F.col("top").alias(f"{alias}_top"))
+        back_key, ahead_key = F.when(~F.col("back.done"), F.col("back.to")), F.when(~F.col("ahead.done"), F.col("ahead.to"))
+        step = pointers.withColumn("bk", back_key).withColumn("ak", ahead_key).join(known("b"), F.col("bk") == F.col("b"), "left").join(known("a"), F.col("ak") == F.col("a"), "left")
+        step = step.select("node", F.coalesce("b_back", "back").alias("back"), F.coalesce("a_ahead", "ahead").alias("ahead"), F.greatest("top", "b_top").alias("top"))
+        pointers, reach = scratch.write(step, pointers), 2 * reach
+    on_ring = ~F.col("back.done")
+    end = lambda c: F.when(~on_ring, F.col(f"{c}.to"))
+    return scratch.write(pointers.select("node", end("back").alias("head"), end("ahead").alias("tail"), "top"), pointers)
+
+
+def _ranked(edges: DataFrame) -> DataFrame:
+    """Nodes with their rank: the lesser of their ways in and out, since the best connected node likely lies in the largest group; then a hash."""
+    ends = edges.select(F.col("src").alias("node"), F.lit(1).alias("out"), F.lit(0).alias("in")).union(edges.select("dst", F.lit(0), F.lit(1)))
+    ways = ends.groupBy("node").agg(F.least(F.sum("out"), F.sum("in")).alias("ways"))
+    return ways.select("node", F.struct("ways", F.xxhash64("node").alias("hash"), F.col("node").alias("root")).alias("best"), F.lit(True).alias("moved"))
+
+
+def _reaching(edges: DataFrame, ranked: DataFrame, scratch: Scratch) -> DataFrame:
+    """Each node of ``ranked`` with the node of the highest rank that reaches it along the edges (node, root).
+
+    A node takes over what its neighbours know and what the node it points at knows, so that what is known reaches about half as far again each
+    round. Only rows that moved are sent on.
+    """
+    table, first = ranked, True
+    while not table.where("moved").isEmpty():
+        fresh = table.where("moved")
+        offers = edges.join(fresh.select(F.col("node").alias("src"), "best"), "src").groupBy(F.col("dst").alias("to")).agg(F.max("best").alias("offer"))
+        jumps = fresh.select(F.col("node").alias("via"), F.col("best").alias("jump"))
+        step = table.join(offers, F.col("node") == F.col("to"), "left").join(jumps, F.col("best.root") == F.col("via"), "left")
+        step = step.select("node", F.greatest("best", "offer", "jump").alias("new"), "best")
+        table, first = scratch.write(step.select("node", F.col("new").alias("best"), (F.col("new") > F.col("best")).alias("moved")), None if first else table), False
+    return table.select("node", F.col("best.root").alias("root"))
 
 
 def strongly_connected(edges: DataFrame) -> DataFrame:
-    """Members of every cycle group: (node, component), component = its largest node.
+    """Members of every cycle group: (node, component, size), component = its largest node.
+
+    First what can't lie on a cycle is trimmed, and chains of nodes with one way in and out are contracted to one edge, while that helps; a ring of such nodes is
+    a group. Then each node learns the node of the highest rank that reaches it and, among those with the same one, the highest it reaches; where
+    both agree, it belongs to that node's group. Groups and edges between different roots leave, and the rest goes on. At last the
+    nodes of a chain join the group that both its ends belong to. Chains and rings of any length take a logarithmic number of rounds.
 
-    Rounds of: trim what has no way in or out, spread the largest reaching node
-    forward, then walk back from each such root inside its colour. Every round removes
-    at least one whole component per colour. Lineage is cut through the reliable
-    checkpoint folder; the driver only sees row counts.
+    Each round's table is written below the checkpoint folder in place of the one before, which is deleted; the driver only sees row counts.
     """
-    rest = cut_lineage(edges.select("src", "dst").where(F.col("src") != F.col("dst")).distinct())
-    groups: DataFrame | None = None
+    scratch = Scratch(edges.sparkSession, "components")
+    rest = scratch.write(edges.select("src", "dst").where(F.col("src") != F.col("dst")).distinct())
+    found, layers = [], []
     while True:
-        rest = _trimmed(rest)
-        if rest.isEmpty():
+        size, before = rest.count(), None
+        while size and (before is None or size < (1 - WORTH) * before):
+            before = size
+            rest = scratch.write(_trimmed(rest), rest)
+            size = rest.count()
+            chains = _chains(rest, size, scratch) if size else None
+            if chains is not None:
+                layers.append(chains.where("head IS NOT NULL").select("node", "head", "tail"))
+                found.append(chains.where("head IS NULL").select("node", F.col("top").alias("root")))
+                inside = chains.select("node")
+                open_edges = rest.join(inside.withColumnRenamed("node", "src"), "src", "left_anti").join(inside.withColumnRenamed("node", "dst"), "dst", "left_anti")
+                short = layers[-1].where(F.col("head") != F.col("tail")).select(F.col("head").alias("src"), F.col("tail").alias("dst"))
+                rest = scratch.write(open_edges.select("src", "dst").union(short).distinct(), rest)
+                size = rest.count()
+        if not size:
             break
-        colours = _coloured(rest)
-        inner = (
-            rest.join(colours.select(F.col("node").alias("src"), F.col("colour").alias("cs")), "src")
-            .join(colours.select(F.col("node").alias("dst"), F.col("colour").alias("cd")), "dst")
-            .where(F.col("cs") == F.col("cd")).select("src", "dst", F.col("cs").alias("colour"))
-        )
-        inner = cut_lineage(inner)
-        members = colours.where(F.col("node") == F.col("colour")).withColumn("fresh", F.lit(True))
-        members = cut_lineage(members)
-        while True:
-            back = (
-                inner.join(members.where("fresh").select(F.col("node").alias("dst"), "colour"), ["dst", "colour"])
-                .select(F.col("src").alias("node"), "colour").distinct()
-                .join(members.select("node"), "node", "left_anti")
-            )
-            grown = members.withColumn("fresh", F.lit(False)).unionByName(back.withColumn("fresh", F.lit(True)))
-            members = cut_lineage(grown)
-            if members.where("fresh").isEmpty():
-                break
-        found = members.select("node", F.col("colour").alias("component"))
-        groups = found if groups is None else groups.unionByName(found)
-        gone = found.select("node")
-        rest = cut_lineage(
-            inner.select("src", "dst")
-            .join(gone.withColumnRenamed("node", "src"), "src", "left_anti")
-            .join(gone.withColumnRenamed("node", "dst"), "dst", "left_anti")
-            .select("src", "dst")
-        )
-    if groups is None:
-        nothing = edges.select(F.col("src").alias("node"), F.col("dst").alias("component"))
-        return nothing.where(F.lit(False))
-    real = groups.groupBy("component").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > 1)
-    return groups.join(real, "component").select("node", "component", "size")
+        ranked = scratch.write(_ranked(rest))
+        ahead = _reaching(rest, ranked, scratch)
+        rooted = rest.join(ahead.select(F.col("node").alias("src"), F.col("root").alias("one")), "src").join(ahead.select(F.col("node").alias("dst"), F.col("root").alias("two")), "dst")
+        inner = scratch.write(rooted.where(F.col("one") == F.col("two")).select("src", "dst"), rest)
+        back = _reaching(inner.select(F.col("dst").alias("src"), F.col("src").alias("dst")), ranked, scratch)
+        members = scratch.write(ahead.join(back.withColumnRenamed("root", "other"), "node").where(F.col("root") == F.col("other")).select("node", "root"))
+        found.append(members)
+        gone = members.select("node")
+        rest = scratch.write(inner.join(gone.withColumnRenamed("node", "src"), "src", "left_anti").join(gone.withColumnRenamed("node", "dst"), "dst", "left_anti").select("src", "dst"), inner)
+    nothing = edges.select(F.col("src").alias("node"), F.col("dst").alias("root")).where(F.lit(False))
+    groups = nothing
+    for part in found:
+        groups = groups.unionByName(part)
+    for chain in reversed(layers):
+        ends = chain.join(groups.select(F.col("node").alias("head"), F.col("root").alias("one")), "head", "left").join(groups.select(F.col("node").alias("tail"), F.col("root").alias("two")), "tail", "left")
+        ends = ends.select("node", "head", F.coalesce("one", "head").alias("one"), F.coalesce("two", "tail").alias("two")).where(F.col("one") == F.col("two"))
+        joined = ends.select("node", F.col("one").alias("root"))
+        # A head that is in no group yet is one with the chain that leads back to it.
+        heads = ends.select(F.col("head").alias("node"), F.col("one").alias("root")).distinct().join(groups.select("node"), "node", "left_anti")
+        groups = scratch.write(groups.unionByName(joined).unionByName(heads))
+    named = groups.groupBy("root").agg(F.max("node").alias("component"), F.count(F.lit(1)).alias("size")).where(F.col("size") > 1)
+    return groups.join(named, "root").select("node", "component", "size")
 
 
 def cycle_findings(components: DataFrame, rule: str = "circular-dep", severity: str = "error") -> DataFrame:

@@ -64,6 +64,29 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+class Scratch:
+    """Tables below the checkpoint folder, for rounds of work in which each table replaces the one before."""
+
+    def __init__(self, spark: SparkSession, name: str) -> None:
+        ensure_checkpoint_dir(spark)
+        self.spark, self.base = spark, f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+        self.paths: dict[DataFrame, str] = {}
+
+    def write(self, df: DataFrame, instead_of: DataFrame | None = None) -> DataFrame:
+        """``df`` written and read again; afterwards the table it replaces is deleted."""
+        path = f"{self.base}/{len(self.paths)}"
+        df.write.parquet(path, compression="zstd")
+        table = self.spark.read.schema(df.schema).parquet(path)
+        self.paths[table] = path
+        if instead_of is not None:
+            self.drop(instead_of)
+        return table
+
+    def drop(self, table: DataFrame) -> None:
+        folder = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.paths[table])
+        folder.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Rows over all cores when the source comes in fewer splits than there are.
 
