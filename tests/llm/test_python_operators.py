@@ -310,3 +310,21 @@ def test_context_tree_is_better_on_unseen_text(spark):
 def test_log_gamma():
     x = np.array([0.5, 1.0, 1.5, 2.5, 10.5, 1e3, 1e9])
     assert np.allclose(lm.log_gamma(x), [math.lgamma(v) for v in x], rtol=1e-12, atol=1e-12)
+
+
+def test_gram_scores_do_not_depend_on_how_files_are_cut(spark):
+    draw = np.random.default_rng(2)
+    grams = {int.from_bytes(bytes(draw.choice(list(b"abc "), size=lm.DEPTH + 1)), "big") for _ in range(6000)}
+    table = spark.createDataFrame([(g, int(c)) for g, c in zip(sorted(grams), draw.integers(0, 50, len(grams)))], "gram long, c long")
+    whole = {r["gram"]: r["logp"] for r in lm.gram_scores(table).collect()}
+    settings = {"spark.sql.files.maxPartitionBytes": "2000", "spark.sql.files.openCostInBytes": "100", "parquet.block.size": "2000"}
+    before = {k: spark.conf.get(k, None) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        cut = {r["gram"]: r["logp"] for r in lm.gram_scores(table.repartition(7)).collect()}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
+    assert whole.keys() == cut.keys() == grams
+    assert max(abs(whole[g] - cut[g]) for g in grams) < 1e-9

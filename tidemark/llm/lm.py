@@ -273,7 +273,8 @@ def gram_scores(grams: DataFrame) -> DataFrame:
     256 ** (DEPTH - 2) contexts, whatever the size of the corpus. The nodes above are at most 257 * 255; their sums
     come to the driver and go out with the second pass.
     """
-    dealt = stored(grams.withColumn("latest", F.shiftright("gram", 8 * (DEPTH - 1))).repartition("latest").drop("latest"), "lm-grams")
+    # Written first and dealt right before each pass: a read task may hold a part of a file or several files, a shuffled partition always whole keys.
+    dealt = stored(grams, "lm-grams").withColumn("latest", F.shiftright("gram", 8 * (DEPTH - 1))).repartition("latest").drop("latest")
 
     def above(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         gram, count = _columns(batches, ("gram", "c"))
