@@ -314,7 +314,7 @@ def test_log_gamma():
 
 def test_gram_scores_do_not_depend_on_how_files_are_cut(spark):
     draw = np.random.default_rng(2)
-    grams = {int.from_bytes(bytes(draw.choice(list(b"abc "), size=lm.DEPTH + 1)), "big") for _ in range(6000)}
+    grams = {int.from_bytes(bytes(draw.choice(list(b"abc "), size=lm.DEPTH + 1).tolist()), "big") for _ in range(6000)}
     table = spark.createDataFrame([(g, int(c)) for g, c in zip(sorted(grams), draw.integers(0, 50, len(grams)))], "gram long, c long")
     whole = {r["gram"]: r["logp"] for r in lm.gram_scores(table).collect()}
     settings = {"spark.sql.files.maxPartitionBytes": "2000", "spark.sql.files.openCostInBytes": "100", "parquet.block.size": "2000"}
