@@ -157,6 +157,26 @@ def test_similar_names_brute_force(spark, seed):
             if min(len(a), len(b)) >= 3 and (d == 1 or (d == 2 and min(len(a), len(b)) >= 5)):
                 expected.add((a, b, d))
     assert {(r["name_a"], r["name_b"], r["distance"]) for r in N.similar_names(table).collect()} == expected
+    # Crowded keys on every level give the same pairs.
+    assert {(r["name_a"], r["name_b"], r["distance"]) for r in N.similar_names(table, crowd=2).collect()} == expected
+
+
+def test_similar_long_names(spark):
+    """Edits at the ends, at cuts, side by side and far apart, in names longer than all parts together."""
+    rng = random.Random(5)
+    base = "customerRelationshipOverviewPage"
+    names = {base, "", "ab", base + "x", "xy" + base}
+    for _ in range(40):
+        name = base
+        for _ in range(rng.randint(1, 3)):
+            at, kind = rng.randrange(len(name) + 1), rng.randrange(3)
+            name = name[:at] + ("" if kind == 0 else "q") + name[at + (kind != 1) :]
+        names.add(name)
+    names = sorted(names)
+    expected = {(a, b, distance(a, b)) for i, a in enumerate(names) for b in names[i + 1 :] if len(a) >= 3 and distance(a, b) <= 2}
+    table = spark.createDataFrame([("p", "d", n) for n in names] + [("p", "d", None)], "project string, dir string, name string")
+    for crowd in (1, 64):
+        assert {(r["name_a"], r["name_b"], r["distance"]) for r in N.similar_names(table, crowd=crowd).collect()} == expected
 
 
 def test_synonyms_count_pairs(spark):

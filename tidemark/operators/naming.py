@@ -17,35 +17,88 @@ def file_names(files: DataFrame) -> DataFrame:
     return files.select("project", dirname(F.col("path")).alias("dir"), stem(F.col("path")).alias("name"))
 
 
-def _shortened(name: Column) -> Column:
-    """The name and every form of it with one character left out."""
-    cut = F.transform(
-        F.sequence(F.lit(1), F.length(name)),
-        lambda i: F.concat(F.substr(name, F.lit(1), i - 1), F.substr(name, i + 1)),
-    )
-    return F.array_distinct(F.concat(F.array(name), cut))
+# Parts a name is cut into, level by level; None: one per character.
+PARTS = (4, 8, None)
+# Names behind one key from which on they are cut finer.
+CROWD = 1024
+
+
+def _left_out(parts: int | None) -> Column:
+    """Every choice of parts for two edits to hide in, as (a, b); a = b for the one edit of names under five characters."""
+    short = F.col("length") < 5
+    if parts is not None:
+        pairs = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in range(parts) for b in range(a, parts)])
+        return F.inline(F.filter(pairs, lambda p: (p["a"] == p["b"]) == short))
+    first = F.sequence(F.lit(0), F.col("length") - F.when(short, 1).otherwise(2))
+    last = lambda a: F.when(short, F.array(a)).otherwise(F.sequence(a + 1, F.col("length") - 1))
+    return F.inline(F.flatten(F.transform(first, lambda a: F.transform(last(a), lambda b: F.struct(a.alias("a"), b.alias("b"))))))
+
+
+def _keyed(rows: DataFrame, parts: int | None) -> DataFrame:
+    """Adds the hash of all characters of a name but those of parts a and b of a name of ``length`` characters.
+
+    The text between the two is looked for ``moved`` characters further on, the text behind them ``growth``.
+    """
+    at = lambda i: F.floor(i * F.col("length") / (F.lit(parts) if parts else F.col("length"))).cast("int")
+    cut = rows.withColumns({"lo": at(F.col("a")), "hi": at(F.col("a") + 1), "lo2": at(F.greatest("b", F.col("a") + 1)), "hi2": at(F.col("b") + 1)})
+    left = F.substr("name", F.lit(1), F.col("lo"))
+    middle = F.substr("name", F.col("hi") + 1 + F.col("moved"), F.col("lo2") - F.col("hi"))
+    right = F.substr("name", F.col("hi2") + 1 + F.col("growth"))
+    return cut.select("project", "dir", "name", "growth", F.xxhash64("project", "dir", "length", "a", "b", left, middle, right).alias("key"))
+
 
+def _kept_keys(names: DataFrame, parts: int | None) -> DataFrame:
+    """Keys of names as the shorter of a pair."""
+    sized = names.withColumns({"length": F.length("name"), "growth": F.lit(0), "moved": F.lit(0)})
+    return _keyed(sized.select("*", _left_out(parts)), parts).drop("growth")
 
-def similar_names(names: DataFrame) -> DataFrame:
+
+def _sought_keys(names: DataFrame, parts: int | None) -> DataFrame:
+    """Keys under which names shorter by ``growth`` characters are found.
+
+    Between two left-out parts the text moved by the edits of the first one, by one character at most where both
+    parts hold an edit; where both edits lie in one part, the choice with its neighbour has nothing in between.
+    """
+    sized = names.withColumn("growth", F.explode(F.sequence(F.lit(0), F.least(F.lit(2), F.length("name") - 3))))
+    sized = sized.withColumn("length", F.length("name") - F.col("growth")).where("length >= 5 OR growth < 2")
+    moves = F.sequence(F.greatest(F.lit(-1), F.col("growth") - 1), F.least(F.lit(1), F.col("growth") + 1))
+    gaps = sized.select("*", _left_out(parts)).withColumn("moved", F.explode(F.when(F.col("b") > F.col("a") + 1, moves).otherwise(F.array(F.lit(0)))))
+    return _keyed(gaps, parts)
+
+
+def similar_names(names: DataFrame, crowd: int = CROWD) -> DataFrame:
     """Pairs of names in a directory one edit apart, or two when both have five characters.
 
-    Names at most two edits apart share a form with at most two characters left out,
-    so pairs are found by equality on those forms instead of comparing a directory
-    with itself. Names are made distinct first: what shares a form is then limited by
-    the alphabet and the name's length, not by the number of files. Each pair is
-    checked with the real edit distance.
+    A name is cut into four parts; two edits leave all parts but two whole, so the longer name of a pair holds the
+    others of the shorter one, moved by no more characters than were put in or left out before them. The shorter
+    names are indexed under what is left without any two parts, longer ones look these keys up. The number of keys
+    of a name doesn't depend on its length. Candidates are checked with the real edit distance.
+
+    Names that share a key with ``crowd`` others or more aren't paired under it: all of them, and those that look
+    it up, are cut into eight parts, and where that is still crowded into single characters. What then shares
+    a key is bounded by the alphabet, whatever the number of names or the size of their directory.
+    Names under three characters and null names are left out, repeated ones count once.
     """
-    distinct = names.select("project", "dir", "name").where(F.length("name") >= 3).distinct()
-    once = _shortened(F.col("name"))
-    twice = F.array_distinct(F.flatten(F.transform(once, _shortened)))
-    forms = distinct.select("project", "dir", "name", F.explode(F.when(F.length("name") >= 5, twice).otherwise(once)).alias("form"))
-    a = forms.select("project", "dir", "form", F.col("name").alias("name_a"))
-    b = forms.select("project", "dir", "form", F.col("name").alias("name_b"))
-    pairs = (
-        a.join(b, ["project", "dir", "form"])
-        .where((F.col("name_a") < F.col("name_b")) & (F.abs(F.length("name_a") - F.length("name_b")) <= 2))
-        .select("project", "dir", "name_a", "name_b").distinct()
-    )
+    # Every name becomes dozens of keys, so names aren't merged into few partitions for being small.
+    spread = int(names.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rest = names.select("project", "dir", "name").where(F.length("name") >= 3).distinct().repartition(spread, "project", "dir", "name")
+    found = None
+    for parts in PARTS:
+        kept, sought = _kept_keys(rest, parts), _sought_keys(rest, parts)
+        if parts is not None:
+            crowded = kept.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > crowd).select("key")
+            again = kept.unionByName(sought.drop("growth"))
+            rest = again.join(crowded, "key", "left_semi").select("project", "dir", "name").distinct()
+            kept = kept.join(crowded, "key", "left_anti")
+        short = kept.withColumnRenamed("name", "short")
+        long = sought.withColumnRenamed("name", "long")
+        pairs = short.join(long, ["project", "dir", "key"]).where((F.col("growth") > 0) | (F.col("short") < F.col("long")))
+        close = _close(pairs.select("project", "dir", F.least("short", "long").alias("name_a"), F.greatest("short", "long").alias("name_b")))
+        found = close if found is None else found.unionByName(close)
+    return found.distinct()
+
+
+def _close(pairs: DataFrame) -> DataFrame:
     shortest = F.least(F.length("name_a"), F.length("name_b"))
     measured = pairs.withColumn("distance", F.levenshtein("name_a", "name_b", 2))
     return measured.where((F.col("distance") == 1) | ((F.col("distance") == 2) & (shortest >= 5)))

@@ -717,25 +717,30 @@ def masked_texts(spark, sf_dir):
 
 
 # --- names ------------------------------------------------------------------------------------
-_NAMES = """names AS (SELECT DISTINCT lang AS project, source AS dir, lower(regexp_extract(text, '[A-Za-z]{3,12}')) AS name FROM documents)"""
+_WORDS = """words AS (SELECT lang AS project, source AS dir, unnest(regexp_extract_all(lower(text), '[a-z]{3,}')) AS name FROM documents)"""
 
 
-def first_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first word of every document as a file name: language = project, source = directory."""
-    return table(spark, sf_dir, "documents").select(
-        F.col("lang").alias("project"), F.col("source").alias("dir"), F.lower(F.regexp_extract("text", "[A-Za-z]{3,12}", 0)).alias("name")
-    )
+def document_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every word of every document as a file name: language = project, source = directory."""
+    words = F.regexp_extract_all(F.lower("text"), F.lit("([a-z]{3,})"))
+    return table(spark, sf_dir, "documents").select(F.col("lang").alias("project"), F.col("source").alias("dir"), F.explode(words).alias("name"))
 
 
+# Names up to two edits apart share a form with up to two characters left out: another way than the query's.
 @named(
     "similar_names",
-    "WITH " + _NAMES + """ SELECT a.project, a.dir, a.name AS name_a, b.name AS name_b, levenshtein(a.name, b.name) AS distance
-    FROM names a JOIN names b ON a.project = b.project AND a.dir = b.dir AND a.name < b.name
-    WHERE length(a.name) >= 3 AND length(b.name) >= 3 AND (levenshtein(a.name, b.name) = 1
-      OR (levenshtein(a.name, b.name) = 2 AND least(length(a.name), length(b.name)) >= 5))""",
+    "WITH " + _WORDS + """, n AS (SELECT DISTINCT project, dir, name FROM words),
+    o AS (SELECT project, dir, name, unnest(generate_series(0, len(name))) AS i FROM n),
+    f1 AS (SELECT project, dir, name, CASE WHEN i = 0 THEN name ELSE substr(name, 1, i - 1) || substr(name, i + 1) END AS form FROM o),
+    p AS (SELECT project, dir, name, form, unnest(generate_series(0, CASE WHEN len(name) < 5 THEN 0 ELSE len(form) END)) AS i FROM f1),
+    f AS (SELECT DISTINCT project, dir, name, CASE WHEN i = 0 THEN form ELSE substr(form, 1, i - 1) || substr(form, i + 1) END AS form FROM p),
+    c AS (SELECT DISTINCT a.project, a.dir, a.name AS name_a, b.name AS name_b FROM f a JOIN f b ON a.project = b.project AND a.dir = b.dir AND a.form = b.form AND a.name < b.name),
+    d AS (SELECT *, levenshtein(name_a, name_b) AS distance FROM c)
+    SELECT * FROM d WHERE distance = 1 OR (distance = 2 AND least(len(name_a), len(name_b)) >= 5)""",
 )
 def similar_names(spark, sf_dir):
-    return N.similar_names(first_words(spark, sf_dir))
+    """Words of all texts that are easily confused, within each language and source."""
+    return N.similar_names(document_words(spark, sf_dir))
 
 
 WORD_PAIRS = (("the", "and"), ("re", "er"), ("ou", "le"), ("en", "an"))
@@ -743,30 +748,29 @@ WORD_PAIRS = (("the", "and"), ("re", "er"), ("ou", "le"), ("en", "an"))
 
 @named(
     "synonym_names",
-    "WITH n AS (SELECT lang AS project, source AS dir, doc_id, lower(regexp_extract(text, '[A-Za-z]{3,12}')) AS name FROM documents), "
-    """p AS (SELECT a.project, a.dir, CASE
-      WHEN (contains(a.name, 'the') AND contains(b.name, 'and')) OR (contains(a.name, 'and') AND contains(b.name, 'the')) THEN 'the/and'
-      WHEN (contains(a.name, 're') AND contains(b.name, 'er')) OR (contains(a.name, 'er') AND contains(b.name, 're')) THEN 're/er'
-      WHEN (contains(a.name, 'ou') AND contains(b.name, 'le')) OR (contains(a.name, 'le') AND contains(b.name, 'ou')) THEN 'ou/le'
-      WHEN (contains(a.name, 'en') AND contains(b.name, 'an')) OR (contains(a.name, 'an') AND contains(b.name, 'en')) THEN 'en/an' END AS words
-      FROM n a JOIN n b ON a.project = b.project AND a.dir = b.dir AND a.doc_id < b.doc_id)
-    SELECT project, dir, words, count(*) AS name_pairs FROM p WHERE words IS NOT NULL GROUP BY ALL""",
+    "WITH " + _WORDS + """, c AS (SELECT project, dir, contains(name, 'the') AS w1, contains(name, 'and') AS w2, contains(name, 're') AS w3, contains(name, 'er') AS w4,
+      contains(name, 'ou') AS w5, contains(name, 'le') AS w6, contains(name, 'en') AS w7, contains(name, 'an') AS w8, count(*) AS n FROM words GROUP BY ALL),
+    k AS (SELECT *, row_number() OVER (PARTITION BY project, dir ORDER BY w1, w2, w3, w4, w5, w6, w7, w8) AS nth FROM c),
+    p AS (SELECT a.project, a.dir, CASE WHEN (a.w1 AND b.w2) OR (a.w2 AND b.w1) THEN 'the/and' WHEN (a.w3 AND b.w4) OR (a.w4 AND b.w3) THEN 're/er'
+      WHEN (a.w5 AND b.w6) OR (a.w6 AND b.w5) THEN 'ou/le' WHEN (a.w7 AND b.w8) OR (a.w8 AND b.w7) THEN 'en/an' END AS words,
+      CASE WHEN a.nth = b.nth THEN a.n * (a.n - 1) // 2 ELSE a.n * b.n END AS pairs FROM k a JOIN k b ON a.project = b.project AND a.dir = b.dir AND a.nth <= b.nth)
+    SELECT project, dir, words, CAST(sum(pairs) AS BIGINT) AS name_pairs FROM p WHERE words IS NOT NULL AND pairs > 0 GROUP BY ALL""",
 )
 def synonym_names(spark, sf_dir):
-    return N.synonym_names(first_words(spark, sf_dir), WORD_PAIRS).select("project", "dir", "words", "name_pairs")
+    """Pairs of word occurrences of a language and source that mix two syllables of WORD_PAIRS."""
+    return N.synonym_names(document_words(spark, sf_dir), WORD_PAIRS).select("project", "dir", "words", "name_pairs")
 
 
-ENDINGS = ("th", "er", "nd", "ou", "ea", "ti")
+ENDINGS = ("th", "er", "nd", "ou", "ea", "ti", "os", "al")
 
 
 @named(
     "ambiguous_abbreviations",
-    """SELECT source AS project, lang || '/' || doc_id AS path, lower(w) AS abbreviation FROM (SELECT *, unnest(string_split(string_split(text, chr(10))[1], ' ')) AS w FROM documents)
-    WHERE lower(w) IN ('th', 'er', 'nd', 'ou', 'ea', 'ti')""",
+    """SELECT project, path, abbreviation, count(*) AS places FROM (SELECT source AS project, lang || '/' || doc_id AS path, unnest(string_split(replace(lower(text), chr(10), ' '), ' ')) AS abbreviation FROM documents)
+    WHERE abbreviation IN ('th', 'er', 'nd', 'ou', 'ea', 'ti', 'os', 'al') GROUP BY ALL""",
 )
 def ambiguous_abbreviations(spark, sf_dir):
-    """Words of each first line taken as the parts of a file name; short syllables stand for the abbreviations."""
-    docs = table(spark, sf_dir, "documents").select(
-        F.col("source").alias("project"), F.concat("lang", F.lit("/"), "doc_id").alias("path"), F.split("text", "\n")[0].alias("first")
-    )
-    return N.ambiguous_abbreviations(docs, F.translate("first", " .-/_", "_\x01\x01\x01\x01"), ENDINGS)
+    """Words of each whole text taken as the parts of a file name; short syllables stand for the abbreviations."""
+    docs = table(spark, sf_dir, "documents").select(F.col("source").alias("project"), F.concat("lang", F.lit("/"), "doc_id").alias("path"), "text")
+    found = N.ambiguous_abbreviations(docs, F.translate("text", " \n.-/_", "__\x01\x01\x01\x01"), ENDINGS)
+    return found.groupBy("project", "path", "abbreviation").agg(F.count(F.lit(1)).alias("places"))
