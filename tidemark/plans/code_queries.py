@@ -185,21 +185,22 @@ def action_groups(spark, sf_dir):
     "rule_categories",
     """WITH f AS (SELECT CASE event_type WHEN 'click' THEN 'react-hooks/exhaustive-deps' WHEN 'view' THEN 'jsx-a11y/alt-text' WHEN 'error' THEN 'react-compiler/react-compiler'
         WHEN 'purchase' THEN 'index-key' ELSE 'react/prop-types' END AS rule, CASE event_type WHEN 'click' THEN 'effects' WHEN 'view' THEN 'accessibility' WHEN 'error' THEN 'compiler-readiness'
-        WHEN 'purchase' THEN 'rendering' ELSE 'component-structure' END AS category, CASE WHEN value > 400 THEN 'error' WHEN value > 350 THEN 'warning' ELSE 'info' END AS severity, user_id FROM events WHERE value > 300)
-    SELECT category, count(*) AS findings, count(*) FILTER (severity = 'error') AS errors, count(*) FILTER (severity = 'warning') AS warnings, count(*) FILTER (severity = 'info') AS infos,
+        WHEN 'purchase' THEN 'rendering' ELSE 'component-structure' END AS category, CASE WHEN value > 400 THEN 'error' WHEN value > 350 THEN 'warning' ELSE 'info' END AS severity, user_id FROM events)
+    SELECT category, min(rule) || '=' || count(*) AS rule_counts, count(*) AS findings, count(*) FILTER (severity = 'error') AS errors, count(*) FILTER (severity = 'warning') AS warnings, count(*) FILTER (severity = 'info') AS infos,
       count(DISTINCT rule) AS rules, count(DISTINCT user_id) AS files, CAST(greatest(0, 100 - 25 * count(*) FILTER (severity = 'error') - 10 * count(*) FILTER (severity = 'warning') - 3 * count(*) FILTER (severity = 'info')) AS BIGINT) AS score
     FROM f GROUP BY category""",
 )
 def rule_categories(spark, sf_dir):
-    """Linter findings read from events above 300."""
-    events = table(spark, sf_dir, "events").where("value > 300")
+    """Linter findings read from events, with the counts of each category's rules written out."""
+    events = table(spark, sf_dir, "events")
     rule = (
         F.when(F.col("event_type") == "click", "react-hooks/exhaustive-deps").when(F.col("event_type") == "view", "jsx-a11y/alt-text")
         .when(F.col("event_type") == "error", "react-compiler/react-compiler").when(F.col("event_type") == "purchase", "index-key").otherwise("react/prop-types")
     )
     severity = F.when(F.col("value") > 400, "error").when(F.col("value") > 350, "warning").otherwise("info")
     found = events.select(F.lit("app").alias("project"), F.col("user_id").cast("string").alias("path"), rule.alias("rule"), severity.alias("severity"))
-    return W.rule_categories(found).drop("rule_counts")
+    counts = F.transform(F.array_sort(F.map_entries("rule_counts")), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string")))
+    return W.rule_categories(found).withColumn("rule_counts", F.array_join(counts, ","))
 
 
 # --- exports, imports, tests -------------------------------------------------------------
@@ -346,8 +347,8 @@ def generic_names(spark, sf_dir):
     return N.generic_names(lines).select("line_no", "name")
 
 
-_NAMING = """files AS (SELECT source AS project, lang || '/' || CASE WHEN source IN ('src1', 'src2', 'src3') THEN lower(regexp_extract(text, '[A-Za-z]{2,}')) ELSE regexp_extract(text, '[A-Za-z]{2,}') END || doc_id || '.tsx' AS path,
-  CASE WHEN source IN ('src1', 'src2', 'src3') THEN lower(regexp_extract(text, '[A-Za-z]{2,}')) ELSE regexp_extract(text, '[A-Za-z]{2,}') END AS base FROM documents)"""
+_NAMING = """words AS (SELECT source, lang, doc_id, unnest(regexp_extract_all(text, '[A-Za-z]{2,}')) AS word FROM documents),
+  files AS (SELECT DISTINCT source AS project, lang || '/' || base || doc_id || '.tsx' AS path, base FROM (SELECT *, CASE WHEN source IN ('src1', 'src2', 'src3') OR len(word) < 4 THEN lower(word) ELSE upper(word[1]) || lower(word[2:]) END AS base FROM words))"""
 
 
 @named(
@@ -356,13 +357,11 @@ _NAMING = """files AS (SELECT source AS project, lang || '/' || CASE WHEN source
     SELECT project, path FROM files WHERE regexp_matches(base, '^[a-z]') AND project IN (SELECT project FROM s WHERE NOT (n >= 3 AND p < n / 2.0))""",
 )
 def naming_convention(spark, sf_dir):
-    """Component files named after the first word of each document, in lower case for three sources."""
-    word = F.regexp_extract("text", "[A-Za-z]{2,}", 0)
-    base = F.when(F.col("source").isin("src1", "src2", "src3"), F.lower(word)).otherwise(word)
-    files = table(spark, sf_dir, "documents").select(
-        F.col("source").alias("project"), F.concat("lang", F.lit("/"), base, "doc_id", F.lit(".tsx")).alias("path"), F.lit("export function Card() {}").alias("content")
-    )
-    return M.naming_convention(files)
+    """Component files named after the words of each document, in lower case for three sources and for short words."""
+    words = table(spark, sf_dir, "documents").select("source", "lang", "doc_id", F.explode(F.regexp_extract_all("text", F.lit("([A-Za-z]{2,})"))).alias("word"))
+    base = F.when(F.col("source").isin("src1", "src2", "src3") | (F.length("word") < 4), F.lower("word")).otherwise(F.initcap("word"))
+    files = words.select(F.col("source").alias("project"), F.concat("lang", F.lit("/"), base, "doc_id", F.lit(".tsx")).alias("path")).distinct()
+    return M.naming_convention(files.withColumn("content", F.lit("export function Card() {}")))
 
 
 @named(
@@ -394,14 +393,14 @@ def key_drift(spark, sf_dir):
 
 
 _DEPS = """deps AS (SELECT DISTINCT user_id AS project, CASE CAST(props->>'$.k' AS INTEGER) % 12 WHEN 0 THEN 'moment' WHEN 1 THEN 'lodash' WHEN 2 THEN 'lodash-es' WHEN 3 THEN 'antd'
-  WHEN 4 THEN 'tailwindcss' WHEN 5 THEN 'bootstrap' WHEN 6 THEN 'styled-components' WHEN 7 THEN 'vaul' WHEN 8 THEN 'rxjs' ELSE 'left-pad' END AS name FROM events WHERE event_type = 'purchase' AND value > 120)"""
+  WHEN 4 THEN 'tailwindcss' WHEN 5 THEN 'bootstrap' WHEN 6 THEN 'styled-components' WHEN 7 THEN 'vaul' WHEN 8 THEN 'rxjs' ELSE 'left-pad' END AS name FROM events WHERE event_type = 'purchase')"""
 
 
 def event_deps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Packages bought for more than 120: user = project."""
+    """Packages bought: user = project."""
     names = ("moment", "lodash", "lodash-es", "antd", "tailwindcss", "bootstrap", "styled-components", "vaul", "rxjs")
     pick = F.coalesce(F.get(F.array(*[F.lit(n) for n in names]), F.pmod(event_number(), F.lit(12))), F.lit("left-pad"))
-    bought = table(spark, sf_dir, "events").where("event_type = 'purchase' AND value > 120")
+    bought = table(spark, sf_dir, "events").where("event_type = 'purchase'")
     return bought.select(F.col("user_id").alias("project"), pick.alias("name")).distinct()
 
 
@@ -425,13 +424,13 @@ def framework_conflicts(spark, sf_dir):
 
 @named(
     "html_sink_grades",
-    """WITH f AS (SELECT user_id AS project, event_type || '.tsx' AS path, event_id AS line_no FROM events WHERE event_type IN ('view', 'error') AND value > 200),
-    s AS (SELECT DISTINCT user_id AS project, 'view.tsx' AS path FROM events WHERE event_type = 'click' AND value > 200)
+    """WITH f AS (SELECT user_id AS project, event_type || '.tsx' AS path, event_id AS line_no FROM events WHERE event_type IN ('view', 'error')),
+    s AS (SELECT DISTINCT user_id AS project, 'view.tsx' AS path FROM events WHERE event_type = 'click')
     SELECT f.project, f.path, line_no, CASE WHEN s.path IS NULL THEN 'error' ELSE 'info' END AS severity FROM f LEFT JOIN s ON s.project = f.project AND s.path = f.path""",
 )
 def html_sink_grades(spark, sf_dir):
-    """Raw-HTML lines (views and errors above 200) in files whose user also imported a sanitiser (clicks above 200)."""
-    events = table(spark, sf_dir, "events").where("value > 200")
+    """Raw-HTML lines (views and errors) in files whose user also imported a sanitiser (clicks)."""
+    events = table(spark, sf_dir, "events")
     lines = events.where("event_type IN ('view', 'error')").select(
         F.col("user_id").alias("project"), F.concat("event_type", F.lit(".tsx")).alias("path"), F.col("event_id").alias("line_no"),
         F.lit("<div dangerouslySetInnerHTML={{ __html: x }} />").alias("line"),

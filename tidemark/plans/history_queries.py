@@ -232,8 +232,8 @@ def sparklines(spark, sf_dir):
 
 
 _HALVES = (
-    "b AS (SELECT project, \"check\", arg_max(score, (scan_ts, scan_id)) AS score, CASE WHEN arg_max(scan_id, (scan_ts, scan_id)) % 9 = 0 THEN 'skipped' ELSE 'ran' END AS state FROM scans WHERE scan_ts < TIMESTAMP '2024-01-03' GROUP BY ALL), "
-    "a AS (SELECT project, \"check\", arg_max(score, (scan_ts, scan_id)) AS score, CASE WHEN arg_max(scan_id, (scan_ts, scan_id)) % 9 = 0 THEN 'skipped' ELSE 'ran' END AS state FROM scans WHERE scan_ts >= TIMESTAMP '2024-01-28' GROUP BY ALL)"
+    "b AS (SELECT project, \"check\", arg_max(score, (scan_ts, scan_id)) AS score, CASE WHEN arg_max(scan_id, (scan_ts, scan_id)) % 9 = 0 THEN 'skipped' ELSE 'ran' END AS state FROM scans WHERE scan_ts < TIMESTAMP '2024-01-16' GROUP BY ALL), "
+    "a AS (SELECT project, \"check\", arg_max(score, (scan_ts, scan_id)) AS score, CASE WHEN arg_max(scan_id, (scan_ts, scan_id)) % 9 = 0 THEN 'skipped' ELSE 'ran' END AS state FROM scans WHERE scan_ts >= TIMESTAMP '2024-01-16' GROUP BY ALL)"
 )
 _CHECK_DELTA = with_views(SCANS, _HALVES) + """, j AS (SELECT project, "check", coalesce(b.state, 'absent') AS state_before, coalesce(a.state, 'absent') AS state_after, b.score AS bs, a.score AS as_
       FROM b FULL JOIN a USING (project, "check")),
@@ -242,7 +242,7 @@ _CHECK_DELTA = with_views(SCANS, _HALVES) + """, j AS (SELECT project, "check",
 
 
 def two_sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """State of every check before 3 January and in the last days of the month."""
+    """Newest state of every check in the first half of the month and in the second."""
     scans = event_scans(spark, sf_dir)
 
     def side(rows: DataFrame) -> DataFrame:
@@ -250,8 +250,8 @@ def two_sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
         newest = rows.groupBy("project", "check").agg(F.max_by("score", when).alias("score"), F.max_by("scan_id", when).alias("id"))
         return newest.select("project", "check", "score", F.when(F.col("id") % 9 == 0, "skipped").otherwise("ran").alias("state"))
 
-    early, late = F.lit("2024-01-03").cast("timestamp"), F.lit("2024-01-28").cast("timestamp")
-    return side(scans.where(F.col("scan_ts") < early)), side(scans.where(F.col("scan_ts") >= late))
+    middle = F.lit("2024-01-16").cast("timestamp")
+    return side(scans.where(F.col("scan_ts") < middle)), side(scans.where(F.col("scan_ts") >= middle))
 
 
 @named("check_delta", _CHECK_DELTA + "SELECT * FROM d WHERE delta <> 0 OR transition IS NOT NULL")

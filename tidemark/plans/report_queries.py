@@ -262,12 +262,12 @@ def tool_run_summary(spark, sf_dir):
 
 @named(
     "dependency_scores",
-    """WITH t AS (SELECT user_id AS project, count(*) FILTER (event_type = 'error') AS critical, count(*) FILTER (event_type = 'view') AS moderate FROM events WHERE value > 200 GROUP BY user_id)
+    """WITH t AS (SELECT user_id AS project, count(*) FILTER (event_type = 'error') AS critical, count(*) FILTER (event_type = 'view') AS moderate FROM events GROUP BY user_id)
     SELECT project, CAST(floor(greatest(0, least(100, 100 - least(50, critical * 20) - least(15, moderate * 3))) + 0.5) AS BIGINT) AS score FROM t""",
 )
 def dependency_scores(spark, sf_dir):
     level = F.when(F.col("event_type") == "error", "critical").when(F.col("event_type") == "view", "moderate").otherwise("low")
     body = F.concat(F.lit('{"advisories":{"'), _id(), F.lit('":{"severity":"'), level, F.lit('"}}}'))
-    raw = table(spark, sf_dir, "events").where("value > 200").select(F.col("user_id").alias("project"), body.alias("body"))
+    raw = table(spark, sf_dir, "events").select(F.col("user_id").alias("project"), body.alias("body"))
     sums = R.parse_audit(raw).groupBy("project").agg(*[F.sum(c).alias(c) for c in ("critical", "high", "moderate", "low")])
     return sums.select("project", S.dependency_score(F.col("critical"), F.col("high"), F.col("moderate"), F.lit(0), F.lit(0)).alias("score"))
