@@ -9,6 +9,7 @@ from collections import Counter
 
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from tidemark.llm import fingerprints, licenses, mixing, quality, sharding, toolcalls
 
@@ -100,13 +101,53 @@ def test_shard_bytes_are_near_equal(spark):
 
 
 def test_files_of_shards_cover_few_cells(spark, docs, tmp_path):
-    placed = sharding.hilbert_shards(docs.where("doc_id > 0"), 3)
-    sharding.write_shards(docs.where("doc_id > 0"), placed, str(tmp_path / "out"))
+    sharding.write_shards(docs.where("doc_id > 0"), str(tmp_path / "out"), 3)
     back = spark.read.parquet(str(tmp_path / "out"))
     assert back.count() == docs.where("doc_id > 0").count()
     assert back.select("shard").distinct().count() == 3
 
 
+def test_written_shards_hold_every_row_once(spark, tmp_path):
+    """Repeated and null ids, equal texts, and columns named like the operator's own."""
+    rows = [(i % 7 if i % 5 else None, "word " * (i % 40), f"l{i % 4}", f"s{i % 6}", i, -i) for i in range(400)] + [(3, "word " * 3, "l3", "s3", 3, -3)] * 3
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, shard int, row int")
+    sharding.write_shards(df, str(tmp_path / "out"), 4, files=3)
+    back = spark.read.parquet(str(tmp_path / "out"))
+    assert sorted(map(str, back.select("doc.*").collect())) == sorted(map(str, df.collect()))
+    slots = sorted((r["shard"], r["slot"]) for r in back.select("shard", "slot").collect())
+    want = sharding.hilbert_shards(df.drop("row", "shard"), 4)
+    assert slots == sorted((r["shard"], r["slot"]) for r in want.collect())
+
+
+def test_statistics_of_written_shards_skip_files(spark, tmp_path):
+    import glob
+
+    import pyarrow.parquet as pq
+
+    df = spark.createDataFrame([(i, f"{i} " + "word " * (1 << (i % 9)), f"l{i % 5}", f"s{i // 5 % 8}", 0) for i in range(3600)], "doc_id bigint, text string, lang string, source string, n int")
+    sharding.write_shards(df, str(tmp_path / "out"), 8, files=6)
+    files = [pq.ParquetFile(f) for f in glob.glob(f"{tmp_path}/out/*/*.parquet")]
+    cell = spark.range(1).select(sharding.name_cell(F.lit("s3"))).first()[0]
+    read = 0
+    for f in files:
+        at = next(i for i in range(f.metadata.num_columns) if f.metadata.row_group(0).column(i).path_in_schema == "source_cell")
+        stats = [f.metadata.row_group(g).column(at).statistics for g in range(f.metadata.num_row_groups)]
+        read += any(s.min <= cell <= s.max for s in stats)
+    assert read <= len(files) * 2 // 3
+    assert spark.read.parquet(f"{tmp_path}/out").where(f"doc.source = 's3' AND source_cell = {cell}").count() == 450
+
+
+def test_equal_json_gives_equal_strings(spark):
+    rows = [
+        ('{"b":1.0,"a":1e2}', '{"a":100,"b":1}'), ('{"a":100.0,"b":10e-1}', '{"a":100,"b":1}'), ('[-0, -0.0, 0e5]', "[0,0,0]"),
+        ('{"x":"1.0 \\" 2.50","y":2.50}', '{"x":"1.0 \\" 2.50","y":2.5}'), ("[12345678901234567890, 1e20, 100000000000000000000]", "[12345678901234567890,100000000000000000000,100000000000000000000]"),
+        ('["a-0", true, null, -1.5]', '["a-0",true,null,-1.5]'), ("no json", None), (None, None), ("{}", "{}"), ('""', '""'),
+    ]
+    df = spark.createDataFrame(rows, "given string, want string")
+    for r in df.select("given", "want", toolcalls.canonical(F.col("given")).alias("got")).collect():
+        assert r["got"] == r["want"], r
+
+
 def targets_brute(sizes):
     """Shares handed on until no source is above its cap."""
     order = sorted(sizes, key=lambda s: (s is None, s or ""))
@@ -142,6 +183,18 @@ def test_mix(spark, docs, empty):
     assert mixing.mixed_documents(empty).columns == empty.columns
 
 
+def test_mixed_documents_keep_columns_of_any_name(spark):
+    rows = [(f"id{i % 30}", "w " * (i % 9), f"s{i % 3}", i, -i, i + 7, "x") for i in range(60)]
+    names = ("row", "copies", "mix_k_", "whole")
+    df = spark.createDataFrame(rows, "doc_id string, text string, source string, row bigint, copies bigint, mix_k_ bigint, whole string")
+    out = mixing.mixed_documents(df)
+    assert out.columns == df.columns
+    got = Counter(tuple(r) for r in out.collect())
+    assert set(got) <= set(rows) and all(n <= 2 for n in got.values())
+    plain = Counter((r["doc_id"], r["text"], r["source"]) for r in mixing.mixed_documents(df.drop(*names)).collect())
+    assert sum(got.values()) == sum(plain.values())
+
+
 def test_mix_comes_near_its_targets(spark):
     df = spark.createDataFrame([(i, "w " * (i % 90), "en", f"s{(i * i) % 4}" if i % 3 else "hot", 0, 1, "") for i in range(3000)], DOCS)
     taken, want = {}, {}

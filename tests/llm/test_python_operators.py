@@ -98,6 +98,16 @@ def test_near_duplicates_with_odd_ids(spark):
     assert neardup.without_near_duplicates(df.limit(0)).collect() == []
 
 
+def test_near_duplicates_with_clashing_columns_and_string_ids(spark):
+    same = " ".join(f"w{i}" for i in range(30))
+    rows = [("b", same, 1, 2, 3), ("a", same + " more", 4, 5, 6), (None, "alone here", 7, 8, 9), ("c", "", 10, 11, 12), ("c", "", 10, 11, 12)]
+    df = spark.createDataFrame(rows, "doc_id string, text string, own_id int, kept_id int, whole int")
+    out = neardup.without_near_duplicates(df)
+    assert out.columns == df.columns
+    assert sorted(map(str, out.collect())) == sorted(map(str, df.where("doc_id IS NULL OR doc_id <> 'b'").distinct().collect()))
+    assert {r["doc_id"]: r["component_id"] for r in neardup.near_duplicates(df).collect()} == {"a": "a", "b": "a", None: None, "c": "c"}
+
+
 def test_registers_merge_and_estimate():
     rnd = np.random.default_rng(1)
     pool = rnd.integers(0, 2**63, 4000).astype(np.uint64)

@@ -79,9 +79,14 @@ def _mixed(rows: DataFrame, seed: int, **settings: int) -> DataFrame:
 
 
 def mixed_documents(docs: DataFrame, seed: int = 17, **settings: int) -> DataFrame:
-    """The rows of ``docs``, each as often as the mix takes it; its columns are kept."""
-    held = stored(docs.withColumn("mix_row_", F.monotonically_increasing_id()), "mix-docs")
-    rows = held.select("doc_id", "source", F.size(words_of(F.col("text"))).cast("bigint").alias("size"), F.col("mix_row_").alias("row"))
-    copies = _mixed(rows, seed, **settings).where("copies > 0").select(F.col("row").alias("mix_row_"), F.col("copies").cast("int").alias("mix_n_"))
-    out = held.join(copies, "mix_row_").withColumn("mix_k_", F.explode(F.sequence(F.lit(1), F.col("mix_n_"))))
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
+    """The rows of ``docs``, each as often as the mix takes it; its columns are kept.
+
+    Columns travel in one struct, so any names may be among them. Nulls, empty texts, repeated rows and empty
+    tables are handled as by ``mix``: rows without words are never taken. A very long text is one row like others.
+    """
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("whole")
+    held = stored(docs.select(whole, F.monotonically_increasing_id().alias("row")), "mix-docs")
+    own = lambda c: F.col("whole")[c].alias(c)
+    rows = held.select(own("doc_id"), own("source"), F.size(words_of(F.col("whole")["text"])).cast("bigint").alias("size"), "row")
+    copies = _mixed(rows, seed, **settings).where("copies > 0").select("row", F.col("copies").cast("int").alias("copies"))
+    return held.join(copies, "row").select("whole", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy")).select("whole.*")

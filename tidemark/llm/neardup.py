@@ -6,8 +6,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from tidemark.llm.common import stored
 from tidemark.llm.components import components
@@ -126,6 +127,11 @@ def least_estimate(m: int = REGISTERS) -> float:
     return j - MARGIN * (j * (1 - j) / m) ** 0.5
 
 
+def id_of(docs: DataFrame) -> Column:
+    """doc_id as bigint where it is a whole number, else as it is given."""
+    return F.col("doc_id").cast("bigint") if isinstance(docs.schema["doc_id"].dataType, IntegralType) else F.col("doc_id")
+
+
 def sketched(docs: DataFrame) -> DataFrame:
     """row, doc_id, text_hash, n (set size), set_a and set_b (128-bit hash of the set), sketch and bands.
 
@@ -158,8 +164,8 @@ def sketched(docs: DataFrame) -> DataFrame:
                 names=["doc_id", "text_hash", "n", "set_a", "set_b", "sketch", "bands"],
             )
 
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"))
-    out = rows.mapInArrow(run, "doc_id bigint, text_hash bigint, n bigint, set_a bigint, set_b bigint, sketch binary, bands array<bigint>")
+    rows = docs.select(id_of(docs).alias("doc_id"), "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"))
+    out = rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, text_hash bigint, n bigint, set_a bigint, set_b bigint, sketch binary, bands array<bigint>")
     return out.withColumn("row", F.monotonically_increasing_id())
 
 
@@ -186,7 +192,7 @@ def _estimated(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
 def _texts(rows: DataFrame, sketches: DataFrame, docs: DataFrame) -> DataFrame:
     """row and text of the wanted rows (one column, row; distinct)."""
     ids = sketches.join(rows, "row").select("row", F.col("doc_id").alias("id_"), F.col("text_hash").alias("hash_"))
-    own = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"))
+    own = docs.select(id_of(docs).alias("doc_id"), "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"))
     hit = own.join(ids, (own["text_hash"] == ids["hash_"]) & own["doc_id"].eqNullSafe(ids["id_"])).select("row", "text")
     return stored(hit, "dup-texts")
 
@@ -299,7 +305,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     Null or empty texts have no shingles and stand alone. Rows with a null doc_id are linked like others;
     component_id is the smallest doc_id of a component, null if it has none. Repeated rows are copies
     of each other. ``kept`` marks one row of each component, of the smallest doc_id. An empty table gives an empty
-    result; other columns are ignored.
+    result; other columns are ignored. doc_id may have any type with an order (whole numbers become bigint).
+    All words of a text are held at once by the task that sketches it, however long it is.
     """
     sketches = stored(sketched(docs), "dup-sketches")
     sets = sketches.where("n > 0").groupBy("set_a", "set_b", "n").agg(F.min("row").alias("set_row"))
@@ -342,12 +349,15 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def without_near_duplicates(docs: DataFrame) -> DataFrame:
-    """``docs`` with one row of each component; all its columns are kept."""
-    names = docs.columns
-    key = lambda i, h: [F.coalesce(i, F.lit(0)), i.isNull(), h]
-    kept = near_duplicates(docs).where("kept").select(*[c.alias(f"kept_{k}_") for k, c in enumerate(key(F.col("doc_id"), F.col("text_hash")))])
-    own = key(F.col("doc_id").cast("bigint"), F.xxhash64(F.coalesce("text", F.lit(""))))
-    rows = docs.withColumns({f"own_{k}_": c for k, c in enumerate(own)})
-    hit = rows.join(kept, (F.col("own_0_") == F.col("kept_0_")) & (F.col("own_1_") == F.col("kept_1_")) & (F.col("own_2_") == F.col("kept_2_")))
+    """``docs`` with one row of each component; all its columns are kept.
+
+    Columns travel in one struct, so any names may be among them. Of repeated rows, and of rows that agree in
+    doc_id and text, one stays. Rows with a null doc_id, null or empty texts and empty tables are handled as by
+    ``near_duplicates``: texts without words stand alone and stay.
+    """
+    kept = near_duplicates(docs.select("doc_id", "text")).where("kept").select(F.col("doc_id").alias("kept_id"), F.col("text_hash").alias("kept_hash"))
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("whole")
+    rows = docs.select(whole, id_of(docs).alias("own_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("own_hash"))
+    hit = rows.join(kept, F.col("own_id").eqNullSafe(F.col("kept_id")) & (F.col("own_hash") == F.col("kept_hash")))
     # Rows that agree in doc_id and text are copies; one of them stays. The join has brought them together.
-    return hit.dropDuplicates(["own_0_", "own_1_", "own_2_"]).select(*[F.col(f"`{c}`") for c in names])
+    return hit.dropDuplicates(["own_id", "own_hash"]).select("whole.*")

@@ -82,12 +82,18 @@ def hilbert_shards(docs: DataFrame, shards: int, law: str = "rows") -> DataFrame
     """
     if law not in ("rows", "bytes"):
         raise ValueError(f"unknown law {law}")
+    return _placed(docs, shards, law).drop("row")
+
+
+def _placed(docs: DataFrame, shards: int, law: str, row: Column | None = None) -> DataFrame:
+    """The places with the row number of every document: ``row``, or one of its own."""
     narrow = docs.select(
         F.col("doc_id"), (F.octet_length(F.coalesce("text", F.lit(""))) + 16).cast("bigint").alias("size"),
         F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("same"),
         F.coalesce("lang", F.lit("")).alias("lang"), F.coalesce("source", F.lit("")).alias("source"),
+        (F.monotonically_increasing_id() if row is None else row).alias("row"),
     )
-    rows = stored(narrow.withColumn("row", F.monotonically_increasing_id()), "shard-rows")
+    rows = stored(narrow, "shard-rows")
     copies = rows.groupBy("same", "size").agg(F.min("lang").alias("g_lang"), F.min("source").alias("g_source"), F.count("*").alias("n"))
     copies = stored(copies.where("n > 1").drop("n"), "shard-copies")
     placed = rows.join(copies, ["same", "size"], "left").select(
@@ -108,15 +114,27 @@ def hilbert_shards(docs: DataFrame, shards: int, law: str = "rows") -> DataFrame
         out = ranked.withColumn("shard", F.expr(f"cast(((2 * upto - size) * {shards}) div (2 * {total_bytes}) as int)"))
         first = out.groupBy("shard").agg(F.min("rank_").alias("first"))
         out = out.join(F.broadcast(first), "shard").withColumn("slot", F.col("rank_") - F.col("first"))
-    return out.select("doc_id", "size", "text_crc32", "cell", F.lit(law).alias("law"), "shard", F.col("slot").cast("bigint").alias("slot"))
+    return out.select("doc_id", "size", "text_crc32", "cell", F.lit(law).alias("law"), "shard", F.col("slot").cast("bigint").alias("slot"), "row")
 
 
-def write_shards(docs: DataFrame, placed: DataFrame, path: str) -> None:
-    """Write the documents as one folder per shard, rows in curve order within it.
+def write_shards(docs: DataFrame, path: str, shards: int, law: str = "rows", files: int = 8) -> None:
+    """Place the documents and write them as one folder per shard, rows in curve order.
 
-    Each file's statistics span few cells of every dimension, so a reader's filter on size,
-    language or source skips most shards. Rows of ``docs`` without a place are not written.
+    A shard is cut along its slots into about ``files`` files, each written by a task of its own. Names are dealt to
+    cells by hash, so the range of a file's names says little; what a file holds few of are cells. They are written as
+    size_cell, lang_cell and source_cell: a reader who filters on ``source_cell = name_cell(lit(name))`` beside
+    the source itself skips most files by their statistics.
+    Every row is written once, whatever its doc_id: rows are joined with their places by number. The documents
+    stand in the column ``doc`` with all their columns, so any names may be among them, beside cell and slot.
+    Null and empty texts, repeated rows and empty tables as in ``hilbert_shards``; an empty table writes no folder.
     """
-    where = placed.select(F.col("doc_id").alias("id_"), "shard", "slot")
-    rows = docs.join(where, docs["doc_id"].eqNullSafe(where["id_"])).drop("id_")
-    rows.repartition("shard").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc")
+    held = stored(docs.select(whole, F.monotonically_increasing_id().alias("row")), "shard-docs")
+    narrow = held.select(*[F.col("doc")[c].alias(c) for c in ("doc_id", "text", "lang", "source")], "row")
+    places = _placed(narrow, shards, law, F.col("row")).select("row", "cell", "shard", "slot")
+    cells = {
+        "size_cell": size_cell(F.octet_length(F.coalesce(F.col("doc")["text"], F.lit(""))) + 16),
+        "lang_cell": name_cell(F.col("doc")["lang"]), "source_cell": name_cell(F.col("doc")["source"]),
+    }
+    ordered = held.join(places, "row").drop("row").withColumns(cells).repartitionByRange(shards * files, "shard", "slot").sortWithinPartitions("shard", "slot")
+    ordered.write.partitionBy("shard").parquet(path)

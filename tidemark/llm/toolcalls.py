@@ -15,10 +15,29 @@ KINDS = {
     "object": "OBJECT<.*>", "array": "ARRAY<.*>",
 }
 
+# A JSON string, a number, or what stands between them.
+JSON_PIECES = r'"(?:[^"\\]|\\.)*"|-?[0-9][0-9.eE+-]*|[^"0-9-]+'
+
 
 def canonical(json: Column) -> Column:
-    """JSON with sorted keys, no blanks and plain numbers; null if it is no JSON (an object that repeats a key is none)."""
-    return F.to_json(F.try_parse_json(json))
+    """JSON with sorted keys, no blanks and one form of each number; null if it is no JSON (an object that repeats a key is none).
+
+    Numbers of equal value are written alike: whole ones below 1e37 as plain digits (1.0, 1e0 and 10e-1 as 1, -0 as 0),
+    others with a fraction or an exponent as the double nearest to them.
+    """
+    text = F.to_json(F.try_parse_json(json))
+    pieces = F.regexp_extract_all(text, F.lit(JSON_PIECES), F.lit(0))
+    written = F.array_join(F.transform(pieces, lambda p: F.when(p.rlike(r"^-?[0-9]"), _number(p)).otherwise(p)), "")
+    return F.when(text.rlike(r"[0-9][.eE]|-0"), written).otherwise(text)
+
+
+def _number(piece: Column) -> Column:
+    double = piece.try_cast("double")
+    whole = F.when(piece.rlike("^-?[0-9]+$"), piece.try_cast("decimal(38,0)")).when(
+        (F.abs(double) < 1e37) & (double == F.rint(double)), double.try_cast("decimal(38,0)")
+    )
+    plain = F.when(F.isnan(double) | (F.abs(double) == float("inf")), piece).otherwise(double.cast("string"))
+    return F.coalesce(whole.cast("string"), F.when(piece.rlike("[.eE]"), plain), piece)
 
 
 def argument_errors(arguments: Column, kinds: Column, required: Column) -> Column:
