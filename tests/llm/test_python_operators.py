@@ -205,15 +205,10 @@ def bits_of(byte):
 
 
 def predictions(words):
-    """Context and byte of every prediction of a text, by the rule for heads and tails."""
-    before = b""
-    for w in words:
-        data = w + b" "
-        for i in range(len(data)):
-            seen = before[-lm.TAIL :] + b" " + data[:i] if i < lm.HEAD else data[:i]
-            yield (b" " * lm.DEPTH + seen)[-lm.DEPTH :], data[i]
-        before = w
-    yield (b" " * lm.DEPTH + before[-lm.TAIL :] + b" ")[-lm.DEPTH :], 10
+    """Context and byte of every prediction of a text: the bytes before it, whatever word they are of."""
+    data = b"".join(w + b" " for w in words) + b"\n"
+    for i in range(len(data)):
+        yield (b" " * lm.DEPTH + data[:i])[-lm.DEPTH :], data[i]
 
 
 def tree_brute(training):
@@ -283,31 +278,22 @@ def test_context_tree(spark):
     assert only["train_tokens"] == 0 and only["n_known"] == 0 and only["score"] < 0
 
 
-def running_predictions(words):
-    """Context and byte of every prediction of a text: the bytes before it, whatever word they are of."""
-    data = b"".join(w + b" " for w in words) + b"\n"
-    for i in range(len(data)):
-        yield (b" " * lm.DEPTH + data[:i])[-lm.DEPTH :], data[i]
-
-
 def test_context_tree_over_running_text(spark, monkeypatch):
-    monkeypatch.setitem(globals(), "predictions", running_predictions)
-    monkeypatch.setattr(lm, "FLUSH", 700)
+    for name, n in (("BATCH", 700), ("CHUNK", 300), ("PART_BYTES", 100)):
+        monkeypatch.setattr(lm, name, n)
     rnd = random.Random(5)
     words = ["a", "of", "ü", "letters", "longer-words", "It"]
     texts = [" ".join(rnd.choice(words) for _ in range(rnd.randrange(0, 25))) for _ in range(60)]
-    # The same words in another order, and all in their order.
-    texts += [None, "", "a of letters", "letters of\ta", "a of It " * 300, "It of a " * 300]
+    # The same words in another order, all in their order, and repeated rows.
+    texts += [None, "", "a of letters", "letters of\ta", "a of It " * 300, "It of a " * 300] + ["of a letter"] * 40
     df = spark.createDataFrame([(i, t, 1, "s", "k") for i, t in enumerate(texts)], DOCS).repartition(3)
     held = [zlib.crc32(str(i).encode()) % 10 == 0 for i in range(len(texts))]
     score = tree_brute([words_of(t) for t, h in zip(texts, held, strict=True) if not h])
-    got = {r["doc_id"]: r for r in lm.scored(df, running=True).collect()}
-    short = {r["doc_id"]: r for r in lm.scored(df).collect()}
+    got = {r["doc_id"]: r for r in lm.scored(df).collect()}
     for i, t in enumerate(texts):
         assert got[i]["score"] == pytest.approx(score(words_of(t)))
-        assert [got[i][c] for c in ("held_out", "n_tokens", "n_known", "train_tokens")] == [short[i][c] for c in ("held_out", "n_tokens", "n_known", "train_tokens")]
-        assert got[i]["base_score"] == pytest.approx(short[i]["base_score"])
-    assert lm.scored(df.limit(0), running=True).collect() == []
+        assert got[i]["code_length"] == pytest.approx(-score(words_of(t)) * math.log2(10) / (sum(len(w) + 1 for w in words_of(t)) + 1))
+    assert lm.scored(df.limit(0)).collect() == []
 
 
 def test_context_tree_is_better_on_unseen_text(spark):
@@ -322,19 +308,30 @@ def test_log_gamma():
     assert np.allclose(lm.log_gamma(x), [math.lgamma(v) for v in x], rtol=1e-12, atol=1e-12)
 
 
-def test_gram_scores_do_not_depend_on_how_files_are_cut(spark):
-    draw = np.random.default_rng(2)
-    grams = {int.from_bytes(bytes(draw.choice(list(b"abc "), size=lm.DEPTH + 1).tolist()), "big") for _ in range(6000)}
-    table = spark.createDataFrame([(g, int(c)) for g, c in zip(sorted(grams), draw.integers(0, 50, len(grams)))], "gram long, c long")
-    whole = {r["gram"]: r["logp"] for r in lm.gram_scores(table).collect()}
+def test_scores_do_not_depend_on_how_files_are_cut(spark, monkeypatch):
+    draw = random.Random(2)
+    texts = ["".join(draw.choice("abc ") for _ in range(400)) for _ in range(60)]
+    df = spark.createDataFrame([(i, t, 1, "s", "k") for i, t in enumerate(texts)], DOCS)
+    whole = {r["doc_id"]: r for r in lm.scored(df.coalesce(1)).collect()}
     settings = {"spark.sql.files.maxPartitionBytes": "2000", "spark.sql.files.openCostInBytes": "100", "parquet.block.size": "2000"}
     before = {k: spark.conf.get(k, None) for k in settings}
+    for name, n in (("BATCH", 1000), ("CHUNK", 700), ("PART_BYTES", 500)):
+        monkeypatch.setattr(lm, name, n)
     try:
         for k, v in settings.items():
             spark.conf.set(k, v)
-        cut = {r["gram"]: r["logp"] for r in lm.gram_scores(table.repartition(7)).collect()}
+        cut = {r["doc_id"]: r for r in lm.scored(df.repartition(7)).collect()}
     finally:
         for k, v in before.items():
             spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
-    assert whole.keys() == cut.keys() == grams
-    assert max(abs(whole[g] - cut[g]) for g in grams) < 1e-9
+    assert whole.keys() == cut.keys() == set(range(60))
+    for i, r in whole.items():
+        assert r["score"] == pytest.approx(cut[i]["score"], abs=1e-6) and r["base_score"] == pytest.approx(cut[i]["base_score"], abs=1e-9)
+        assert (r["n_tokens"], r["n_known"], r["train_tokens"]) == (cut[i]["n_tokens"], cut[i]["n_known"], cut[i]["train_tokens"])
+
+
+def test_packed_grams():
+    keys = np.unique(np.random.default_rng(3).integers(0, 2**56, 1000))
+    for k in (keys, keys[:1], keys[:0]):
+        got = lm._unpacked(lm._packed(k, np.arange(len(k)) % 7))
+        assert (got[0] == k).all() and (got[1] == np.arange(len(k)) % 7).all() and len(got[0]) == len(k)

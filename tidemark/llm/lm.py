@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import itertools
+import zlib
+from collections import Counter
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -11,16 +15,15 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import stored
 
-# Bytes of context. In the short form (``running`` false) the first HEAD bytes of a word also see the last TAIL bytes of the word before it, later ones
-# see their own word only; blanks stand for all that lies before.
-DEPTH = 6
-HEAD, TAIL = 2, 2
+# Bytes of context. Contexts that share their latest SPLIT bytes lie in one task; what is above them is summed up by key.
+DEPTH, SPLIT = 6, 3
 BLANK, STOP = b" ", b"\n"
-FLUSH = 6_000_000
-# Documents of a batch are numbered by two bytes.
-BATCH_DOCS = 60_000
-# Tasks that sum up a batch's postings.
-DEALS = 8
+# Bytes of running text of a batch, and of it those whose grams are sorted at a time.
+BATCH, CHUNK = 24_000_000, 3_000_000
+# Bytes of text for each part of the grams; there are at most PARTS of them.
+PART_BYTES, PARTS = 8_000_000, 2**20
+# What a row of a batch holds.
+GRAMS, TOKENS, TEXT = 0, 1, 2
 
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
@@ -36,8 +39,12 @@ def log_gamma(x: np.ndarray) -> np.ndarray:
 
 def log_kt(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """ln of the Krichevsky-Trofimov probability of a sequence with ``a`` zeros and ``b`` ones."""
-    a, b = a.astype(float), b.astype(float)
-    return log_gamma(a + 0.5) + log_gamma(b + 0.5) - np.log(np.pi) - log_gamma(a + b + 1)
+    most = int((a + b).max()) if len(a) else 0
+    if most < len(a):
+        n = np.arange(most + 1.0)
+        half, whole = log_gamma(n + 0.5), log_gamma(n + 1)
+        return half[a] + half[b] - np.log(np.pi) - whole[a + b]
+    return log_gamma(a + 0.5) + log_gamma(b + 0.5) - np.log(np.pi) - log_gamma(a + b + 1.0)
 
 
 def _summed(keys: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
@@ -120,251 +127,293 @@ def held_out(doc_id: Column, folds: int = 10) -> Column:
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), F.lit(folds)) == 0
 
 
-def _packed(code: np.ndarray, doc: np.ndarray, n: np.ndarray, units: int) -> pa.Array:
-    """A unit's postings as bytes: the steps between its documents' numbers, first their low bytes, then their high ones, then the counts.
+def _packed(keys: np.ndarray, counts: np.ndarray) -> bytes:
+    """Ascending numbers and their counts: the steps between them and the counts, their bytes of a place together, compressed."""
+    step, n = np.diff(keys, prepend=0).astype("<i8"), counts.astype("<i4")
+    raw = step.view(np.uint8).reshape(-1, 8).T.tobytes() + n.view(np.uint8).reshape(-1, 4).T.tobytes()
+    return len(keys).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
 
-    Counts above 255 take several postings. Bytes of a kind lie together because they pack well.
+
+def _unpacked(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    size = int.from_bytes(data[:8], "little")
+    raw = np.frombuffer(pa.decompress(data[8:], decompressed_size=12 * size, codec="zstd", asbytes=True), np.uint8)
+    step = np.ascontiguousarray(raw[: 8 * size].reshape(8, size).T).view("<i8").ravel()
+    return np.cumsum(step), np.ascontiguousarray(raw[8 * size :].reshape(4, size).T).view("<i4").ravel().astype(np.int64)
+
+
+def _part(context, parts: int):
+    """The part of a context's latest SPLIT bytes: a number or an array."""
+    return (((context * 2654435761) & 0xFFFFFFFF) >> 8) % parts
+
+
+def _grams(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Grams of the texts, some at a time, and the number of the text of each.
+
+    A gram is the DEPTH bytes before a position, the latest highest, then the byte there; blanks stand for what lies before a text.
     """
-    parts = -(-n // 255)
-    code, doc, n, k = np.repeat(code, parts), np.repeat(doc, parts), np.repeat(n, parts), np.repeat(parts, parts)
-    turn = np.arange(len(k)) - np.repeat(np.cumsum(parts) - parts, parts)
-    n = np.where(turn < k - 1, 255, n - 255 * (k - 1))
-    starts = np.searchsorted(code, np.arange(units + 1))
-    sizes = np.diff(starts)
-    at, size = 2 * starts[code] + np.arange(len(code)), sizes[code]
-    step = np.diff(doc, prepend=0)
-    step[starts[:-1][sizes > 0]] = doc[starts[:-1][sizes > 0]]
-    out = np.empty(3 * len(code), np.uint8)
-    out[at], out[at + size], out[at + 2 * size] = step & 255, step >> 8, n
-    return pa.Array.from_buffers(pa.binary(), units, [None, pa.py_buffer((3 * starts).astype(np.int32)), pa.py_buffer(out)])
-
-
-def _unpacked(packed: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Which unit, document number and count each posting of an array of packed ones has."""
-    ends = np.frombuffer(packed.buffers()[1], np.int32)[packed.offset : packed.offset + len(packed) + 1].astype(np.int64)
-    raw = np.frombuffer(packed.buffers()[2], np.uint8)
-    size = np.diff(ends) // 3
-    unit = np.repeat(np.arange(len(packed)), size)
-    k = np.arange(len(unit)) - np.repeat(np.cumsum(size) - size, size)
-    at, size = ends[unit] + k, size[unit]
-    so_far = np.cumsum(raw[at].astype(np.int64) | (raw[at + size].astype(np.int64) << 8))
-    first = np.flatnonzero(k == 0)
-    before = np.concatenate(([0], so_far))[first]
-    return unit, so_far - np.repeat(before, size[first]), raw[at + 2 * size].astype(np.int64)
-
-
-def _running_grams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Gram of each byte of the texts, in whose context blanks stand only for what lies before a text, and the number of its text."""
-    flat = np.frombuffer(b"".join(BLANK * DEPTH + t for t in texts), np.uint8).astype(np.int64)
-    size = np.array([len(t) for t in texts], np.int64)
-    of = np.repeat(np.arange(len(texts)), size)
-    at = np.arange(len(of)) + DEPTH * (of + 1)
-    gram = np.zeros(len(at), np.int64)
-    for k in range(1, DEPTH + 1):
-        gram = (gram << 8) | flat[at - k]
-    return (gram << 8) | flat[at], of
-
-
-def postings(docs: DataFrame, running: bool = False) -> DataFrame:
-    """One row per unit and batch of documents: unit, batch, its postings in it, and its count in training.
-
-    Columns of ``docs``: doc_id, text, train, start (a number per partition). Units are the words, with the empty word for
-    the end of a text, and the heads: a blank, the tail of the word before, a blank and the word's first HEAD bytes. With ``running`` grams
-    take the place of the heads: a blank, the DEPTH bytes before a position of the running text, the latest first, and the byte there. A text's
-    score is a sum over its units. The row of the empty word also carries each document's doc_id, number of tokens
-    and of bytes, so that one pass gives all.
+    flat = np.frombuffer(BLANK * DEPTH + b"".join(BLANK * DEPTH + t for t in texts), np.uint8)
+    ends = np.cumsum([len(t) + DEPTH for t in texts])
+    begins = np.concatenate(([0], ends[:-1])) + DEPTH
+    for low in range(0, int(ends[-1]), CHUNK):
+        high = min(low + CHUNK, int(ends[-1]))
+        wide = flat[low : high + DEPTH].astype(np.int64)
+        gram = np.zeros(high - low, np.int64)
+        for k in range(1, DEPTH + 1):
+            gram = (gram << 8) | wide[DEPTH - k : len(wide) - k]
+        gram = (gram << 8) | wide[DEPTH:]
+        first, last = np.searchsorted(ends, (low, high - 1), side="right")
+        doc = np.repeat(np.arange(first, last + 1), np.diff(np.minimum(ends[first : last + 1], high), prepend=low))
+        real = np.arange(low, high) >= begins[doc]
+        yield gram[real], doc[real]
+
+
+def batches_of(docs: DataFrame, parts: int) -> DataFrame:
+    """The rows of all batches: kind, batch, part, data, doc_id.
+
+    Columns of ``docs``: doc_id, text, train, start (a number per partition). A batch is a run of a task's documents of BATCH bytes or little more. TEXT rows
+    are its running texts: the lower-cased words with a blank after each, then the end. GRAMS rows are its distinct grams of a part with their counts in
+    training, TOKENS rows its distinct tokens likewise; the empty word is the end of a text.
     """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def emit(ids: dict, codes: list, held: list, train: list, texts: list, batch: int) -> pa.RecordBatch:
-            units = np.empty(len(ids), object)
-            units[:] = list(ids)
-            units = pa.array(units, pa.binary())
-            code = np.concatenate(codes).astype(np.int64)
-            doc = np.repeat(np.arange(len(held)), [len(c) for c in codes])
-            if running:
-                grams, of = _running_grams(texts)
-                grams, gram = np.unique(grams, return_inverse=True)
-                code, doc = np.concatenate((code, len(ids) + gram)), np.concatenate((doc, of))
-                spelled = pa.py_buffer((grams | (BLANK[0] << 56)).astype(">i8").tobytes())
-                units = pa.concat_arrays([units, pa.Array.from_buffers(pa.binary(), len(grams), [None, pa.py_buffer(np.arange(0, 8 * len(grams) + 1, 8, dtype=np.int32)), spelled])])
-            key, n = np.unique(code * len(held) + doc, return_counts=True)
-            code, doc = key // len(held), key % len(held)
-            learned = np.add.reduceat(np.where(np.array(train)[doc], n, 0), np.searchsorted(code, np.arange(len(units))))
-            entry = pa.list_(pa.struct([("doc_id", pa.int64()), ("n", pa.int64()), ("bytes", pa.int64())]))
-            listed = [held if not u else None for u in ids] + [None] * (len(units) - len(ids))
+    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def block(kind: int, batch: int, part: list, data: list, doc_id: list) -> pa.RecordBatch:
+            n = len(data)
             return pa.RecordBatch.from_arrays(
-                [units, pa.array(np.full(len(units), batch)), _packed(code, doc, n, len(units)), pa.array(learned), pa.array(listed, entry)],
-                names=["unit", "batch", "postings", "learned", "docs"],
+                [pa.array([kind] * n, pa.int32()), pa.array([batch] * n, pa.int64()), pa.array(part, pa.int32()), pa.array(data, pa.binary()), pa.array(doc_id, pa.int64())],
+                names=["kind", "batch", "part", "data", "doc_id"],
             )
 
-        ids: dict[bytes, int] = {}
-        codes, held, train, texts, size, number = [], [], [], [], 0, None
-        for batch in batches:
-            for doc_id, text, t, start in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "train", "start")), strict=True):
+        def emit(held: list, train: list, texts: list, words: dict, batch: int) -> Iterator[pa.RecordBatch]:
+            yield block(TEXT, batch, [0] * len(held), texts, held)
+            unseen, found = ~np.array(train, bool), []
+            for gram, doc in _grams(texts):
+                found.append(np.unique((gram << 1) | unseen[doc], return_counts=True))
+            key, (n,) = _summed(np.concatenate([k for k, _ in found]), np.concatenate([n for _, n in found]))
+            gram, (n,) = _summed(key >> 1, np.where(key & 1, 0, n))
+            part = _part(gram >> 8 * (DEPTH + 1 - SPLIT), parts)
+            order = np.argsort(part, kind="stable")
+            gram, n, part = gram[order], n[order], part[order]
+            cuts = np.flatnonzero(np.diff(part, prepend=-1, append=parts))
+            yield block(GRAMS, batch, part[cuts[:-1]].tolist(), [_packed(gram[i:j], n[i:j]) for i, j in itertools.pairwise(cuts)], [None] * (len(cuts) - 1))
+            dealt: dict[int, list] = {}
+            for w in words:
+                dealt.setdefault(zlib.crc32(w) % parts, []).append(w)
+            data = [np.array([words[w] for w in ws], "<i8").tobytes() + BLANK.join(ws) for ws in dealt.values()]
+            data = [len(ws).to_bytes(8, "little") + d for ws, d in zip(dealt.values(), data, strict=True)]
+            yield block(TOKENS, batch, list(dealt), data, [None] * len(data))
+
+        held, train, texts, words, size, number = [], [], [], Counter(), 0, None
+        for rb in rows:
+            for doc_id, text, t, start in zip(*(rb.column(c).to_pylist() for c in ("doc_id", "text", "train", "start")), strict=True):
                 number = start if number is None else number
-                units = (text or "").encode().translate(_LOWER).split()
-                held.append({"doc_id": doc_id, "n": len(units) + 1, "bytes": sum(map(len, units)) + len(units) + 1})
-                if running:
-                    texts.append(b"".join(w + BLANK for w in units) + STOP)
-                    size += len(texts[-1])
-                tails = [] if running else [b"", *[w[-TAIL:] for w in units]]
-                heads = [] if running else [*[w[:HEAD] if len(w) >= HEAD else w + BLANK for w in units], STOP]
-                units.append(b"")
-                units += [BLANK + a + BLANK + b for a, b in zip(tails, heads, strict=True)]
-                codes.append(np.array([ids.setdefault(u, len(ids)) for u in units], np.int32))
+                ws = (text or "").encode().translate(_LOWER).split()
+                texts.append(b"".join(w + BLANK for w in ws) + STOP)
+                ws.append(b"")
+                words.update(ws if t else dict.fromkeys(ws, 0))
+                held.append(doc_id)
                 train.append(t)
-                size += len(units)
-                if size >= FLUSH or len(held) >= BATCH_DOCS:
-                    yield emit(ids, codes, held, train, texts, number)
-                    ids, codes, held, train, texts, size, number = {}, [], [], [], [], 0, number + 1
+                size += len(texts[-1])
+                if size >= BATCH:
+                    yield from emit(held, train, texts, words, number)
+                    held, train, texts, words, size, number = [], [], [], Counter(), 0, number + 1
         if held:
-            yield emit(ids, codes, held, train, texts, number)
+            yield from emit(held, train, texts, words, number)
 
-    return docs.select("doc_id", "text", "train", "start").mapInArrow(
-        run, "unit binary, batch bigint, postings binary, learned bigint, docs array<struct<doc_id:bigint,n:bigint,bytes:bigint>>"
-    )
+    return docs.select("doc_id", "text", "train", "start").mapInArrow(run, "kind int, batch bigint, part int, data binary, doc_id bigint")
 
 
-def _grams(units: DataFrame) -> DataFrame:
-    """id, the unit's learned count c, and the context and byte of each of its predictions.
+def _words(data: bytes) -> tuple[list[bytes], np.ndarray]:
+    size = int.from_bytes(data[:8], "little")
+    return data[8 + 8 * size :].split(BLANK), np.frombuffer(data[8 : 8 + 8 * size], "<i8")
 
-    A head predicts its bytes, a word those after its first HEAD and the blank behind it; a word shorter than HEAD and
-    the end of a text are wholly in their heads. Context and byte are packed into one number: DEPTH
-    bytes, the latest highest, then the byte.
-    """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            pad, data, begin = BLANK * DEPTH, [], []
-            for u in batch.column("unit").to_pylist():
-                if u[:1] == BLANK:
-                    data.append(pad + u[1:])
-                    begin.append(DEPTH + u.index(BLANK, 1))
-                elif len(u) >= HEAD:
-                    data.append(pad + u + BLANK)
-                    begin.append(DEPTH + HEAD)
-                else:
-                    data.append(pad)
-                    begin.append(DEPTH)
-            flat = np.frombuffer(b"".join(data), np.uint8).astype(np.int64)
-            size, begin = np.array([len(d) for d in data], np.int64), np.array(begin, np.int64)
-            n = size - begin
-            of = np.repeat(np.arange(len(data)), n)
-            at = np.repeat(np.cumsum(size) - size + begin - (np.cumsum(n) - n), n) + np.arange(n.sum())
-            gram = np.zeros(len(at), np.int64)
-            for k in range(1, DEPTH + 1):
-                gram = (gram << 8) | flat[at - k]
-            gram = (gram << 8) | flat[at]
-            yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(of)), batch.column("c").take(pa.array(of)), pa.array(gram)], names=["id", "c", "gram"])
+def token_counts(table: DataFrame, parts: int) -> DataFrame:
+    """TOKENS rows with the corpus counts of their tokens (batch, data), and a row per task with the sum and the number of counts above 0 (n, v)."""
 
-    return units.select("id", "c", "unit").mapInArrow(run, "id bigint, c bigint, gram bigint")
+    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema([("batch", pa.int64()), ("data", pa.binary()), ("n", pa.int64()), ("v", pa.int64())])
+        held, counts = [], {}
+        for rb in rows:
+            for batch, data in zip(rb.column("batch").to_pylist(), rb.column("data").to_pylist(), strict=True):
+                held.append((batch, data))
+                for w, n in zip(*(lambda ws, n: (ws, n.tolist()))(*_words(data)), strict=True):
+                    counts[w] = counts.get(w, 0) + n
+        for batch, data in held:
+            ws, _ = _words(data)
+            n = np.array([counts[w] for w in ws], "<i8").tobytes()
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(([batch], [data[:8] + n + BLANK.join(ws)], [0], [0]), schema.types, strict=True)], schema=schema)
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(([None], [None], [sum(counts.values())], [sum(n > 0 for n in counts.values())]), schema.types, strict=True)], schema=schema)
 
+    return table.where(F.col("kind") == TOKENS).select("batch", "part", "data").repartitionById(parts, "part").mapInArrow(run, "batch bigint, data binary, n bigint, v bigint")
 
-def _spelled_grams(units: DataFrame) -> DataFrame:
-    """id, learned count c and gram of the units that are grams."""
-    return units.where(F.col("unit").startswith(F.lit(BLANK))).select("id", "c", F.conv(F.hex(F.substring("unit", 2, DEPTH + 1)), 16, 10).cast("bigint").alias("gram"))
 
+def _merged(runs: Iterator[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct grams of runs and their counts; never more than twice the distinct ones and a few million are held."""
+    keys, counts, held, least = [], [], 0, 4_000_000
+    for k, n in runs:
+        keys.append(k)
+        counts.append(n)
+        held += len(k)
+        if held > least:
+            key, (n,) = _summed(np.concatenate(keys), np.concatenate(counts))
+            keys, counts, held, least = [key], [n], len(key), 2 * len(key) + 4_000_000
+    key, (n,) = _summed(np.concatenate([np.empty(0, np.int64), *keys]), np.concatenate([np.empty(0, np.int64), *counts]))
+    return key, n
 
-def gram_scores(grams: DataFrame) -> DataFrame:
-    """gram, log10 probability, for a table of distinct grams and their learned counts.
 
-    Nodes below depth 2 lie together by the latest two bytes of their context: each such part has at most
-    256 ** (DEPTH - 2) contexts, whatever the size of the corpus. The nodes above are at most 257 * 255; their sums
-    come to the driver and go out with the second pass.
+def upper_nodes(table: DataFrame, parts: int) -> DataFrame:
+    """Nodes above depth SPLIT. Rows of a part hold the nodes one level above it that its grams can need (data: keys, weights, estimates).
+
+    Rows of part -1 are shares of the sums of depth SPLIT - 2 (key, a, b, below).
+    """
+
+    def below(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        gram, count = _merged(_unpacked(d) for rb in rows for d in rb.column("data").to_pylist())
+        if count.any():
+            key, a, b, weighted = _levels(gram >> 8, gram & 255, count, SPLIT)[0]
+            key, (a, b, under) = _summed(((key >> 16) << 8) | (key & 255), a, b, weighted)
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (key, a, b, under)], names=["key", "a", "b", "below"])
+
+    def level(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, types = ["part", "key", "a", "b", "below", "data"], [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.binary()]
+        key, a, b, under = _columns(rows, ("key", "a", "b", "below"))
+        if not len(key):
+            return
+        order = np.argsort(key)
+        key, a, b, under = key[order], a[order], b[order], under[order]
+        here = (key, a, b, np.logaddexp(log_kt(a, b), under) - np.log(2))
+        up, sums = _summed(((key >> 16) << 8) | (key & 255), a, b, here[3])
+        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip((np.full(len(up), -1), up, *sums, [None] * len(up)), types, strict=True)], names=names)
+        _, own, one = _shares(here, False)
+        context, of = np.unique(key >> 8, return_inverse=True)
+        pairs = np.unique(_part((context[:, None] << 8) | np.arange(256), parts) * len(context) + np.arange(len(context))[:, None])
+        part, at = pairs // len(context), pairs % len(context)
+        cuts = np.flatnonzero(np.diff(part, prepend=-1, append=parts))
+        for i, j in itertools.pairwise(cuts):
+            wanted = np.zeros(len(context), bool)
+            wanted[at[i:j]] = True
+            mine = wanted[of]
+            data = b"".join(x[mine].tobytes() for x in (key, own, one))
+            yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip((int(part[i]), None, None, None, None, data), types, strict=True)], names=names)
+
+    runs = table.where(F.col("kind") == GRAMS).select("part", "data").repartitionById(parts, "part")
+    sums = runs.mapInArrow(below, "key bigint, a bigint, b bigint, below double").groupBy("key").agg(*[F.sum(c).alias(c) for c in ("a", "b", "below")])
+    return sums.repartition(F.shiftright("key", 8)).mapInArrow(level, "part int, key bigint, a bigint, b bigint, below double, data binary")
+
+
+def gram_prices(table: DataFrame, upper: DataFrame, parts: int) -> DataFrame:
+    """batch, data and price of the GRAMS rows: the log10 probabilities of their grams, as 4-byte numbers.
+
+    Only the sums of the nodes at depth 1 (at most 256 * 255) pass the driver; a part's nodes at depth 2 lie with its grams.
     """
-    # Written first and dealt right before each pass: a read task may hold a part of a file or several files, a shuffled partition always whole keys.
-    dealt = stored(grams, "lm-grams").withColumn("latest", F.shiftright("gram", 8 * (DEPTH - 1))).repartition("latest").drop("latest")
-
-    def above(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        gram, count = _columns(batches, ("gram", "c"))
-        if len(gram):
-            key, a, b, weighted = _levels(gram >> 8, gram & 255, count, 2)[0]
-            key, (a, b, below) = _summed(((key >> 16) << 8) | (key & 255), a, b, weighted)
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (key, a, b, below)], names=["key", "a", "b", "below"])
-
-    sums = dealt.mapInArrow(above, "key bigint, a bigint, b bigint, below double").groupBy("key").agg(F.sum("a"), F.sum("b"), F.sum("below")).collect()
-    sums.sort()
+    sums = sorted(upper.where("part < 0").groupBy("key").agg(F.sum("a"), F.sum("b"), F.sum("below")).collect())
     key, a, b = (np.array([r[k] for r in sums], np.int64) for k in range(3))
     one = (key, a, b, np.logaddexp(log_kt(a, b), np.array([r[3] for r in sums], float)) - np.log(2))
     key, (a, b, below) = _summed(key & 255, a, b, one[3])
     root = (key, a, b, np.logaddexp(log_kt(a, b), below) - np.log(2))
-    tops = grams.sparkSession.sparkContext.broadcast([_shares(root, False), _shares(one, False)])
-
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        gram, count = _columns(batches, ("gram", "c"))
-        if len(gram):
-            levels = _levels(gram >> 8, gram & 255, count, 2)
-            shares = [*tops.value, *[_shares(x, k == len(levels) - 1) for k, x in enumerate(levels)]]
-            for i in range(0, len(gram), 200_000):
-                part = gram[i : i + 200_000]
-                yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(_log10_bytes(part >> 8, part & 255, shares))], names=["gram", "logp"])
-
-    return dealt.mapInArrow(score, "gram bigint, logp double")
-
-
-def scored(docs: DataFrame, running: bool = False) -> DataFrame:
+    tops = table.sparkSession.sparkContext.broadcast([_shares(root, False), _shares(one, False)])
+
+    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, nodes = [], [np.empty((3, 0))]
+        for rb in rows:
+            for batch, data in zip(rb.column("batch").to_pylist(), rb.column("data").to_pylist(), strict=True):
+                if batch is None:
+                    nodes.append(np.frombuffer(data, np.int64).reshape(3, -1))
+                else:
+                    held.append((batch, data))
+        if not held:
+            return
+        nodes = np.concatenate([x.astype(np.int64) for x in nodes], axis=1)
+        nodes = np.ascontiguousarray(nodes[:, np.argsort(nodes[0])])
+        gram, count = _merged(_unpacked(d) for _, d in held)
+        levels = _levels(gram >> 8, gram & 255, count, SPLIT)
+        shares = [*tops.value, (nodes[0], nodes[1].view(float), nodes[2].view(float)), *[_shares(x, k == len(levels) - 1) for k, x in enumerate(levels)]]
+        price = np.concatenate([_log10_bytes(g >> 8, g & 255, shares) for g in np.array_split(gram, len(gram) // 200_000 + 1)]).astype("<f4")
+        for batch, data in held:
+            mine = price[np.searchsorted(gram, _unpacked(data)[0])].tobytes()
+            yield pa.RecordBatch.from_arrays([pa.array([batch], pa.int64()), pa.array([data], pa.binary()), pa.array([mine], pa.binary())], names=["batch", "data", "price"])
+
+    runs = table.where(F.col("kind") == GRAMS).select("part", "batch", "data")
+    above = upper.where("part >= 0").select("part", F.lit(None).cast("bigint").alias("batch"), "data")
+    return runs.union(above).repartitionById(parts, "part").mapInArrow(run, "batch bigint, data binary, price binary")
+
+
+def scored(docs: DataFrame) -> DataFrame:
     """Scores of every document under a unigram base and the context-tree model learned from the training folds.
 
     Tokens are the lower-cased (A-Z) words and one end per text. base_score adds log10((c + 0.1) / (N + 0.1 (V + 1))) per token. The model is
-    context-tree weighting over the bytes of each token and the blank after it (of the end: one byte), with
-    binary-decomposed bytes and contexts of up to DEPTH bytes, which for a word's first HEAD bytes reach into the word
-    before: each bit mixes the Krichevsky-Trofimov estimates of all depths by their weights. ``score`` is the text's log10 probability, code_length its
-    bits per byte. Counts cover all training documents; what they need grows with the corpus and stays distributed:
-    counts of words and heads, contexts and scores are joined, only totals and the nodes above depth 2 (their number is bounded) reach the driver.
+    context-tree weighting over the bytes of the running text, its words with a blank after each, then the end, with binary-decomposed bytes. A byte's
+    contexts are the up to DEPTH bytes before it, across words; blanks stand for what lies before a text. Each bit mixes the Krichevsky-Trofimov
+    estimates of all depths by their weights; where training has not seen the next deeper context, the rest of the weight goes to the last estimate seen.
+    ``score`` is the text's log10 probability (grams' prices are rounded to 4-byte numbers, an error of 1e-7 of the score at most), code_length its bits per byte.
 
-    With ``running`` the contexts are the last DEPTH bytes of the running text at every position: its words with a blank after
-    each, then the end; blanks stand for what lies before the text. Otherwise (the short form, a cut for small disks) what a word's
-    later bytes see ends where the word begins.
+    The texts are read once into batches, whose distinct grams and tokens are counted before they are shuffled; prices go back to the batches, and the
+    grams of the texts are cut a second time. What this needs grows with the corpus and stays distributed; a very long text is a batch of its own, whose
+    grams are sorted CHUNK bytes at a time.
 
     Null and empty texts hold one token, the end. Null doc_ids belong to the fold of the empty string; repeated rows are
     scored, and learned from, as often as they occur; without training documents c, N and V are 0 and
     every bit has probability 1/2. An empty table gives an empty result; other columns are ignored.
     """
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", (~held_out(F.col("doc_id"))).alias("train"))
-    table = stored(postings(rows.withColumn("start", F.spark_partition_id().cast("bigint") * 2**20), running), "lm-postings")
-    listed = table.where(F.octet_length("unit") == 0).select("batch", F.posexplode("docs").alias("at", "d"))
-    # A document's number: its batch and its place therein.
-    ids = listed.select((F.col("batch") * 65536 + F.col("at")).alias("row"), "d.doc_id", "d.n", "d.bytes")
-    units = table.groupBy("unit").agg(F.sum("learned").alias("c"))
-    units = stored(units.select("unit", "c", (~F.col("unit").startswith(F.lit(BLANK))).alias("token")).withColumn("id", F.monotonically_increasing_id()), "lm-units")
-    tokens = units.where("token")
-    total = tokens.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.coalesce(F.sum((F.col("c") > 0).cast("int")), F.lit(0)).alias("v")).first()
-    grams = _spelled_grams(units) if running else _grams(units)
-    known = gram_scores(grams.groupBy("gram").agg(F.sum("c").alias("c")))
-    known = stored(known.withColumnRenamed("gram", "g"), "lm-grams")
-    summed = grams.join(known, F.col("gram") == F.col("g")).groupBy("id").agg(F.sum("logp").alias("logp"))
-    priced = units.join(summed.withColumnRenamed("id", "sid"), F.col("id") == F.col("sid"), "left")
-    priced = stored(priced.select(F.col("unit").alias("u"), "token", "c", F.coalesce("logp", F.lit(0.0)).alias("logp")), "lm-priced")
-
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def emit(parts: list) -> pa.RecordBatch:
-            row, n, known, base, logp = (np.concatenate(x) for x in zip(*parts, strict=True))
-            row, sums = _summed(row, n * known, n * base, n * logp)
-            return pa.RecordBatch.from_arrays([pa.array(x) for x in (row, *sums)], names=["row", "known", "base", "logp"])
-
-        parts, held = [], 0
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            unit, doc, n = _unpacked(batch.column("postings"))
-            parts.append((batch.column("batch").to_numpy()[unit] * 65536 + doc, n, *[batch.column(c).to_numpy()[unit] for c in ("known", "base", "logp")]))
-            held += len(unit)
-            if held >= FLUSH:
-                yield emit(parts)
-                parts, held = [], 0
-        if parts:
-            yield emit(parts)
-
-    # Prices go to the batches, whose postings are summed by document there: DEALS rows a document at most, however
-    # many tasks the join has.
-    both = table.join(priced, F.col("unit") == F.col("u")).select("batch", "postings", "token", "c", "logp")
-    both = both.repartition("batch", F.pmod(F.crc32("postings"), F.lit(DEALS))).sortWithinPartitions("batch")
-    base = F.when(F.col("token"), F.log10((F.col("c") + 0.1) / F.lit(total["n"] + 0.1 * (total["v"] + 1)))).otherwise(F.lit(0.0))
-    both = both.select("batch", "postings", (F.col("token") & (F.col("c") > 0)).cast("bigint").alias("known"), base.alias("base"), "logp")
-    parts = both.mapInArrow(add, "row bigint, known bigint, base double, logp double")
-    sums = parts.groupBy("row").agg(*[F.sum(c).alias(c) for c in ("known", "base", "logp")]).withColumnRenamed("row", "srow")
-    return ids.join(sums, F.col("row") == F.col("srow")).select(
-        "doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("n").alias("n_tokens"), F.col("known").alias("n_known"), F.lit(total["n"]).cast("bigint").alias("train_tokens"),
-        F.col("base").alias("base_score"), F.col("logp").alias("score"), (-F.col("logp") / F.lit(float(np.log10(2))) / F.col("bytes")).alias("code_length"),
+    size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    parts = min(max(size // PART_BYTES, 8), PARTS)
+    table = stored(batches_of(rows.withColumn("start", F.spark_partition_id().cast("bigint") * 2**20), parts), "lm-batches")
+    tokens = stored(token_counts(table, parts), "lm-tokens")
+    total = tokens.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("v"), F.lit(0)).alias("v")).first()
+    prices = gram_prices(table, stored(upper_nodes(table, parts), "lm-nodes"), parts)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["doc_id", "n_tokens", "n_known", "base", "score", "bytes"]
+
+        def emit(ids: list, texts: list, keys: np.ndarray, price: np.ndarray, base: dict) -> pa.RecordBatch:
+            score, per = np.zeros(len(texts)), []
+            for gram, doc in _grams(texts):
+                order = np.argsort(gram)
+                score += np.bincount(doc[order], price[np.searchsorted(keys, gram[order])], len(texts))
+            for t in texts:
+                of = [base[w] for w in t.split()] + [base[b""]]
+                per.append((len(of), len(of) - of.count(-1.0), sum(of)))
+            columns = (ids, *zip(*per, strict=True), score, [len(t) for t in texts])
+            types = (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64())
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=names)
+
+        now, keys, price, base, ids, texts, size = None, [], [], {}, [], [], 0
+        for rb in batches:
+            for batch, kind, data, priced, doc_id in zip(*(rb.column(c).to_pylist() for c in ("batch", "kind", "data", "price", "doc_id")), strict=True):
+                if texts and (batch != now or size >= CHUNK):
+                    yield emit(ids, texts, keys, price, base)
+                    ids, texts, size = [], [], 0
+                if batch != now:
+                    now, keys, price, base = batch, [], [], {}
+                if kind == GRAMS:
+                    keys.append(_unpacked(data)[0])
+                    price.append(np.frombuffer(priced, "<f4"))
+                elif kind == TOKENS:
+                    ws, n = _words(data)
+                    base.update(zip(ws, np.log10(n + 0.1).tolist(), strict=True))
+                else:
+                    if isinstance(keys, list):
+                        keys, price = np.concatenate(keys), np.concatenate(price).astype(float)
+                        order = np.argsort(keys)
+                        keys, price = keys[order], price[order]
+                    ids.append(doc_id)
+                    texts.append(data)
+                    size += len(data)
+        if texts:
+            yield emit(ids, texts, keys, price, base)
+
+    none = F.lit(None)
+    every = [
+        prices.select("batch", F.lit(GRAMS).alias("kind"), "data", "price", none.cast("bigint").alias("doc_id")),
+        tokens.where(F.col("batch").isNotNull()).select("batch", F.lit(TOKENS).alias("kind"), "data", none.cast("binary").alias("price"), none.cast("bigint").alias("doc_id")),
+        table.where(F.col("kind") == TEXT).select("batch", "kind", "data", none.cast("binary").alias("price"), "doc_id"),
+    ]
+    both = reduce(DataFrame.union, every).repartition(max(8, size // BATCH), "batch").sortWithinPartitions("batch", "kind")
+    sums = both.mapInArrow(run, "doc_id bigint, n_tokens bigint, n_known bigint, base double, score double, bytes bigint")
+    norm = float(np.log10(total["n"] + 0.1 * (total["v"] + 1)))
+    return sums.select(
+        "doc_id", held_out(F.col("doc_id")).alias("held_out"), "n_tokens", "n_known", F.lit(total["n"]).cast("bigint").alias("train_tokens"),
+        (F.col("base") - F.col("n_tokens") * F.lit(norm)).alias("base_score"), "score", (-F.col("score") / F.lit(float(np.log10(2))) / F.col("bytes")).alias("code_length"),
     )
