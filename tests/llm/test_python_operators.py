@@ -335,3 +335,5 @@ def test_packed_grams():
     for k in (keys, keys[:1], keys[:0]):
         got = lm._unpacked(lm._packed(k, np.arange(len(k)) % 7))
         assert (got[0] == k).all() and (got[1] == np.arange(len(k)) % 7).all() and len(got[0]) == len(k)
+        price = -np.random.default_rng(4).random(len(k)).astype("f4")
+        assert (lm._unpacked_prices(lm._packed_prices(price), len(k)) == price).all()

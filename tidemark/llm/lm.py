@@ -141,6 +141,16 @@ def _unpacked(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     return np.cumsum(step), np.ascontiguousarray(raw[8 * size :].reshape(4, size).T).view("<i4").ravel().astype(np.int64)
 
 
+def _packed_prices(price: np.ndarray) -> bytes:
+    """4-byte numbers, their bytes of a place together, compressed."""
+    return pa.compress(price.astype("<f4").view(np.uint8).reshape(-1, 4).T.tobytes(), codec="zstd", asbytes=True)
+
+
+def _unpacked_prices(data: bytes, size: int) -> np.ndarray:
+    raw = np.frombuffer(pa.decompress(data, decompressed_size=4 * size, codec="zstd", asbytes=True), np.uint8)
+    return np.ascontiguousarray(raw.reshape(4, size).T).view("<f4").ravel()
+
+
 def _part(context, parts: int):
     """The part of a context's latest SPLIT bytes: a number or an array."""
     return (((context * 2654435761) & 0xFFFFFFFF) >> 8) % parts
@@ -331,7 +341,10 @@ def gram_prices(table: DataFrame, upper: DataFrame, parts: int) -> DataFrame:
         shares = [*tops.value, (nodes[0], nodes[1].view(float), nodes[2].view(float)), *[_shares(x, k == len(levels) - 1) for k, x in enumerate(levels)]]
         price = np.concatenate([_log10_bytes(g >> 8, g & 255, shares) for g in np.array_split(gram, len(gram) // 200_000 + 1)]).astype("<f4")
         for batch, data in held:
-            mine = price[np.searchsorted(gram, _unpacked(data)[0])].tobytes()
+            wanted = _unpacked(data)[0]
+            mine = _packed_prices(price[np.searchsorted(gram, wanted)])
+            # Counts have done their work.
+            data = _packed(wanted, np.zeros(len(wanted), int))
             yield pa.RecordBatch.from_arrays([pa.array([batch], pa.int64()), pa.array([data], pa.binary()), pa.array([mine], pa.binary())], names=["batch", "data", "price"])
 
     runs = table.where(F.col("kind") == GRAMS).select("part", "batch", "data")
@@ -389,7 +402,7 @@ def scored(docs: DataFrame) -> DataFrame:
                     now, keys, price, base = batch, [], [], {}
                 if kind == GRAMS:
                     keys.append(_unpacked(data)[0])
-                    price.append(np.frombuffer(priced, "<f4"))
+                    price.append(_unpacked_prices(priced, len(keys[-1])))
                 elif kind == TOKENS:
                     ws, n = _words(data)
                     base.update(zip(ws, np.log10(n + 0.1).tolist(), strict=True))
