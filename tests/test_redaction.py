@@ -1,5 +1,6 @@
 """Redaction: values gone, text kept, bounded time."""
 
+import json
 import time
 from datetime import datetime
 from decimal import Decimal
@@ -74,6 +75,40 @@ def test_log_is_capped_after_redaction(spark):
     assert redact_log(spark.createDataFrame([("  short ",)], "body string"), "body", 100).collect()[0]["body"] == "short"
 
 
+def test_json_logs_are_redacted_field_by_field(spark):
+    body = "q9" * 12
+    inner = f"expected 'DB_PASSWORD=\"{body}\"\nNEXT=1' to be ''"
+    deep = "[" * 100_000 + "]" * 100_000
+    logs = [
+        json.dumps({"testResults": [{"message": inner, "n": 2.0, "ok": None}], "e": [], "o": {}}), "\n" + json.dumps([inner, "été"]) + "\n", '{"broken": "DB_PASSWORD=' + body, '["\\ud800"]',
+        "[NaN]", "", None, deep, '{"a": 1, "a": 2}',
+    ]
+    table = spark.createDataFrame([(i, t, "kept") for i, t in enumerate(logs)], "i int, body string, redact_log_ string")
+    rows = redact_log(table, "body", 8000).collect()
+    got = {r["i"]: r["body"] for r in rows}
+    assert {r["redact_log_"] for r in rows} == {"kept"}
+    assert not any(body[k : k + 6] in (t or "") for t in got.values() for k in range(0, len(body) - 5))
+    first = json.loads(got[0])
+    assert "DB_PASSWORD=" in first["testResults"][0]["message"] and "NEXT=1" in first["testResults"][0]["message"] and '"n": 2,' in got[0]
+    assert json.loads(got[1])[1] == "été" and got[1].startswith('[\n "')
+    assert got[3] == '[\n "\\ud800"\n]' and got[4] == "[NaN]" and got[5] == "" and got[6] is None and got[7] == "[" * 8000 and json.loads(got[8]) == {"a": 2}
+    assert redact_log(table.limit(0), "body", 8000).collect() == []
+
+
+def test_long_logs_cost_a_fixed_prefix(spark):
+    filler = " ".join("ghp_" + f"{k:036d}" for k in range(1800))
+    shrunk = filler + " ghp_" + "z9" * 18
+    table = spark.createDataFrame([(shrunk,)], "body string")
+    out = redact_log(table, "body", 8000).collect()[0]["body"]
+    assert "ghp_" not in out and "z9z9" not in out and out.startswith("[REDACTED] [REDACTED]")
+    # Made of a column, since a constant of 60 MB would stand in the plan.
+    long = spark.createDataFrame([("AWS_SECRET xxxxxxxx\n",)], "line string").select(F.repeat("line", 3_000_000).alias("body"))
+    redact_log(long.select(F.substring("body", 1, 1000).alias("body")), "body", 8000).collect()
+    start = time.time()
+    assert len(redact_log(long, "body", 8000).collect()[0]["body"]) == 8000
+    assert time.time() - start < 5
+
+
 def test_nested_strings(spark):
     table = spark.createDataFrame(
         [(1, {"a": "password: hunter22"}, [("x", ["token=abcdefgh"])], "fine")], "id int, m map<string,string>, s array<struct<n:string,v:array<string>>>, t string"

@@ -306,6 +306,21 @@ def redacted_logs(spark, sf_dir):
     )
 
 
+@named(
+    "redacted_json_logs",
+    "SELECT conv_id, turn, length(log) AS characters, sha1(log) AS digest FROM (SELECT conv_id, turn, substr('{' || chr(10) || ' \"turn\": ' || turn || ',' || chr(10) "
+    "|| ' \"results\": [' || chr(10) || '  {' || chr(10) || '   \"message\": ' || CAST(to_json(coalesce(text, '') || chr(10) || 'DB_PASSWORD=\"[REDACTED]\"' || chr(10) || 'NEXT=1') AS VARCHAR) "
+    "|| chr(10) || '  }' || chr(10) || ' ]' || chr(10) || '}', 1, 8000) AS log FROM conversations)",
+)
+def redacted_json_logs(spark, sf_dir):
+    """Every turn as a JSON log whose message ends in an assignment with a key made of its place; escapes hide its quotes and line breaks."""
+    key = F.concat(F.lit("k7"), F.left(F.md5(F.concat_ws("-", "conv_id", "turn")), F.lit(16)))
+    message = F.concat(F.coalesce("text", F.lit("")), F.lit('\nDB_PASSWORD="'), key, F.lit('"\nNEXT=1'))
+    log = F.to_json(F.struct("turn", F.array(F.struct(message.alias("message"))).alias("results")))
+    logs = table(spark, sf_dir, "conversations").select("conv_id", "turn", log.alias("log"))
+    return R.redact_log(logs, "log", 8000).select("conv_id", "turn", F.length("log").alias("characters"), F.sha1("log").alias("digest"))
+
+
 @named("redacted_conversations", "SELECT conv_id, turn, role, sha1(text) AS digest FROM conversations")
 def redacted_conversations(spark, sf_dir):
     """Every string of nested rows redacted; conversation text holds no credential, so it comes back unchanged."""
