@@ -209,3 +209,13 @@ def test_registered_check_joins_the_scan(spark, files):
 def test_pack_from_rows(spark, files):
     pack = scan.pack_from_rows("mine", [{"check": "standards", "rule": "no-foo", "severity": "info", "message": "foo", "pattern": r"\bfoo\b"}])
     assert scan.find(files({"a.ts": "foo food"}), [pack]).count() == 1
+
+
+def test_explicit_metrics_come_first(spark):
+    listed = '[{"id": "a", "label": "A", "value": 3, "unit": "ms", "trend": "neutral"}, {"id": 5, "label": "B", "value": 1}, {"id": "c", "label": "C", "value": {}}, 7, null, {"id": "d", "label": "D", "value": "12", "unit": "miles"}, {"id": "e", "label": "E", "value": true}, {"id": "f", "label": "F", "value": 0.5}]'
+    rows = [(1, {"metrics": listed, "avgScore": "80"}), (2, {"metrics": '[{"id": "x"}]', "avgScore": "80"}), (3, {"metrics": "no list"}), (4, {"metrics": '{"id": "a"}', "name": "n"}), (5, None)]
+    got = K.snapshot_metrics(spark.createDataFrame(rows, "check int, details map<string,string>"), ["check"]).collect()
+    assert [tuple(r) for r in sorted(got)] == [
+        (1, 1, "a", "A", 3.0, None, "ms", "neutral"), (1, 2, "d", "D", None, "12", None, None), (1, 3, "e", "E", None, "true", None, None), (1, 4, "f", "F", 0.5, None, None, None),
+        (2, 1, "avgScore", "Avg Score", 80.0, None, "score", "higher-is-better"), (4, 1, "name", "Name", None, "n", None, "neutral"),
+    ]

@@ -108,24 +108,49 @@ def normalise_checks(checks: DataFrame, meta: DataFrame) -> DataFrame:
     )
 
 
+# --- fixed values: units and trends a metric may name
+METRIC_UNITS = ("count", "percent", "ms", "bytes", "score")
+METRIC_TRENDS = ("higher-is-better", "lower-is-better", "neutral")
+
+
+def _metric(name: Column, label: Column, number: Column, text: Column, unit: Column, trend: Column) -> Column:
+    return F.struct(name.alias("id"), label.alias("label"), number.alias("value_num"), text.alias("value_str"), unit.alias("unit"), trend.alias("trend"))
+
+
+def _explicit_metric(item: Column) -> Column:
+    """A metric from an item of the list; its id is null unless id and label are strings and the value is a number, string or boolean."""
+
+    def kind(field: str) -> Column:
+        return F.schema_of_variant(F.try_variant_get(item, f"$.{field}", "variant"))
+
+    def text(field: str) -> Column:
+        return F.try_variant_get(item, f"$.{field}", "string")
+
+    number = kind("value").rlike("^(BIGINT|DECIMAL|DOUBLE)")
+    valid = (kind("id") == "STRING") & (kind("label") == "STRING") & (number | kind("value").isin("STRING", "BOOLEAN"))
+    return _metric(
+        F.when(valid, text("id")), text("label"), F.when(number, F.try_variant_get(item, "$.value", "double")), F.when(~number, text("value")),
+        F.when(text("unit").isin(*METRIC_UNITS), text("unit")), F.when(text("trend").isin(*METRIC_TRENDS), text("trend")),
+    )
+
+
 def snapshot_metrics(details: DataFrame, keys: list[str], limit: int = 12) -> DataFrame:
-    """The first twelve scalar details of each check as labelled metrics.
+    """The metrics a check lists itself, all of them; without a valid one, its first twelve scalar details as labelled metrics.
 
-    ``details`` holds one small map per row, so the ranking is done inside the row.
+    ``details`` holds one small map per row, so the ranking is done inside the row. Its value ``metrics``, if any, is the list as JSON.
     """
-    entries = F.filter(F.map_entries("details"), lambda e: ~e["key"].isin(*DETAIL_DENYLIST) & e["value"].isNotNull())
-    metric = details.select(*keys, F.posexplode(F.slice(entries, 1, limit)).alias("position", "_m"))
-    number = F.col("_m.value").try_cast("double")
-    return metric.select(
-        *keys,
-        (F.col("position") + 1).alias("position"),
-        F.col("_m.key").alias("id"),
-        humanise_id(F.col("_m.key")).alias("label"),
-        number.alias("value_num"),
-        F.when(number.isNull(), F.col("_m.value")).alias("value_str"),
-        F.when(number.isNotNull(), metric_unit(F.col("_m.key"))).alias("unit"),
-        metric_trend(F.col("_m.key")).alias("trend"),
-    )
+    listed = F.try_variant_get(F.try_parse_json(F.try_element_at("details", F.lit("metrics"))), "$", "array<variant>")
+    explicit = F.filter(F.transform(listed, _explicit_metric), lambda m: m["id"].isNotNull())
+
+    def detail(e: Column) -> Column:
+        number = e["value"].try_cast("double")
+        return _metric(
+            e["key"], humanise_id(e["key"]), number, F.when(number.isNull(), e["value"]), F.when(number.isNotNull(), metric_unit(e["key"])), metric_trend(e["key"])
+        )
+
+    entries = F.filter(F.map_entries("details"), lambda e: ~e["key"].isin(*DETAIL_DENYLIST, "metrics") & e["value"].isNotNull())
+    metrics = F.when(F.size(explicit) > 0, explicit).otherwise(F.transform(F.slice(entries, 1, limit), detail))
+    return details.select(*keys, F.posexplode(metrics).alias("position", "_m")).select(*keys, (F.col("position") + 1).alias("position"), "_m.*")
 
 
 def weakest(checks: DataFrame, k: int = 3, below: int = 70) -> DataFrame:
