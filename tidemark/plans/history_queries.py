@@ -116,6 +116,21 @@ def snapshot_metrics(spark, sf_dir):
     return K.snapshot_metrics(table(spark, sf_dir, "events").select("event_id", details.alias("details")), ["event_id"])
 
 
+@named(
+    "explicit_metrics",
+    """SELECT event_id, 1::BIGINT AS position, 'load' AS id, 'Load' AS label, floor(value)::DOUBLE AS value_num, NULL::VARCHAR AS value_str, 'ms' AS unit, 'neutral' AS trend FROM events
+    UNION ALL SELECT event_id, 2, 'kind', 'Kind', NULL, event_type, NULL, NULL FROM events""",
+)
+def explicit_metrics(spark, sf_dir):
+    """Every event as a check that lists its metrics: one with unit and trend, one without an id of text, one of text in an unknown unit."""
+    listed = F.concat(
+        F.lit('[{"id": "load", "label": "Load", "unit": "ms", "trend": "neutral", "value": '), F.floor("value").cast("string"),
+        F.lit('}, {"id": 7, "label": "No id", "value": 1}, {"id": "kind", "label": "Kind", "unit": "miles", "value": "'), F.col("event_type"), F.lit('"}]'),
+    )
+    details = F.create_map(F.lit("avgScore"), F.lit("80"), F.lit("metrics"), listed)
+    return K.snapshot_metrics(table(spark, sf_dir, "events").select("event_id", details.alias("details")), ["event_id"])
+
+
 @named(
     "weakest_checks",
     with_views(_LATEST) + """SELECT "check", score FROM (SELECT "check", CAST(floor(avg(score) + 0.5) AS BIGINT) AS score FROM latest WHERE state = 'ran' GROUP BY "check") WHERE score < 70 ORDER BY score, "check" LIMIT 3""",
