@@ -86,6 +86,25 @@ def test_a_clone_is_whole_where_a_third_file_holds_a_part(spark, files):
     assert {(r["path"], r["origin_path"], r["start_line"], r["origin_line"], r["tokens"]) for r in rows} == {("b.ts", "a.ts", 81, 1, 60), ("c.ts", "a.ts", 82, 1, 60), ("c.ts", "b.ts", 2, 1, 200)}
 
 
+def test_token_arrays_equal_the_tokeniser():
+    sources = ["", "const x = 1; // c\n/* b\n */ f(`a ${b}\nc`, 'it''s')\n\"open", "import { a } from './a';\n\nexport const é_1 = \"\\\"\"; /* open\n", "a\r\n\tb // x\n'\\\n' /"]
+    known = C.Vocabulary()
+    code_of = {}
+    for source in sources * 2:
+        expected = C.tokenise(C.blank_imports(source))
+        codes, lines = known.token_arrays(source)
+        assert lines.tolist() == [line for _, line in expected] and len(codes) == len(expected)
+        assert all(code_of.setdefault(token, code) == code for (token, _), code in zip(expected, codes.tolist()))
+    assert len(set(code_of.values())) == len(code_of)
+
+
+def test_windows_are_shuffled_packed(spark, files):
+    """A row per batch and bucket, not one per window of tokens."""
+    tokens = C.token_table(files({f"f{i}": " ".join(f"w{i}x{j}" for j in range(500)) for i in range(20)}).coalesce(1), 50)
+    rows = C._window_buckets(tokens, 50, 3).collect()
+    assert len(rows) <= 3 * 4 and sum(len(r["windows"]) for r in rows) == 20 * 451 * 18
+
+
 def test_the_digest_is_of_the_whole_clone(spark, files):
     import hashlib
 

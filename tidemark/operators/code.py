@@ -208,53 +208,154 @@ def _window_hashes(codes: np.ndarray, width: int, multipliers: tuple) -> np.ndar
     return total[: len(codes) - width + 1]
 
 
-def window_arrays(source: str, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hash and second hash of every window of ``width`` tokens, and the line of every token."""
-    tokens = tokenise(blank_imports(source))
-    if len(tokens) < width:
-        return np.empty(0, np.int64), np.empty(0, np.int32), np.empty(0, np.int32)
-    known: dict[str, int] = {}
-    codes = np.empty(len(tokens), dtype=np.uint64)
-    for i, (token, _) in enumerate(tokens):
-        code = known.get(token)
-        if code is None:
-            digest = hashlib.blake2b(token.encode("utf-8", "surrogatepass"), digest_size=8).digest()
-            code = known[token] = int.from_bytes(digest, "little")
-        codes[i] = code
-    first, second = (_window_hashes(codes, width, m) for m in _MULTIPLIERS)
-    lines = np.fromiter((line for _, line in tokens), dtype=np.int32, count=len(tokens))
-    return first.view(np.int64), (second >> np.uint64(32)).astype(np.uint32).view(np.int32), lines
+# The alternatives of _TOKEN begin with different characters, so words may come first; line breaks are items of their own.
+_ITEM = re.compile(
+    r"\w+|//[^\n]*|/\*.*?(?:\*/|\Z)|\"(?:[^\"\\\n]|\\.)*\"?|'(?:[^'\\\n]|\\.)*'?|`(?:[^`\\]|\\.)*`?|[^\w\s]|\n",
+    re.DOTALL,
+)
+# Distinct tokens a Vocabulary holds before it begins anew.
+KNOWN = 200_000
+
+
+class Vocabulary(dict):
+    """Numbers of the items met so far, each looked up at C speed; per number a 64-bit code, its line breaks and whether it is a token."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.rows: list[tuple[int, int, bool]] = []
+        self.arrays: list[np.ndarray] = []
+
+    def __missing__(self, item: str) -> int:
+        code = int.from_bytes(hashlib.blake2b(item.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
+        self.rows.append((code, item.count("\n"), item != "\n" and not item.startswith(("//", "/*"))))
+        self[item] = len(self)
+        return len(self) - 1
+
+    def token_arrays(self, source: str) -> tuple[np.ndarray, np.ndarray]:
+        """64-bit code and line of every token that :func:`tokenise` finds outside of imports."""
+        if len(self) > KNOWN:
+            self.clear()
+            self.rows, self.arrays = [], []
+        items = _ITEM.findall(blank_imports(source) if "import" in source or "export" in source else source)
+        numbers = np.fromiter(map(self.__getitem__, items), np.int64, len(items))
+        if not self.arrays or len(self.arrays[0]) < len(self):
+            grown = zip(*self.rows, strict=True) if self.rows else ((), (), ())
+            grown = [np.array(list(v), t) for v, t in zip(grown, (np.uint64, np.int32, np.bool_), strict=True)]
+            self.arrays = [np.concatenate((old, new)) for old, new in zip(self.arrays, grown, strict=True)] if self.arrays else grown
+            self.rows = []
+        codes, breaks, kept = (a[numbers] for a in self.arrays)
+        lines = np.cumsum(breaks, dtype=np.int32) - breaks + 1
+        return codes[kept], lines[kept].astype(np.int32)
 
 
 def token_table(files: DataFrame, width: int) -> DataFrame:
-    """Each file with arrays of 96 bits of hash per window of ``width`` tokens (``hash``, ``tag``) and the ``line`` of every token."""
+    """Each file of ``width`` tokens or more with a 64-bit ``code`` and the ``line`` of every token."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = Vocabulary()
         for batch in batches:
-            found = [window_arrays(text or "", width) for text in batch.column("content").to_pylist()]
-            kept = pa.array([len(f[0]) > 0 for f in found], pa.bool_())
-            found = [f for f in found if len(f[0])]
+            found = [known.token_arrays(text or "") for text in batch.column("content").to_pylist()]
+            kept = pa.array([len(f[0]) >= width for f in found], pa.bool_())
+            found = [f for f in found if len(f[0]) >= width]
             lists = []
-            for k, kind in enumerate((pa.int64(), pa.int32(), pa.int32())):
+            for k, kind in enumerate((pa.int64(), pa.int32())):
                 ends = np.concatenate(([0], np.cumsum([len(f[k]) for f in found]))).astype(np.int32)
-                lists.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([f[k] for f in found]) if found else [], kind)))
-            yield pa.RecordBatch.from_arrays([*batch.filter(kept).columns, *lists], names=["project", "path", "content", "hash", "tag", "line"])
+                values = np.concatenate([f[k] for f in found]) if found else np.empty(0, np.int64)
+                lists.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(values.view(np.int64) if k == 0 else values, kind)))
+            yield pa.RecordBatch.from_arrays([*batch.filter(kept).columns, *lists], names=["project", "path", "content", "code", "line"])
+
+    return files.select("project", "path", "content").mapInArrow(run, "project string, path string, content string, code array<bigint>, line array<int>")
+
 
-    return files.select("project", "path", "content").mapInArrow(run, "project string, path string, content string, hash array<bigint>, tag array<int>, line array<int>")
+# Windows that one task sorts at a time.
+BUCKET = 1 << 21
+_WINDOW = np.dtype([("hash", "<u8"), ("tag", "<u2"), ("file", "<u4"), ("pos", "<u4")])
 
 
-def maximal_runs(here: list[np.ndarray], there: list[np.ndarray], shifts: list[int]) -> list[tuple[int, int, int]]:
-    """Start, stop and shift of every run of positions p where ``here`` at p equals ``there`` at p - shift, apart from those inside another run.
+def _window_buckets(tokens: DataFrame, width: int, buckets: int) -> DataFrame:
+    """The windows of all files dealt to ``buckets`` by their hash, a row per batch of files and bucket.
 
-    Both are lists of arrays that must all agree. Of runs over the same positions the least shift stays.
+    A row has the files whose windows it holds, and for each window 80 bits of hash, its place among these files and its position.
+    """
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            offsets = batch.column("code").offsets.to_numpy()
+            codes = batch.column("code").values.to_numpy().view(np.uint64)
+            parts = []
+            for i in range(batch.num_rows):
+                own = codes[offsets[i] : offsets[i + 1]]
+                rows = np.empty(len(own) - width + 1, _WINDOW)
+                rows["hash"] = _window_hashes(own, width, _MULTIPLIERS[0])
+                rows["tag"] = _window_hashes(own, width, _MULTIPLIERS[1]) >> np.uint64(48)
+                rows["file"], rows["pos"] = i, np.arange(len(rows))
+                parts.append(rows)
+            if not parts:
+                continue
+            rows = np.concatenate(parts)
+            bucket = ((rows["hash"] >> np.uint64(16)) % np.uint64(buckets)).astype(np.int32)
+            rows = rows[np.argsort(bucket, kind="stable")]
+            ends = np.concatenate(([0], np.cumsum(np.bincount(bucket, minlength=buckets))))
+            for b in range(buckets):
+                part = rows[ends[b] : ends[b + 1]].copy()
+                if len(part):
+                    used, part["file"] = np.unique(part["file"], return_inverse=True)
+                    names = [batch.column(c).take(pa.array(used)).to_pylist() for c in ("project", "path")]
+                    part["file"] = np.diff(part["file"], prepend=np.uint32(0))
+                    # Byte by byte, as the upper bytes of files and positions are nearly all zero and compress.
+                    packed = part.view(np.uint8).reshape(-1, _WINDOW.itemsize).T.tobytes()
+                    yield pa.RecordBatch.from_pydict({"bucket": [b], "projects": [names[0]], "paths": [names[1]], "windows": [packed]}, schema)
+
+    text = pa.list_(pa.string())
+    schema = pa.schema([("bucket", pa.int32()), ("projects", text), ("paths", text), ("windows", pa.binary())])
+    return tokens.select("project", "path", "code").mapInArrow(deal, "bucket int, projects array<string>, paths array<string>, windows binary")
+
+
+def _links(table: pa.Table, width: int) -> pa.Table:
+    """Links between the windows of a bucket and the first place of each, as distinct diagonals of two files."""
+    names, chunks = {}, []
+    for projects, paths, packed in zip(*(table.column(c).to_pylist() for c in ("projects", "paths", "windows")), strict=True):
+        local = np.array([names.setdefault(n, len(names)) for n in zip(projects, paths, strict=True)], np.uint32)
+        rows = np.frombuffer(packed, np.uint8).reshape(_WINDOW.itemsize, -1).T.copy().view(_WINDOW).ravel()
+        rows["file"] = local[np.cumsum(rows["file"])]
+        chunks.append(rows)
+    rows = np.concatenate(chunks)
+    # Files in the order of project and path as bytes, as Spark orders strings.
+    order = sorted(names, key=lambda n: (n[0].encode(), n[1].encode()))
+    rank = np.empty(len(order), np.uint32)
+    rank[[names[n] for n in order]] = np.arange(len(order))
+    project = np.cumsum([i > 0 and order[i][0] != order[i - 1][0] for i in range(len(order))])
+    # Windows that occur once are most of them, and need no order of their files.
+    hashes = np.sort(rows["hash"])
+    again = np.unique(hashes[1:][hashes[1:] == hashes[:-1]])
+    rows = rows[np.isin(rows["hash"], again)]
+    rows["file"] = rank[rows["file"]]
+    owner = project[rows["file"]]
+    rows = rows[np.lexsort((rows["pos"], rows["file"], rows["tag"], rows["hash"], owner))]
+    owner = project[rows["file"]]
+    starts = np.ones(len(rows), bool)
+    starts[1:] = (owner[1:] != owner[:-1]) | (rows["hash"][1:] != rows["hash"][:-1]) | (rows["tag"][1:] != rows["tag"][:-1])
+    origin = rows[np.maximum.accumulate(np.where(starts, np.arange(len(rows)), 0))] if len(rows) else rows
+    here, there = rows["pos"].astype(np.int64), origin["pos"].astype(np.int64)
+    linked = (rows["file"] != origin["file"]) | (here >= there + width)
+    diagonals = np.unique(np.stack([rows["file"][linked].astype(np.int64), origin["file"][linked].astype(np.int64), (here - there)[linked]], axis=1), axis=0)
+    column = lambda k, part: pa.array([n[part] for n in order], pa.string()).take(pa.array(diagonals[:, k]))
+    return pa.table({"project": column(0, 0), "path": column(0, 1), "origin_path": column(1, 1), "shift": pa.array(diagonals[:, 2], pa.int32())})
+
+
+def maximal_runs(here: np.ndarray, there: np.ndarray, shifts: list[int], width: int) -> list[tuple[int, int, int]]:
+    """First and last window and shift of every run of windows of ``width`` codes at p in ``here`` and p - shift in ``there`` that are equal, apart from those inside another run.
+
+    Of runs over the same positions the least shift stays.
     """
     runs = []
     for shift in shifts:
-        low, high = max(shift, 0), min(len(here[0]), len(there[0]) + shift)
-        same = np.flatnonzero(np.all([x[low:high] == y[low - shift : high - shift] for x, y in zip(here, there, strict=True)], axis=0)) + low
-        if len(same):
-            breaks = np.flatnonzero(np.diff(same) > 1)
-            runs += zip(same[np.append(0, breaks + 1)].tolist(), same[np.append(breaks, len(same) - 1)].tolist(), [shift] * (len(breaks) + 1), strict=True)
+        low, high = max(shift, 0), min(len(here), len(there) + shift)
+        same = np.concatenate(([False], here[low:high] == there[low - shift : high - shift], [False]))
+        edges = np.flatnonzero(same[1:] != same[:-1]) + low
+        for start, end in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True):
+            if end - start >= width:
+                runs.append((start, end - width, shift))
     kept, reached = [], -1
     for start, stop, shift in sorted(runs, key=lambda r: (r[0], -r[1], r[2])):
         if stop > reached:
@@ -277,20 +378,25 @@ def clones(files: DataFrame, min_tokens: int = 50) -> DataFrame:
     occurred in a third file before. Runs inside another run of the same two files are left out. A window that overlaps its own
     origin is repetition inside a run of equal tokens and is not linked.
 
-    Files are tokenised once, into a written table of arrays. A pair of files is a row with the arrays of both: a task holds one pair at a time,
+    Files are tokenised once, into a written table of arrays. Their windows are packed, a row for each batch of files and bucket of hashes, so a
+    window takes 18 bytes of the one shuffle it goes through, before compression; a task sorts the windows of a bucket. Only files with a link are gathered for the
+    comparison. A pair of files is a row with the arrays of both: a task holds one pair at a time,
     and n copies of one origin are n rows. ``digest`` is that of the clone's whole lines with white space made single blanks.
     """
     tokens = written(token_table(files, min_tokens), "clone-tokens")
-    windows = tokens.select("project", "path", F.posexplode(F.arrays_zip("hash", "tag")).alias("pos", "_w")).select("project", "path", "pos", "_w.*")
-    key = ["project", "hash", "tag"]
-    first = windows.groupBy(*key).agg(F.min(F.struct("path", "pos")).alias("origin"), F.count(F.lit(1)).alias("copies")).where(F.col("copies") > 1)
-    # Written, so that Spark knows its size and sends it to the windows where it is small.
-    first = written(first.select(*key, "origin"), "clone-origins")
-    linked = windows.join(first, key).where((F.col("path") != F.col("origin.path")) | (F.col("pos") >= F.col("origin.pos") + min_tokens))
-    pairs = linked.groupBy("project", "path", F.col("origin.path").alias("origin_path")).agg(F.collect_set(F.col("pos") - F.col("origin.pos")).alias("shifts"))
-    origins = tokens.select("project", F.col("path").alias("origin_path"), *[F.col(c).alias(f"origin_{c}") for c in ("hash", "tag", "line")])
-    both = pairs.join(tokens, ["project", "path"]).join(origins, ["project", "origin_path"])
-    columns = ["project", "path", "origin_path", "content", "shifts", "hash", "tag", "line", "origin_hash", "origin_tag", "origin_line"]
+    owned = tokens.where(F.col("project").isNotNull() & F.col("path").isNotNull())
+    windows = owned.agg(F.sum(F.size("code") - (min_tokens - 1))).first()[0] or 0
+    buckets = max(files.sparkSession.sparkContext.defaultParallelism, -(-windows // BUCKET))
+    dealt = _window_buckets(owned, min_tokens, buckets)
+    links = dealt.groupBy("bucket").applyInArrow(lambda table: _links(table, min_tokens), "project string, path string, origin_path string, shift int")
+    pairs = links.groupBy("project", "path", "origin_path").agg(F.collect_set("shift").alias("shifts"))
+    pairs = written(pairs, "clone-pairs")
+    # Written, so that Spark knows its size and sends it to the files where it is small.
+    involved = written(pairs.select("project", "path").union(pairs.select("project", "origin_path")).distinct(), "clone-files")
+    tokens = written(tokens.join(involved, ["project", "path"], "left_semi"), "clone-arrays")
+    origins = tokens.select("project", F.col("path").alias("origin_path"), *[F.col(c).alias(f"origin_{c}") for c in ("code", "line")])
+    both = pairs.join(origins, ["project", "origin_path"]).join(tokens, ["project", "path"])
+    columns = ["project", "path", "origin_path", "content", "shifts", "code", "line", "origin_code", "origin_line"]
     names = ["project", "path", "origin_path", "digest", "start_line", "end_line", "origin_line", "tokens", "lines"]
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -298,11 +404,11 @@ def clones(files: DataFrame, min_tokens: int = 50) -> DataFrame:
             rows = []
             for i in range(batch.num_rows):
                 project, path, origin_path, content = (batch.column(k)[i].as_py() for k in range(4))
-                shifts, *arrays = (batch.column(k)[i].values.to_numpy() for k in range(4, 11))
+                shifts, codes, lines, origin_codes, origin_lines = (batch.column(k)[i].values.to_numpy() for k in range(4, 9))
                 text = content.split("\n")
-                for start, stop, shift in maximal_runs(arrays[:2], arrays[3:5], shifts.tolist()):
-                    begin, end = int(arrays[2][start]), int(arrays[2][stop + min_tokens - 1])
-                    rows.append((project, path, origin_path, _snippet_digest(text[begin - 1 : end]), begin, end, int(arrays[5][start - shift]), stop - start + min_tokens, end - begin + 1))
+                for start, stop, shift in maximal_runs(codes, origin_codes, shifts.tolist(), min_tokens):
+                    begin, end = int(lines[start]), int(lines[stop + min_tokens - 1])
+                    rows.append((project, path, origin_path, _snippet_digest(text[begin - 1 : end]), begin, end, int(origin_lines[start - shift]), stop - start + min_tokens, end - begin + 1))
             yield pa.RecordBatch.from_pydict(dict(zip(names, zip(*rows, strict=True) if rows else [[]] * len(names), strict=True)), schema)
 
     text, number = pa.string(), pa.int32()
