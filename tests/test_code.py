@@ -198,6 +198,19 @@ def test_similar_long_names(spark):
         assert {(r["name_a"], r["name_b"], r["distance"]) for r in N.similar_names(table, crowd=crowd).collect()} == expected
 
 
+def test_component_files_shuffle_no_words(spark):
+    from tidemark.operators import textmetrics as M
+    from tidemark.plans.code_queries import component_files
+
+    rows = [("src1", "en", 1, "Ab ab Cd word"), ("src1", "en", 1, "ab other"), ("x", "de", 2, "LONG long ab"), ("x", "de", None, "gone"), (None, "de", 3, "gone"), ("x", None, 4, "gone"), ("x", "de", 5, None)]
+    found = component_files(spark.createDataFrame(rows, "source string, lang string, doc_id bigint, text string"))
+    expected = [("src1", "en/ab1.tsx"), ("src1", "en/cd1.tsx"), ("src1", "en/other1.tsx"), ("src1", "en/word1.tsx"), ("x", "de/Long2.tsx"), ("x", "de/ab2.tsx")]
+    assert sorted((r["project"], r["path"]) for r in found.collect()) == expected
+    names = [("p", "a/b.tsx"), ("p", "a/.tsx"), ("p", "a/..tsx"), ("p", "a.b/C.d.jsx"), ("p", "x.ts"), ("p", "a.b.tsx"), ("p", "main.tsx"), ("p", "D.tsx"), ("p", "E.tsx")]
+    files = spark.createDataFrame(names, "project string, path string").selectExpr("*", "'export const A = 1' AS content")
+    assert sorted(r["path"] for r in M.naming_convention(files).collect()) == ["a.b.tsx", "a/b.tsx"]
+
+
 def test_synonyms_count_pairs(spark):
     names = ["userUtils", "userHelpers", "dateUtils", "types", "models", "interfaces"]
     table = spark.createDataFrame([("p", "d", n.lower()) for n in names], "project string, dir string, name string")

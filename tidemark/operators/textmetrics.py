@@ -18,7 +18,7 @@ from tidemark.catalog.tables import (
 )
 from tidemark.functions import scoring as S
 from tidemark.functions.regex import java
-from tidemark.functions.text import basename, dirname, extension, stem
+from tidemark.functions.text import basename, dirname, stem
 from tidemark.operators.skew import numbered_runs, top_n_per_key
 
 CHARS_PER_TOKEN = 3.5
@@ -245,8 +245,10 @@ def large_files(files: DataFrame, soft_limit: int = 300) -> DataFrame:
 
 def naming_convention(files: DataFrame) -> DataFrame:
     """Lower-case component files of projects whose components are mostly Pascal case."""
-    ext, base = extension(F.col("path")), stem(F.col("path"))
-    components = files.where(ext.isin(".tsx", ".jsx")).select("project", "path", "content", base.alias("base"))
+    # Both endings have four characters, so extension and stem are plain pieces of the name.
+    name, rest = basename(F.col("path")), F.length(basename(F.col("path"))) - 4
+    component = (F.endswith(name, F.lit(".tsx")) | F.endswith(name, F.lit(".jsx"))) & (rest > 0) & (F.substr(name, rest, F.lit(1)) != ".")
+    components = files.where(component).select("project", "path", "content", F.substr(name, F.lit(1), rest).alias("base"))
     style = components.groupBy("project").agg(
         F.count(F.lit(1)).alias("n"), F.count_if(F.col("base").rlike("^[A-Z]")).alias("pascal")
     ).where(~((F.col("n") >= 3) & (F.col("pascal") < F.col("n") / 2)))

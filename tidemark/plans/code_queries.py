@@ -16,7 +16,7 @@ from tidemark.operators import rules as E
 from tidemark.operators import textmetrics as M
 from tidemark.plans.registry import named
 from tidemark.plans.views import FACTS, LINES, MODULES, TESTS, quoted, with_views
-from tidemark.session import spread
+from tidemark.session import spread, written
 from tidemark.sources import policy as L
 from tidemark.sources.corpus import event_modules, event_number, event_tests, policy_files, table
 
@@ -351,6 +351,25 @@ _NAMING = """words AS (SELECT source, lang, doc_id, unnest(regexp_extract_all(te
   files AS (SELECT DISTINCT source AS project, lang || '/' || base || doc_id || '.tsx' AS path, base FROM (SELECT *, CASE WHEN source IN ('src1', 'src2', 'src3') OR len(word) < 4 THEN lower(word) ELSE upper(word[1]) || lower(word[2:]) END AS base FROM words))"""
 
 
+def component_files(documents: DataFrame) -> DataFrame:
+    """(project, path) of the component files, each once; a document without source, language or number has none.
+
+    A path tells its document, so words are made distinct inside each text. Only texts of documents that
+    come more than once are shuffled, a row per word.
+    """
+    key = ["source", "lang", "doc_id"]
+    documents = documents.select(*key, "text").na.drop(subset=key)
+    # Written, so that Spark knows its size and sends it to the texts where it is small.
+    repeated = written(documents.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(*key), "repeated-documents")
+    lower = F.col("source").isin("src1", "src2", "src3")
+    words = F.array_distinct(F.regexp_extract_all("text", F.lit("([A-Za-z]{2,})")))
+    bases = F.array_distinct(F.transform(words, lambda w: F.when(lower | (F.length(w) < 4), F.lower(w)).otherwise(F.initcap(w))))
+    path = F.concat("lang", F.lit("/"), "base", "doc_id", F.lit(".tsx")).alias("path")
+    paths = lambda rows: rows.select(*key, F.explode(bases).alias("base")).select(F.col("source").alias("project"), path)
+    once, again = documents.join(repeated, key, "left_anti"), documents.join(repeated, key, "left_semi")
+    return paths(once).unionByName(paths(again).distinct())
+
+
 @named(
     "naming_convention",
     with_views(_NAMING) + """, s AS (SELECT project, count(*) AS n, count(*) FILTER (regexp_matches(base, '^[A-Z]')) AS p FROM files GROUP BY project)
@@ -358,9 +377,7 @@ _NAMING = """words AS (SELECT source, lang, doc_id, unnest(regexp_extract_all(te
 )
 def naming_convention(spark, sf_dir):
     """Component files named after the words of each document, in lower case for three sources and for short words."""
-    words = table(spark, sf_dir, "documents").select("source", "lang", "doc_id", F.explode(F.regexp_extract_all("text", F.lit("([A-Za-z]{2,})"))).alias("word"))
-    base = F.when(F.col("source").isin("src1", "src2", "src3") | (F.length("word") < 4), F.lower("word")).otherwise(F.initcap("word"))
-    files = words.select(F.col("source").alias("project"), F.concat("lang", F.lit("/"), base, "doc_id", F.lit(".tsx")).alias("path")).distinct()
+    files = component_files(table(spark, sf_dir, "documents"))
     return M.naming_convention(files.withColumn("content", F.lit("export function Card() {}")))
 
 
