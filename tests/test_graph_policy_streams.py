@@ -245,6 +245,62 @@ def test_windows_late_rows_and_input_add_up(spark, tmp_path, slide):
     assert sum(r["kind"] == "window" for r in found) == len(windows)
 
 
+class _CountedState:
+    """A list state and its handle that count round trips."""
+
+    def __init__(self):
+        self.rows, self.trips, self.timers = [], 0, []
+
+    def getListState(self, name, schema):
+        return self
+
+    def registerTimer(self, at):
+        self.trips += 1
+        self.timers.append(at)
+
+    def exists(self):
+        self.trips += 1
+        return bool(self.rows)
+
+    def appendList(self, rows):
+        self.trips += 1
+        self.rows += rows
+
+    def get(self):
+        self.trips += 1
+        return iter(self.rows)
+
+    def clear(self):
+        self.trips += 1
+        self.rows = []
+
+    def getCurrentWatermarkInMs(self):
+        return 0
+
+
+def test_round_trips_of_streams_dont_grow_with_keys():
+    from pyspark.sql import Row
+
+    state = _CountedState()
+    stretch = J.ScoreStretch("string")
+    stretch.init(state)
+    for turn in range(2):
+        rows = [Row(project=f"p{i}", check="c", at=turn, scan_id=turn, score=turn) for i in range(100)]
+        assert not list(stretch.handleInputRows((7, 60), iter(rows), state))
+    found = list(stretch.handleExpiredTimer((7, 60), state, None))
+    assert sum(r["kind"] == "change" for r in found) == sum(r["kind"] == "edge" for r in found) == 100
+    assert state.trips <= 7 and state.timers == [60]
+    state = _CountedState()
+    window = J.ScoreWindow("string")
+    window.init(state)
+    for turn in range(2):
+        rows = [Row(project=f"p{i}", scans=1, lowest=turn or None, total=turn or None) for i in range(100)]
+        assert not list(window.handleInputRows((7, 0, 60), iter(rows), state))
+    found = list(window.handleExpiredTimer((7, 0, 60), state, None))
+    assert {(r["kind"], r["start"], r["scans"], r["lowest"], r["total"]) for r in found} == {("window", 0, 2, 1, 1)} and len(found) == 100
+    assert state.trips <= 7
+
+
 def test_replays_are_cut_into_several_micro_batches(spark):
     from tidemark.plans import stream_queries as Q
 

@@ -44,33 +44,53 @@ def _micros(length: str) -> int:
     return int(pd.Timedelta(length) / pd.Timedelta(microseconds=1))
 
 
+LANES = 256
+# Lanes of the stretches: rows of many keys are held together, so that calls and round trips to the state don't grow with the number of keys.
+STRETCH_LANES = 1024
+
+
+def _lane(count: int, *columns: str):
+    return F.pmod(F.xxhash64(*columns), F.lit(count)).alias("lane")
+
+
+def _in_order(rows) -> list[tuple]:
+    return sorted(rows, key=lambda r: tuple((v is not None, v) for v in r))
+
+
 class _Stretch(StatefulProcessor):
-    """Holds the rows of one key and stretch of time until the watermark passes its end, then hands them on in order, all at once.
+    """Holds the rows of one lane of keys and stretch of time until the watermark passes its end, then hands them on key by key in order, all at once.
 
     A row that comes for a stretch already closed is late: it changes nothing and goes out as such. Memory and state of a
-    key are bounded by a stretch, and a busy key's stretches lie in different tasks.
+    lane are bounded by a stretch, and a busy key's stretches lie in different tasks. Rows begin with project and check.
     """
 
     held_schema = ""
     columns: tuple[str, ...] = ()
 
+    def __init__(self, kind: str) -> None:
+        self.kind = kind
+
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.held = handle.getListState("held", self.held_schema)
+        self.held = handle.getListState("held", f"project {self.kind}, check string, {self.held_schema}")
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        fields = [tuple(row[c] for c in self.columns) for row in rows]
+        fields = [tuple(row[c] for c in ("project", "check", *self.columns)) for row in rows]
         if key[-1] <= timerValues.getCurrentWatermarkInMs():
-            yield from self.late(key, fields)
+            yield from self._by_key(self.late, key, fields)
         else:
             if not self.held.exists():
                 self.handle.registerTimer(key[-1])
             self.held.appendList(fields)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        rows = sorted(self.held.get(), key=lambda r: tuple((v is not None, v) for v in r))
+        rows = [tuple(r) for r in self.held.get()]
         self.held.clear()
-        yield from self.closed(key, rows)
+        yield from self._by_key(self.closed, key, rows)
+
+    def _by_key(self, found, key, rows: list[tuple]) -> Iterator[Row]:
+        for (project, check), own in groupby(_in_order(rows), lambda r: r[:2]):
+            yield from found((project, check, key[-1]), [r[2:] for r in own])
 
     def late(self, key, rows: list[tuple]) -> list[Row]:
         raise NotImplementedError
@@ -82,7 +102,6 @@ class _Stretch(StatefulProcessor):
         pass
 
 
-LANES = 256
 KEY = ("key_project", "key_check", "lane")
 
 
@@ -170,8 +189,8 @@ def live_delta(scans: DataFrame, patience: str = "1 hour", span: str = "1 day",
     kept = scans.select("project", "check", "scan_ts", "scan_id", "score")
     kind = kept.schema["project"].dataType.simpleString()
     row = SCORE_ROW.format(kind)
-    closed = _dealt(kept, "scan_ts", patience, span).groupBy("project", "check", "closes").transformWithState(
-        ScoreStretch(), outputStructType=f"{row}, closes bigint, key_project {kind}, key_check string, lane bigint", outputMode="append", timeMode="EventTime"
+    closed = _dealt(kept, "scan_ts", patience, span).select("*", _lane(STRETCH_LANES, "project", "check")).groupBy("lane", "closes").transformWithState(
+        ScoreStretch(kind), outputStructType=f"{row}, closes bigint, key_project {kind}, key_check string, lane bigint", outputMode="append", timeMode="EventTime"
     )
     joined = closed.groupBy(*KEY).transformWithState(
         ScoreChain(ttl_ms), outputStructType=row, outputMode="append", timeMode="ProcessingTime" if ttl_ms else "None"
@@ -257,8 +276,8 @@ def live_finding_delta(findings: DataFrame, patience: str = "1 hour", span: str
     kept = findings.select("project", "check", "scan_ts", "scan_id", "fingerprint")
     kind = kept.schema["project"].dataType.simpleString()
     row = FINDING_ROW.format(kind)
-    closed = _dealt(kept, "scan_ts", patience, span).groupBy("project", "check", "closes").transformWithState(
-        FindingStretch(), outputStructType=f"{row}, closes bigint, key_project {kind}, key_check string, lane bigint", outputMode="append", timeMode="EventTime"
+    closed = _dealt(kept, "scan_ts", patience, span).select("*", _lane(STRETCH_LANES, "project", "check")).groupBy("lane", "closes").transformWithState(
+        FindingStretch(kind), outputStructType=f"{row}, closes bigint, key_project {kind}, key_check string, lane bigint", outputMode="append", timeMode="EventTime"
     )
     joined = closed.groupBy(*KEY).transformWithState(
         FindingChain(ttl_ms), outputStructType=row, outputMode="append", timeMode="ProcessingTime" if ttl_ms else "None"
@@ -267,32 +286,43 @@ def live_finding_delta(findings: DataFrame, patience: str = "1 hour", span: str
 
 
 class ScoreWindow(StatefulProcessor):
-    """Sums of one project and window until the watermark passes its end; what comes later goes out as late."""
+    """Sums of one window and lane of projects until the watermark passes its end; what comes later goes out as late."""
+
+    def __init__(self, kind: str) -> None:
+        self.kind = kind
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.sums = handle.getValueState("sums", "scans bigint, lowest bigint, total bigint")
+        self.sums = handle.getListState("sums", f"project {self.kind}, scans bigint, lowest bigint, total bigint")
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        parts = [(r["scans"], r["lowest"], r["total"]) for r in rows]
-        if key[2] <= timerValues.getCurrentWatermarkInMs():
-            yield self._row("late", key, self._joined(parts))
-            return
-        stored = self.sums.get()
-        self.sums.update(self._joined([*parts, stored] if stored else parts))
-        if not stored:
-            self.handle.registerTimer(key[2])
+        sums = self._joined((r["project"], r["scans"], r["lowest"], r["total"]) for r in rows)
+        if key[-1] <= timerValues.getCurrentWatermarkInMs():
+            yield from self._rows("late", key, sums)
+        else:
+            if not self.sums.exists():
+                self.handle.registerTimer(key[-1])
+            self.sums.appendList(sums)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        yield self._row("window", key, self.sums.get())
+        sums = self._joined(tuple(r) for r in self.sums.get())
         self.sums.clear()
-
-    def _joined(self, parts: list[tuple]) -> tuple:
-        known = [(low, total) for _, low, total in parts if low is not None]
-        return sum(p[0] for p in parts), min(k[0] for k in known) if known else None, sum(k[1] for k in known) if known else None
-
-    def _row(self, kind: str, key, sums: tuple) -> Row:
-        return Row("kind", "project", "start", "scans", "lowest", "total")(kind, key[0], key[1], *sums)
+        yield from self._rows("window", key, sums)
+
+    def _joined(self, parts) -> list[tuple]:
+        """One row per project."""
+        sums: dict = {}
+        for project, scans, lowest, total in parts:
+            n, low, all_ = sums.get(project, (0, None, None))
+            if lowest is not None:
+                low, all_ = (lowest, total) if low is None else (min(low, lowest), all_ + total)
+            sums[project] = (n + scans, low, all_)
+        return [(project, *s) for project, s in sums.items()]
+
+    def _rows(self, kind: str, key, sums: list[tuple]) -> Iterator[Row]:
+        out = Row("kind", "project", "start", "scans", "lowest", "total")
+        for project, *found in sums:
+            yield out(kind, project, key[1], *found)
 
     def close(self) -> None:
         pass
@@ -321,8 +351,8 @@ def live_trend(scans: DataFrame, length: str, slide: str | None = None, patience
 
     parts = rows.mapInArrow(summed, f"project {kind}, start bigint, scans bigint, lowest bigint, total bigint")
     parts = parts.withColumn("closes", F.floor((F.col("start") + long) / 1000).cast("bigint"))
-    windows = parts.groupBy("project", "start", "closes").transformWithState(
-        ScoreWindow(), outputStructType=f"kind string, project {kind}, start bigint, scans bigint, lowest bigint, total bigint", outputMode="append", timeMode="EventTime"
+    windows = parts.select("*", _lane(LANES, "project")).groupBy("lane", "start", "closes").transformWithState(
+        ScoreWindow(kind), outputStructType=f"kind string, project {kind}, start bigint, scans bigint, lowest bigint, total bigint", outputMode="append", timeMode="EventTime"
     )
     return windows.select("kind", "project", F.timestamp_micros("start").alias("window_start"), "scans", "lowest", "total")
 
