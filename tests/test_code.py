@@ -198,6 +198,50 @@ def test_similar_long_names(spark):
         assert {(r["name_a"], r["name_b"], r["distance"]) for r in N.similar_names(table, crowd=crowd).collect()} == expected
 
 
+@pytest.mark.parametrize("piece, size, keys, pairs", [(1, 1, 64, 4), (40, 100, 1, 16), (200, 1 << 20, 1 << 22, 1)])
+def test_similar_names_in_pieces(spark, monkeypatch, piece, size, keys, pairs):
+    """Directories cut into pieces, pieces read, keyed and paired a few rows at a time: each pair once."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+    for limit, value in (("BYTES", size), ("KEYS", keys), ("PAIRS", pairs), ("ROWS", pairs)):
+        monkeypatch.setattr(N, limit, value)
+    rng = random.Random(piece)
+    long = "b" * 13 + "ac" * 9
+    words = ["".join(rng.choice("aé\U0001f600") for _ in range(rng.randint(2, 6))) for _ in range(90)]
+    words += [long[:k] + rng.choice("ab") * rng.randint(0, 2) + long[k + rng.randint(0, 2) :] for k in range(0, len(long), 3)]
+    names = [(p, d, n) for n in words for p, d in (("p", "d"), ("p", "e"), (None, "d"), ("p", None)) if d != "e" or rng.random() < 0.5]
+    expected = []
+    for where in (("p", "d"), ("p", "e")):
+        own = sorted({n for p, d, n in names if (p, d) == where and len(n) >= 3})
+        found = [(a, b, distance(a, b)) for i, a in enumerate(own) for b in own[i + 1 :]]
+        expected += [(*where, a, b, d) for a, b, d in found if d == 1 or (d == 2 and min(len(a), len(b)) >= 5)]
+    table = spark.createDataFrame(names + [("p", "d", None)], "project string, dir string, name string").repartition(3)
+    for crowd in (1, 64):
+        assert sorted(tuple(r) for r in N.similar_names(table, crowd=crowd, piece=piece).collect()) == sorted(expected)
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_similar_names_shuffles_names_only(spark):
+    """Names go through the shuffle a few times, whatever their length; before, as dozens of keys on every level."""
+    rng = random.Random(3)
+    own = sorted({"".join(rng.choice("abcdefgh") for _ in range(rng.randint(3, 30))) for _ in range(400)})
+    names = spark.createDataFrame([("p", "d", n) for n in own], "project string, dir string, name string")
+    assert "hashpartitioning(project" in (plan := N.similar_names(names)._jdf.queryExecution().executedPlan().toString())
+    assert plan.count("Exchange ") <= 8 and "hashpartitioning(key" not in plan and "dir#" in plan
+    whole = [tuple(r) for r in N._pieces(names, N.PIECE).select("name", "kept").collect()]
+    assert sorted(whole) == [(n, True) for n in own]
+    cut = N._pieces(names, 500).collect()
+    assert sorted(r["name"] for r in cut if r["kept"]) == own and len(cut) <= 4 * len(own)
+
+
+def test_similar_names_of_great_length(spark):
+    rng = random.Random(4)
+    base = "".join(rng.choice("abc") for _ in range(5000))
+    own = [base, base[:100] + base[101:], base + "xy", "q" + base[1:-1] + "?", base[::-1]]
+    expected = {(*sorted((base, own[i])), d) for i, d in ((1, 1), (2, 2), (3, 2))}
+    table = spark.createDataFrame([("p", "d", n) for n in own], "project string, dir string, name string")
+    assert {(r["name_a"], r["name_b"], r["distance"]) for r in N.similar_names(table).collect()} == expected
+
+
 def test_component_files_shuffle_no_words(spark):
     from tidemark.operators import textmetrics as M
     from tidemark.plans.code_queries import component_files
