@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -98,33 +99,83 @@ def _cuts(length: int, parts: int) -> np.ndarray:
     return np.array([at[a], at[a + 1], at[np.maximum(b, a + 1)], at[b + 1], np.arange(1, len(a) + 1)])
 
 
-def _rounds(names: _Names, short: np.ndarray, long: np.ndarray, growth: int, parts: int) -> Iterator[tuple]:
-    """Keys by which names find each other: rows and keys of them, whether a row stands for a shorter and for a longer name, and the cuts.
+class _Keys(NamedTuple):
+    """Keys of some rows of a round, the first of which is ``first``, one for each cut; ``always``: they meet those of all cuts."""
+
+    first: int
+    of: Callable[[np.ndarray], np.ndarray]
+    cuts: np.ndarray
+    always: bool = False
+
+
+def _rounds(names: _Names, short: np.ndarray, long: np.ndarray, growth: int, parts: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, list[_Keys]]]:
+    """Keys by which names find each other: rows, whether a row stands for a shorter and for a longer name, and the keys.
 
     Between two left-out parts the text moved by the edits of the first one, by one character at most where both
     parts hold an edit; where both edits lie in one part, the choice with its neighbour has nothing in between.
     """
     length = int(names.length[short[0]])
     cuts = _cuts(length, parts)
-    apart = cuts[:, cuts[2] > cuts[1]]
-    either = np.union1d(short, long)
+    rows = np.concatenate((short, long))
+    is_short = np.arange(len(rows)) < len(short)
     if growth == 0:
+        either = np.union1d(short, long)
         roles = np.isin(either, short), np.isin(either, long)
-        yield either, [(names.keys(either, length, 0, 0))], *roles, cuts
+        yield either, *roles, [_Keys(0, names.keys(either, length, 0, 0), cuts)]
         if length < 5:
             return
         if parts == length:
             # Of two edits that aren't replacements, one leaves a character out and one puts one in.
             at = np.arange(length)
-            yield either, [names.keys(either, length - 1, 0, 1)], *roles, np.array([at, at, at, at, at * 0])
+            yield either, *roles, [_Keys(0, names.keys(either, length - 1, 0, 1), np.array([at, at, at, at, at * 0]), True)]
             return
+    elif 5 <= length == parts <= PLAIN:
+        whole = names.keys(short, length, 0, 0)
+        if growth == 1:
+            # One character replaced, x, and one put in, at place i: behind x or not.
+            x, i = (v.ravel() for v in np.mgrid[:length, : length + 1])
+            behind = np.array([x, x + 1, i, i, x + 1])[:, i > x]
+            before = np.array([i, i, x, x + 1, x + 1])[:, i <= x]
+            x = np.arange(length)
+            left_out = np.array([x, x + 1, x + 1, x + 1, x + 1])
+            for moved, found in ((0, behind), (1, before)):
+                yield rows, is_short, ~is_short, [_Keys(0, whole, left_out), _Keys(len(short), names.keys(long, length, moved, 1), found)]
+            return
+        i, j = np.triu_indices(length + 2, 1)
+        all_of_it = np.array([[length] * 4 + [0]]).T
+        yield rows, is_short, ~is_short, [_Keys(0, whole, all_of_it, True), _Keys(len(short), names.keys(long, length, 1, 2), np.array([i, i, j - 1, j - 1, i * 0]))]
+        return
+    apart = cuts[:, cuts[2] > cuts[1]]
     moves = {0: (-1, 1), 1: (0, 1), 2: (1,)}[growth]
-    rows = np.concatenate((short, long))
-    is_short = np.arange(len(rows)) < len(short)
     for k, moved in enumerate(moves):
         chosen = cuts if growth and k == 0 else apart
         if chosen.size:
-            yield rows, [names.keys(short, length, 0, 0), names.keys(long, length, moved, growth)], is_short, ~is_short, chosen
+            yield rows, is_short, ~is_short, [_Keys(0, names.keys(short, length, 0, 0), chosen), _Keys(len(short), names.keys(long, length, moved, growth), chosen)]
+
+
+def _packed(keys: list[_Keys], rows: int) -> Iterator[np.ndarray]:
+    """Keys with the number of their row in the lower bits, about KEYS at a time; those that may meet come together."""
+    bits = np.uint64(rows.bit_length())
+
+    def made(own: _Keys, cuts: np.ndarray) -> np.ndarray:
+        out = own.of(cuts)
+        out >>= bits
+        out <<= bits
+        out |= np.arange(own.first, own.first + out.shape[1], dtype=np.uint64)
+        return out.ravel()
+
+    ahead = [made(k, k.cuts) for k in keys if k.always]
+    dealt = [k for k in keys if not k.always]
+    if not dealt:
+        yield np.concatenate(ahead)
+        return
+    # Cuts of one number meet; where all have the same, the others are among those that are always there.
+    numbers = [k.cuts[-1] if k.cuts[-1].any() else np.arange(k.cuts.shape[1]) for k in dealt]
+    last = max(int(n.max(initial=0)) for n in numbers)
+    step = max(1, KEYS * (last + 1) // max(1, sum(k.cuts.shape[1] * rows for k in dealt)))
+    for begin in range(0, last + 1, step):
+        chosen = [made(k, k.cuts[:, (n >= begin) & (n < begin + step)]) for k, n in zip(dealt, numbers)]
+        yield np.concatenate([*ahead, *chosen])
 
 
 def _runs(packed: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
@@ -171,13 +222,9 @@ def _alike(names: _Names, short: np.ndarray, long: np.ndarray, growth: int, crow
     a, b, parts, found, held = short, long, length if length <= PLAIN else PARTS, [], 0
     while len(a) and len(b):
         again = [np.zeros(len(names.length), bool) for _ in range(2)]
-        for rows, makers, is_short, is_long, cuts in _rounds(names, a, b, growth, parts):
-            bits = len(rows).bit_length()
-            # Keys with number 0 meet those of any other cut, so all are sorted together.
-            step = max(1, KEYS // len(rows)) if cuts[-1, 0] else cuts.shape[1]
-            for k in range(0, cuts.shape[1], step):
-                keys = np.concatenate([of(cuts[:, k : k + step]) for of in makers], axis=1)
-                place, run = _runs((keys >> np.uint64(bits) << np.uint64(bits) | np.arange(len(rows), dtype=np.uint64)).ravel(), bits)
+        for rows, is_short, is_long, keys in _rounds(names, a, b, growth, parts):
+            for packed in _packed(keys, len(rows)):
+                place, run = _runs(packed, len(rows).bit_length())
                 x, y = is_short[place], is_long[place]
                 if parts < length and len(run):
                     crowded = np.bincount(run[x], minlength=run[-1] + 1)[run] > crowd
