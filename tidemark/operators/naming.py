@@ -66,7 +66,8 @@ class _Names:
         values = names.to_pylist()
         self.length = np.fromiter(map(len, values), np.int64, len(values))
         self.start = np.cumsum(self.length) - self.length
-        self.code = _mix(np.frombuffer("".join(values).encode("utf-32-le"), "<u4").astype(np.uint64))
+        self.point = np.frombuffer("".join(values).encode("utf-32-le"), "<u4")
+        self.code = _mix(self.point.astype(np.uint64))
         self.group = _mix(group.astype(np.uint64))
         self.factor = _mix(np.arange(self.length.max(initial=0), dtype=np.uint64)) | np.uint64(1)
 
@@ -92,6 +93,27 @@ class _Names:
         return of
 
 
+    def distances(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """Edit distances, 3 for more than two, of names of one length to names up to two characters longer."""
+        size, more = int(self.length[x[0]]), int(self.length[y[0]])
+        a, b = ([self.point[self.start[rows] + k] for k in range(n)] for rows, n in ((x, size), (y, more)))
+        far = np.full(len(x), 3, np.uint8)
+        # For each shift of y against x by up to two characters, the distance of what was read so far.
+        row = [far, far, *(np.full(len(x), k, np.uint8) for k in range(3)), far]
+        for i in range(size):
+            below = far
+            for k in range(5):
+                j = i + k - 2
+                if j >= more:
+                    row[k] = far
+                    continue
+                best = np.minimum(row[k + 1], below) + np.uint8(1)
+                if j >= 0:
+                    best = np.minimum(best, row[k] + (a[i] != b[j]))
+                below = row[k] = np.minimum(best, far)
+        return row[2 + more - size]
+
+
 def _cuts(length: int, parts: int) -> np.ndarray:
     """Every choice of parts for two edits to hide in, as (lo, hi, lo2, hi2, number); of one part for the one edit of names under five characters."""
     a, b = np.diag_indices(parts) if length < 5 else np.triu_indices(parts, 1)
@@ -264,7 +286,7 @@ def _candidates(names: _Names, kept: np.ndarray, fresh: np.ndarray, crowd: int)
 
 
 def _paired(batches: Iterator[pa.RecordBatch], crowd: int) -> Iterator[pa.RecordBatch]:
-    """Candidates of the pieces, which come one after the other, each with its kept names first.
+    """Pairs of the pieces, which come one after the other, each with its kept names first.
 
     Many small pieces are worked on together; of a large one only the kept names and some of the others are in memory.
     """
@@ -278,9 +300,12 @@ def _paired(batches: Iterator[pa.RecordBatch], crowd: int) -> Iterator[pa.Record
         kept = rows.column("kept").to_numpy(zero_copy_only=False)
         for found in _candidates(names, kept, np.arange(end) >= old, crowd):
             for k in range(0, len(found), ROWS):
-                x, y = (pa.array(v) for v in (found[k : k + ROWS] >> 32, found[k : k + ROWS] & 0xFFFFFFFF))
+                x, y = found[k : k + ROWS] >> 32, found[k : k + ROWS] & 0xFFFFFFFF
+                distance = names.distances(x, y)
+                near = (distance == 1) | ((distance == 2) & (names.length[x] >= 5))
+                x, y = pa.array(x[near]), pa.array(y[near])
                 columns = [rows.column("project").take(x), rows.column("dir").take(x), rows.column("name").take(x), rows.column("name").take(y)]
-                yield pa.RecordBatch.from_arrays(columns, names=["project", "dir", "short", "long"])
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(distance[near].astype(np.int32))], names=["project", "dir", "short", "long", "distance"])
 
     for batch in batches:
         waiting.append(batch)
@@ -333,14 +358,8 @@ def similar_names(names: DataFrame, crowd: int = CROWD, piece: int = PIECE) -> D
     keys = ("project", "dir", "band", "piece")
     dealt = _pieces(owned, piece).repartition(spread, *keys).sortWithinPartitions(*keys, F.desc("kept"))
     kinds = ", ".join(f"{c} {owned.schema[c].dataType.simpleString()}" for c in ("project", "dir"))
-    pairs = dealt.mapInArrow(lambda batches: _paired(batches, crowd), f"{kinds}, short string, long string")
-    return _close(pairs.select("project", "dir", F.least("short", "long").alias("name_a"), F.greatest("short", "long").alias("name_b")))
-
-
-def _close(pairs: DataFrame) -> DataFrame:
-    shortest = F.least(F.length("name_a"), F.length("name_b"))
-    measured = pairs.withColumn("distance", F.levenshtein("name_a", "name_b", 2))
-    return measured.where((F.col("distance") == 1) | ((F.col("distance") == 2) & (shortest >= 5)))
+    pairs = dealt.mapInArrow(lambda batches: _paired(batches, crowd), f"{kinds}, short string, long string, distance int")
+    return pairs.select("project", "dir", F.least("short", "long").alias("name_a"), F.greatest("short", "long").alias("name_b"), "distance")
 
 
 def synonym_names(names: DataFrame, pairs: Sequence[tuple[str, str]] = SYNONYM_PAIRS) -> DataFrame:
