@@ -105,6 +105,71 @@ def test_windows_are_shuffled_packed(spark, files):
     assert len(rows) <= 3 * 4 and sum(len(r["windows"]) for r in rows) == 20 * 451 * 18
 
 
+def dealt_files(monkeypatch):
+    """Collects (path, number of windows made) of the files whose windows are dealt to buckets."""
+    dealt, deal = [], C._window_buckets
+    monkeypatch.setattr(C, "_window_buckets", lambda tokens, *a: dealt.extend((r["path"], sum(r["kept"])) for r in tokens.collect()) or deal(tokens, *a))
+    return dealt
+
+
+def test_windows_are_made_only_where_anchors_recur(spark, files, monkeypatch):
+    dealt = dealt_files(monkeypatch)
+    shared = " ".join(f"s{j}" for j in range(60))
+    own = {f"f{i:02}": " ".join(f"w{i}x{j}" for j in range(400)) for i in range(30)}
+    rows = found(files, own | {"g": own["f00"] + " end", "h": " ".join(f"h{j}" for j in range(300)) + " " + shared, "i": shared})
+    assert {(r["path"], r["origin_path"], r["tokens"]) for r in rows} == {("g", "f00", 400), ("i", "h", 60)}
+    assert {path for path, _ in dealt} == {"f00", "g", "h", "i"} and sum(n for _, n in dealt) < 2 * (351 + 11 + 26)
+
+
+def test_copies_of_a_text_are_compared_once(spark, files, monkeypatch):
+    dealt = dealt_files(monkeypatch)
+    rng = random.Random(11)
+    width, contents = 6, {}
+    texts = ["\n".join(rng.choice("abc") for _ in range(rng.randint(0, 60))) for _ in range(7)] + ["x\n" * 30, " \n\ny\n" * 9, "\n".join(f"w{i}" for i in range(20))]
+    for f in range(40):
+        contents[f"f{rng.randint(0, 999):03}-{f}"] = texts[f % len(texts)]
+    expected, _ = clones_by_definition(contents, width)
+    rows = found(files, contents, width)
+    lines = {p: [line for _, line in C.tokenise(t)] for p, t in contents.items()}
+    assert sorted((r["path"], r["origin_path"], r["start_line"], r["end_line"], r["tokens"]) for r in rows) == sorted((p, o, lines[p][i], lines[p][i + n - 1], n) for p, o, i, n in expected)
+    assert all(r["digest"] == C._snippet_digest([x.encode() for x in contents[r["path"]].split("\n")[r["start_line"] - 1 : r["end_line"]]]) for r in rows)
+    assert len(dealt) <= len(texts)
+
+
+def test_clones_of_rows_with_one_path(spark):
+    """A path in several rows stands for all of them, as each row of a pair meets each of the other path."""
+    block, other = "\n".join(f"b{i}" for i in range(60)), "\n".join(f"o{i}" for i in range(60))
+    rows = [("p", "a", block), ("p", "a", block), ("p", "b", block), ("p", "b", block), ("p", "c", block), ("p", "d", other), ("p", "d", block + "\n" + other), ("p", None, block), (None, "a", block), ("p", "e", None), ("q", "z", block)]
+    out = [(r["path"], r["origin_path"], r["start_line"], r["tokens"]) for r in C.clones(spark.createDataFrame(rows, "project string, path string, content string")).collect()]
+    assert sorted(out) == sorted([("b", "a", 1, 60)] * 4 + [("c", "a", 1, 60)] * 2 + [("d", "a", 1, 60)] * 2 + [("d", "d", 61, 60)])
+
+
+def test_runs_by_parts_equal_runs_along():
+    import numpy as np
+
+    rng = random.Random(3)
+    for _ in range(2000):
+        width = rng.randint(1, 12)
+        here = np.array([rng.choice((1, 1, 2, 3)) for _ in range(rng.randint(width, 70))], np.int64)
+        there = here if rng.random() < 0.3 else np.concatenate([here[rng.randint(0, 9) :], np.array([rng.choice((1, 2)) for _ in range(width)], np.int64)])
+        shifts = sorted({rng.randint(1 - len(there), len(here) - 1) for _ in range(9)})
+        along, parts = ({r for r in zip(*(x.tolist() for x in f(here, there, shifts, width)), strict=True) if r[1] - r[0] >= width} for f in (C._runs_along, C._runs_by_parts))
+        assert along == parts
+
+
+def test_tokens_of_many_texts_equal_the_tokeniser():
+    rng = random.Random(1)
+    signs = [*"ab_1 \t\n\r'\"`/\\*é、漢€😀\u00a0\u0085\x1c.+-\0", "//", "/*", "*/", "import x from 'y';", "\nexport * from \"z\"\n", "longer_than_eight", "é" * 200]
+    texts = ["".join(rng.choice(signs) for _ in range(rng.randint(0, 50))) for _ in range(3000)]
+    codes, lines, bounds = C.Vocabulary().tokens([t.encode() for t in texts])
+    code_of, token_of = {}, {}
+    for text, start, end in zip(texts, bounds[:-1], bounds[1:], strict=True):
+        expected = C.tokenise(C.blank_imports(text))
+        assert lines[start:end].tolist() == [line for _, line in expected]
+        for (token, _), code in zip(expected, codes[start:end].tolist(), strict=True):
+            assert code_of.setdefault(token, code) == code and token_of.setdefault(code, token) == token
+
+
 def test_the_digest_is_of_the_whole_clone(spark, files):
     import hashlib
 
