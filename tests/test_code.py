@@ -194,6 +194,17 @@ def test_duplication_score(spark, files):
     assert scores == {"p": (8, 50), "q": (0, 100)}
 
 
+def test_lines_in_clones_are_counted_without_a_row_for_each(spark, files):
+    rng = random.Random(4)
+    table = files({(p, f"{i}.ts"): "\n" * 99 for p in "pqr" for i in range(3)})
+    spans = [(rng.choice("pq"), f"{rng.randint(0, 2)}.ts", start, min(100, start + rng.randint(0, 30))) for start in (rng.randint(1, 100) for _ in range(25))]
+    clones = spark.createDataFrame(spans * 2, "project string, path string, start_line int, end_line int")
+    scores = C.duplication_scores(table, clones)
+    assert "explode" not in scores._jdf.queryExecution().toString()
+    lines = {(project, path, line) for project, path, start, end in spans for line in range(start, end + 1)}
+    assert {r["project"]: (r["lines"], r["copied"]) for r in scores.collect()} == {p: (300, sum(x[0] == p for x in lines)) for p in "pqr"}
+
+
 def test_tokens():
     tokens = C.tokenise("const x = 1; // c\n/* b\n */ f(`a ${b} c`, 'it''s')")
     assert [t for t, _ in tokens] == ["const", "x", "=", "1", ";", "f", "(", "`a ${b} c`", ",", "'it'", "'s'", ")"]

@@ -13,7 +13,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import scoring as S
@@ -723,10 +723,11 @@ def duplication_scores(files: DataFrame, clones_: DataFrame) -> DataFrame:
     Our own definition: the matched engine's formula is not public.
     """
     total = files.groupBy("project").agg(F.sum(F.size(F.split("content", "\n"))).alias("lines"))
-    covered = (
-        clones_.select("project", "path", F.explode(F.sequence("start_line", "end_line")).alias("line")).distinct()
-        .groupBy("project").agg(F.count(F.lit(1)).alias("copied"))
-    )
+    # Of each clone the lines behind all that begin before it.
+    before = Window.partitionBy("project", "path").orderBy("start_line", "end_line").rowsBetween(Window.unboundedPreceding, -1)
+    fresh = F.greatest(F.lit(0), F.col("end_line") - F.greatest(F.max("end_line").over(before), F.col("start_line") - 1))
+    spans = clones_.select("project", "path", "start_line", "end_line").distinct()
+    covered = spans.withColumn("fresh", fresh).groupBy("project").agg(F.sum("fresh").alias("copied"))
     both = total.join(covered, "project", "left").withColumn("copied", F.coalesce("copied", F.lit(0)))
     return both.withColumn("score", S.round_half_up(S.clamp(100 - F.col("copied") / F.col("lines") * 100)))
 
